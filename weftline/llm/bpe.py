@@ -24,7 +24,7 @@ from weftline.llm.common import by_bytes
 
 #: Pre-tokens in each of a worker's two generations of memo, and the longest of them in
 #: characters. The older goes when the younger is full; both only trade time for memory.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 32
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 32
 BATCH_BYTES = 4 << 20
 
 
@@ -36,7 +36,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class RankQueue:
     """Positions by rank, and three levels of 64-bit words that say which ranks hold positions.
 
-    buckets: rank -> heap of positions. Bit r of low (64 to a word) is set while rank r holds
+    buckets: rank -> the position, or a heap of several. Bit r of low (64 to a word) is set while rank r holds
     any, bit w of mid while word w of low is not zero, bit m of the top word while word m of mid is not.
     All is zero again once a queue is drained, so one serves every pre-token. Encoder.merge() works on
     the fields itself, as a call for each step would double its time.
@@ -47,7 +47,7 @@ class RankQueue:
     def __init__(self, size: int):
         self.low = [0] * ((size >> 6) + 1)
         self.mid = [0] * ((size >> 12) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
 
 class Encoder:
@@ -58,6 +58,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=0)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.pair = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.bytes_of = {r: t for t, r in ranks.items()}
@@ -68,24 +69,33 @@ class Encoder:
         get = ranks.get
         if (whole := get(piece)) is not None:
             return (whole,)
-        n, top = len(piece), 0
+        n, top, pair = len(piece), 0, self.pair
         # end[i]: where the part that begins at i ends; before[i]: the part before it;
         # at[i]: the rank under which the pair that begins at i is queued now, -1 if under none.
-        end, before, at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        fresh = [(i, r) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        at = [pair[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        at.append(-1)
+        fresh = enumerate(at)
         while True:
             for i, r in fresh:
-                at[i] = r
-                if (held := buckets.get(r)) is not None:
-                    heappush(held, i)
+                if r < 0:
+                    continue
+                if r in buckets:
+                    held = buckets[r]
+                    if held.__class__ is int:
+                        buckets[r] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
+                    continue
+                buckets[r] = i
+                w = r >> 6
+                if x := low[w]:
+                    low[w] = x | 1 << (r & 63)
                 else:
-                    buckets[r] = [i]
-                    w = r >> 6
-                    if not low[w]:
-                        m = w >> 6
-                        mid[m] |= 1 << (w & 63)
-                        top |= 1 << m
-                    low[w] |= 1 << (r & 63)
+                    low[w] = 1 << (r & 63)
+                    m = w >> 6
+                    mid[m] |= 1 << (w & 63)
+                    top |= 1 << m
             if not top:
                 break
             # Find first set, a level at a time.
@@ -94,32 +104,37 @@ class Encoder:
             w = (m << 6) + (x & -x).bit_length() - 1
             x = low[w]
             r = (w << 6) + (x & -x).bit_length() - 1
-            held = buckets[r]
-            i = heappop(held)
-            if not held:
+            i = buckets[r]
+            if i.__class__ is int or len(i) == 1:
                 del buckets[r]
                 low[w] = x = x & (x - 1)
                 if not x:
                     mid[m] = x = mid[m] & (mid[m] - 1)
                     if not x:
                         top &= top - 1
-            fresh = ()
+            if i.__class__ is not int:
+                i = heappop(i)
             if at[i] != r:
+                fresh = ()
                 continue  # stale: the part was merged away or pairs with another now
             j = end[i]
-            k = end[j]
-            end[i], at[j], at[i] = k, -1, -1
+            end[i] = k = end[j]
+            at[j] = at[i] = -1
             if k < n:
                 before[k] = i
-                if (q := get(piece[i : end[k]]) if end[k] - i <= longest else None) is not None:
-                    fresh = ((i, q),)
+                e = end[k]
+                q = get(piece[i:e], -1) if e - i <= longest else -1
+                at[i] = q
+            else:
+                q = -1
             h = before[i]
             if h >= 0:
-                q = get(piece[h:k]) if k - h <= longest else None
-                if q is None:
-                    at[h] = -1
-                elif at[h] != q:
-                    fresh = (*fresh, (h, q))
+                o = get(piece[h:k], -1) if k - h <= longest else -1
+                if at[h] != o:
+                    at[h] = o
+                    fresh = ((h, o), (i, q))
+                    continue
+            fresh = ((i, q),)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
