@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, simhash
+from weftline.llm import bpe, langid, quality, simhash
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +19,26 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from two folds of the labels."""
+    return quality.scored(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.groups(_t(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two folds of the documents."""
+    return langid.labelled(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
