@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, langid, quality, simhash
+from weftline.llm import bpe, embedding, langid, quality, simhash
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.93 or more within a label."""
+    return embedding.groups(_t(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from two folds of the labels."""
     return quality.scored(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
@@ -36,6 +41,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op6_embedding": op6_embedding,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
