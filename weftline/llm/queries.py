@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, embedding, langid, quality, simhash
+from weftline.llm import bpe, decontam, embedding, langid, quality, simhash, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or link verdict of every page."""
+    return urlfilter.verdicts(_t(spark, sf_dir, "pages"))
+
+
 def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings with a cosine of 0.93 or more within a label."""
     return embedding.groups(_t(spark, sf_dir, "embeddings"), 0.93)
@@ -39,12 +44,21 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.labelled(_t(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    return decontam.contained(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op5_urlfilter": op5_urlfilter,
     "op6_embedding": op6_embedding,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
+    "op10_decontam": op10_decontam,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontam": decontam.CONTAINED_SQL,
+}
