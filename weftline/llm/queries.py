@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, decontam, embedding, langid, quality, simhash, urlfilter, warc
+from weftline.llm import bpe, decontam, embedding, langid, license, quality, simhash, urlfilter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_t(spark, sf_dir, "pages"))
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document, with coverage and span."""
+    return license.scanned(_t(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document; texts are read whole."""
     return bpe.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,6 +61,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_license": op3_license,
     "op4_bpe": op4_bpe,
     "op5_urlfilter": op5_urlfilter,
     "op6_embedding": op6_embedding,
