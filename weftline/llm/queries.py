@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, decontam, embedding, langid, license, quality, simhash, urlfilter, warc
+from weftline.llm import bpe, decontam, embedding, langid, license, lm, quality, simhash, urlfilter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learned from six folds in seven."""
+    return lm.folds(_t(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to WARC archives and read back."""
     return warc.round_trip(_t(spark, sf_dir, "pages"))
@@ -60,6 +65,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_warc": op2_warc,
     "op3_license": op3_license,
     "op4_bpe": op4_bpe,
