@@ -42,12 +42,16 @@ class Net:
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All windows' bytes (windows, WIDTH), and each text's count of half chunks.
 
-        A text is filled with zero bytes to whole half chunks, at least one; its last window reaches over its end.
+        A text is filled with zero bytes to whole half chunks, at least one, and followed by zeros for its last window
+        to reach into. The window that begins in those is of no text and left out.
         """
         span = HALF * STRIDE
-        halves = [max(1, -(-len(t) // span)) for t in texts]
-        joined = b"".join(t + bytes(h * span - len(t)) for t, h in zip(texts, halves, strict=True)) + bytes(WIDTH - STRIDE)
-        return sliding_window_view(np.frombuffer(joined, np.uint8), WIDTH)[::STRIDE], np.array(halves)
+        halves = np.array([max(1, -(-len(t) // span)) for t in texts])
+        joined = b"".join(t + bytes(h * span - len(t) + STRIDE) for t, h in zip(texts, halves.tolist(), strict=True)) + bytes(WIDTH - STRIDE)
+        at = sliding_window_view(np.frombuffer(joined, np.uint8), WIDTH)[::STRIDE]
+        mine = np.ones(len(at), bool)
+        mine[np.cumsum(halves * HALF + 1) - 1] = False
+        return at[mine], halves
 
     def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, tuple]:
         """(texts, 2 * FILTERS) largest and mean over the chunks; and what training needs."""
