@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import by_bytes
+from weftline.llm.common import by_bytes, small_batches
 
 #: Pre-tokens in each of a worker's two generations of memo, and the longest of them in
 #: characters. The older goes when the younger is full; both only trade time for memory.
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 32
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 32
 BATCH_BYTES = 4 << 20
 
 
@@ -192,7 +192,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
                 flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, ids])
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
+    return small_batches(df).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -212,7 +212,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "deco
                 out = [b"".join(map(tokens, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*keep, decoded])
 
-    return df.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return small_batches(df).select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

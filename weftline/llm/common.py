@@ -58,6 +58,14 @@ def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Reco
         yield batch.slice(start)
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, with Arrow batches of at most `rows` rows unless the session says otherwise: texts are long, and Spark counts rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def crc_bucket(column: str, m: int):
     """crc32 of a column's text modulo m; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(m))

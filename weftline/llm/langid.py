@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_bytes, crc_bucket, hashed_sample
+from weftline.llm.common import by_bytes, crc_bucket, hashed_sample, small_batches
 
 SEGMENT, HIDDEN = 64, 8
 BATCH_BYTES, LANES = 2 << 20, 4096
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, net: Net | None, text: str = "text", lang: str = "l
                     scores[has] = p.max(1)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0))], names=[*keep, lang, score])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
 
 
 def labelled(docs: DataFrame) -> DataFrame:

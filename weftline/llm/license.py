@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import by_bytes
+from weftline.llm.common import by_bytes, small_batches
 
 GRAM, WINDOW, BAND, COVERED = 3, 2, 8, 0.8
 BATCH_BYTES, MEMO = 4 << 20, 50_000
@@ -207,4 +207,4 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return docs.select(key, F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {SPANS}")
+    return small_batches(docs).select(key, F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {SPANS}")

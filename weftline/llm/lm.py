@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import crc_bucket, stage_table
+from weftline.llm.common import crc_bucket, small_batches, stage_table
 
 ORDER, MASS, SHARE = 2, 1.0, 3.0
 BLOCK_BYTES, BUCKET_TOKENS, PIECE = 16 << 20, 2_000_000, 2048
@@ -147,7 +147,7 @@ def blocks(docs: DataFrame, key: str, text: str, train) -> DataFrame:
         if held:
             yield block(held)
 
-    return docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key).alias("key"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _block(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Grams]:
