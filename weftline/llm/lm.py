@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 from weftline.llm.common import crc_bucket, small_batches, stage_table
 
 ORDER, MASS, SHARE = 2, 1.0, 3.0
-BLOCK_BYTES, BUCKET_TOKENS, PIECE = 16 << 20, 2_000_000, 2048
+BLOCK_BYTES, BUCKET_TOKENS, PIECE = 6 << 20, 1_000_000, 2048
 #: Hash of the place before a text's first token, and the end token: a word can't hold a space.
 BEGIN, END = np.uint64(0x9D39247E33776D41), " "
 
