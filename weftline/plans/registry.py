@@ -1,4 +1,7 @@
 """Registry of the engine's own queries."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from weftline.plans import entity_queries
+
+_MODULES = (entity_queries,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
