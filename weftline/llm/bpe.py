@@ -24,8 +24,8 @@ from weftline.llm.common import by_bytes, small_batches
 
 #: Pre-tokens in each of a worker's two generations of memo, and the longest of them in
 #: characters. The older goes when the younger is full; both only trade time for memory.
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 32
-BATCH_BYTES = 4 << 20
+MEMO_ENTRIES, MEMO_CHARS = 450_000, 32
+BATCH_BYTES = 2 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -177,20 +177,28 @@ def _shipped(df: DataFrame, rank_file: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with ids array<int> in place of text (null and empty texts: no ids)."""
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with ids array<int> in place of text (null and empty texts: no ids).
+
+    decoded: the name of one more column, the bytes that the ids decode to, made in the same pass by the same worker; to
+    decode() the rows afterwards would take a second worker a task.
+    """
     data = _shipped(df, rank_file)
-    keep = [c for c in df.columns if c not in (text, ids)]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    keep = [c for c in df.columns if c not in (text, ids, decoded)]
+    fields = [*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    schema = T.StructType([*fields, T.StructField(decoded, T.BinaryType(), False)] if decoded else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(data.value, pattern)
         for batch in batches:
             for part in by_bytes(batch, len(keep), BATCH_BYTES):
-                rows = [np.array(enc.encode(x), np.int32) for x in part.column(len(keep)).to_pylist()]
+                rows = [enc.encode(x) for x in part.column(len(keep)).to_pylist()]
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, ids])
+                flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1])))
+                made = [pa.ListArray.from_arrays(pa.array(ends), flat)]
+                if decoded:
+                    made.append(pa.array([enc.decode(x) for x in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[f.name for f in schema.fields])
 
     return small_batches(df).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
 
@@ -216,8 +224,8 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "deco
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, by encode() and decode()."""
-    both = decode(encode(docs.select("doc_id", "text"), rank_file, pattern), rank_file)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    both = encode(docs.select("doc_id", "text"), rank_file, pattern, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +68,13 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Free memory to the system at the end of a task: Spark keeps its Python workers for the stages to come."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_bucket(column: str, m: int):
     """crc32 of a column's text modulo m; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(m))

@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_bytes, crc_bucket, hashed_sample, small_batches
+from weftline.llm.common import by_bytes, crc_bucket, give_back, hashed_sample, small_batches
 
 SEGMENT, HIDDEN = 64, 8
-BATCH_BYTES, LANES = 2 << 20, 4096
+BATCH_BYTES, LANES = 1 << 20, 2048
 
 
 def segments(text: bytes) -> np.ndarray:
@@ -199,6 +199,7 @@ def predict(docs: DataFrame, net: Net | None, text: str = "text", lang: str = "l
                     names[has] = np.array(net.labels, object)[p.argmax(1)]
                     scores[has] = p.max(1)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0))], names=[*keep, lang, score])
+        give_back()
 
     return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
 

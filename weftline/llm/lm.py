@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import crc_bucket, small_batches, stage_table
+from weftline.llm.common import crc_bucket, give_back, small_batches, stage_table
 
 ORDER, MASS, SHARE = 2, 1.0, 3.0
 BLOCK_BYTES, BUCKET_TOKENS, PIECE = 6 << 20, 1_000_000, 2048
@@ -146,6 +146,7 @@ def blocks(docs: DataFrame, key: str, text: str, train) -> DataFrame:
                 held.append(batch.slice(start))
         if held:
             yield block(held)
+        give_back()
 
     return small_batches(docs).select(F.col(key).alias("key"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -330,6 +331,7 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
                 block["keys"].combine_chunks()[i].values, pa.array(train), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(owner, c > 0, len(lengths)).astype(np.int64)),
                 pa.array(np.full(len(lengths), n_all)), pa.array(base), pa.array(auto.scores(ids, lengths, order)),
             ], names=names))
+        give_back()
         if out:
             return pa.concat_tables(out)
         return block.select([]).slice(0, 0)

@@ -19,11 +19,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_bytes, crc_bucket, hashed_sample, small_batches
+from weftline.llm.common import by_bytes, crc_bucket, give_back, hashed_sample, small_batches
 
 DIM, WIDTH, STRIDE, CHUNK, FILTERS = 6, 16, 8, 32, 24
 HALF = CHUNK // 2
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 256 << 10
 
 
 class Net:
@@ -151,6 +151,7 @@ def predict(docs: DataFrame, net: Net | None, text: str = "text", score: str = "
                 texts = [t or b"" for t in part.column(len(keep)).to_pylist()]
                 scores = np.full(len(texts), 0.5) if net is None else net.scores(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores)], names=[*keep, score])
+        give_back()
 
     return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").cast("binary").alias("\x00text")).mapInArrow(run, schema)
 

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import by_bytes, components, small_batches, stage_table
+from weftline.llm.common import by_bytes, components, give_back, small_batches, stage_table
 
 #: Rows of a bucket compared in one task; a larger bucket is dealt out as pairs of parts.
 PART_ROWS = 2048
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
             for part in by_bytes(batch, 1, BATCH_BYTES):
                 fp = np.array([fingerprint(t or b"", words) for t in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=[key, "fp"])
+        give_back()
 
     return small_batches(docs).select(key, F.col(text).cast("string").cast("binary").alias("b")).mapInArrow(run, schema)
 
