@@ -237,6 +237,8 @@ def test_bpe_digests(odd, none, encoders):
     want = [(k, len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for k, i, t in ids]
     assert got == sorted(want, key=str)
     assert bpe.digests(none, RANKS, PATTERN).count() == 0
+    back = bpe.decode(bpe.encode(odd.drop("ids"), RANKS, PATTERN), RANKS).select("doc_id", "decoded", "source").collect()
+    assert {(r[0], bytes(r[1]).decode()) for r in back} == {(r[0], r[1] or "") for r in ODD}
 
 
 # --- 5: URL filter ---------------------------------------------------------------------------------------------
