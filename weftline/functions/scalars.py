@@ -109,6 +109,12 @@ def cell_text(v) -> str:
 # --- columns ---------------------------------------------------------------------------------------------------
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f mentions it and wherever: also inside f's own lambdas, where a column would be
+    evaluated anew for each element."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def number_str(x: Column) -> Column:
     """number_text() of a numeric column."""
     x = x.cast("double")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import EDGE_AFTER, EDGE_BEFORE, RE2_SPACE, fields, trim_u, word_count
+from weftline.functions.scalars import EDGE_AFTER, EDGE_BEFORE, RE2_SPACE, fields, let, trim_u, word_count
 
 #: Escapes that are written in plain ASCII.
 PLAIN_ESCAPES = (
@@ -175,9 +175,10 @@ def pre_clean(c: Column) -> Column:
 
 
 def _first_by(items: Column, key) -> Column:
-    """The first of the items of each key, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """The first of the items of each key, in order: sorted by key, the head of each run, sorted by place again."""
+    rows = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    heads = let(rows, lambda r: F.filter(r, lambda s, j: (j == 0) | (s["k"] != F.get(r, j - 1)["k"])))
+    return F.transform(F.array_sort(F.transform(heads, lambda s: F.struct(s["i"], s["x"]))), lambda s: s["x"])
 
 
 # --- sentences across documents --------------------------------------------------------------------------------
@@ -217,12 +218,15 @@ def drop_repeated_sentences(docs: DataFrame, key: str, text: str, order: str, wi
 
 def quality(c: Column) -> Column:
     """0 to 1: word length, share of letters, and punctuation by words; two decimals."""
-    words = F.size(fields(c))
-    length = F.octet_length(F.array_join(fields(c), ""))
-    word_length = F.greatest(F.lit(0.0), 1 - F.abs(length / words - 6) / 10)
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.octet_length(c)
-    marks = F.least(F.length(F.regexp_replace(c, r"[^.!?,]", "")) / words, F.lit(1.0))
-    return F.when(words > 0, F.round(word_length * 0.3 + letters * 0.5 + marks * 0.2, 2)).otherwise(0.0)
+
+    def score(words: Column) -> Column:
+        n = F.size(words)
+        word_length = F.greatest(F.lit(0.0), 1 - F.abs(F.octet_length(F.array_join(words, "")) / n - 6) / 10)
+        letters = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.octet_length(c)
+        marks = F.least(F.length(F.regexp_replace(c, r"[^.!?,]", "")) / n, F.lit(1.0))
+        return F.when(n > 0, F.round(word_length * 0.3 + letters * 0.5 + marks * 0.2, 2)).otherwise(0.0)
+
+    return let(fields(c), score)
 
 
 def gate(c: Column, scored: bool = False) -> Column:
@@ -245,15 +249,17 @@ def _prose_word(w: Column) -> Column:
 
 def strip_leading_nav(c: Column, links: bool = False) -> Column:
     """From the first word on whose next 15 have at least 3 prose words (and are at least 6); all of it if there is none."""
-    words = fields(c)
 
-    def starts(i: Column) -> Column:
-        window = F.slice(words, i + 1, F.lit(15))
-        prose = (F.size(window) >= 6) & (F.size(F.filter(window, _prose_word)) >= 3)
-        return prose | F.get(words, i).rlike(r"(?i)^https?://[^\t\n\f\r ]+$") if links else prose
+    def cut(words: Column) -> Column:
+        def starts(i: Column) -> Column:
+            window = F.slice(words, i + 1, F.lit(15))
+            prose = (F.size(window) >= 6) & (F.size(F.filter(window, _prose_word)) >= 3)
+            return prose | F.get(words, i).rlike(r"(?i)^https?://[^\t\n\f\r ]+$") if links else prose
+
+        rest = lambda i: F.array_join(F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))), " ")
+        return let(F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), starts), 0), rest)
 
-    at = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), starts), 0)
-    return F.when(F.size(words) == 0, c).otherwise(F.coalesce(F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " "), c))
+    return let(c, lambda x: F.when(trim_u(x) == "", x).otherwise(F.coalesce(let(fields(x), cut), x)))
 
 
 def _parts(c: Column) -> Column:
@@ -275,7 +281,9 @@ def drop_fragments(c: Column, links: bool = False) -> Column:
 
 
 def compress(c: Column, links: bool = False) -> Column:
-    return trim_u(drop_fragments(dedup_sentences(strip_leading_nav(strip_phrases(trim_u(c)), links)), links))
+    """The four steps, each over the text that the one before it made."""
+    steps = (strip_phrases, lambda x: strip_leading_nav(x, links), dedup_sentences, lambda x: drop_fragments(x, links))
+    return trim_u(reduce(let, steps, trim_u(c)))
 
 
 def format_payload(url: Column, content: Column, fields_in_schema: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import trim_u
+from weftline.functions.scalars import let, trim_u
 
 #: Domains whose links are not followed.
 UNFOLLOWED = (
@@ -108,8 +108,9 @@ def links(c: Column) -> Column:
 
 
 def links_by_kind(c: Column) -> Column:
-    found = links(c)
-    return F.struct(*(F.filter(found, lambda x, k=k: link_kind(x) == k).alias(n) for n, k in (("links", "link"), ("images", "image"), ("videos", "video"), ("audio", "audio"), ("files", "file"))))
+    names = (("links", "link"), ("images", "image"), ("videos", "video"), ("audio", "audio"), ("files", "file"))
+    of = lambda found, kind: F.filter(found, lambda x: link_kind(x) == kind)
+    return let(links(c), lambda found: F.struct(*(of(found, kind).alias(name) for name, kind in names)))
 
 
 def is_bot(author: Column) -> Column:

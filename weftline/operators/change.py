@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import jsonops
-from weftline.functions.scalars import canonical, trim_u, word_count
+from weftline.functions.scalars import canonical, let, trim_u, word_count
 
 BAD_FETCH, TOO_LITTLE, ENOUGH = 0.27, 0.02, 0.15
 SAMPLE_LINES, MOST_LINES, LINE_BYTES, ALL_BYTES = 37, 75, 200, 8000
@@ -21,8 +21,7 @@ def lines(c: Column) -> Column:
 
 def added(old: Column, new: Column) -> Column:
     """Lines of new that old lacks, as often as they stand there."""
-    known = lines(old)
-    return F.filter(lines(new), lambda x: ~F.array_contains(known, x))
+    return let(lines(old), lambda known: F.filter(lines(new), lambda x: ~F.array_contains(known, x)))
 
 
 def removed(old: Column, new: Column) -> Column:
@@ -44,16 +43,16 @@ def has_new_urls(old: Column, new: Column) -> Column:
 
 def sampled(rows: Column, most: int = SAMPLE_LINES) -> Column:
     """At most `most` of rows, evenly by a whole step."""
-    n = F.size(rows)
-    step = F.greatest(F.floor(n / most).cast("int"), F.lit(1))
-    return F.when(n <= most, rows).otherwise(F.slice(F.filter(rows, lambda x, i: i % step == 0), 1, most))
+    step = lambda r: F.greatest(F.floor(F.size(r) / most).cast("int"), F.lit(1))
+    return let(rows, lambda r: F.when(F.size(r) <= most, r).otherwise(F.slice(let(step(r), lambda n: F.filter(r, lambda x, i: i % n == 0)), 1, most)))
 
 
 def clipped(rows: Column) -> Column:
     """Lines as they are put to the judge: 75 at most, 200 bytes each, 8000 in all."""
-    short = F.transform(F.slice(rows, 1, MOST_LINES), lambda x: F.when(F.octet_length(x) > LINE_BYTES, F.concat(F.substring(x.cast("binary"), 1, LINE_BYTES).cast("string"), F.lit("…"))).otherwise(x))
-    total = lambda i: F.aggregate(F.slice(short, F.lit(1), i + 1), F.lit(0), lambda n, y: n + F.octet_length(y))
-    return F.filter(short, lambda x, i: total(i) <= ALL_BYTES)
+    cut = lambda x: F.concat(F.substring(x.cast("binary"), 1, LINE_BYTES).cast("string"), F.lit("…"))
+    short = F.transform(F.slice(rows, 1, MOST_LINES), lambda x: F.when(F.octet_length(x) > LINE_BYTES, cut(x)).otherwise(x))
+    upto = lambda all_, i: F.aggregate(F.slice(all_, F.lit(1), i + 1), F.lit(0), lambda n, y: n + F.octet_length(y))
+    return let(short, lambda all_: F.filter(all_, lambda x, i: upto(all_, i) <= ALL_BYTES))
 
 
 def ladder(pages: DataFrame, old: str = "old", new: str = "new", with_links: Column | None = None, forced: Column | None = None, decide: Callable[[Column], Column] | None = None) -> DataFrame:
