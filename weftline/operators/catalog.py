@@ -38,7 +38,7 @@ def latest_status(urls: DataFrame, *queues: tuple[DataFrame, str], default: str
 
 def open_rows(urls: DataFrame, *queues: DataFrame) -> DataFrame:
     """(dataset_id) of datasets with a row in any queue that is neither done nor failed."""
-    found = [q.where(~F.col("status").isin(*ENDED)).join(urls.select("dataset_url_id", "dataset_id"), "dataset_url_id").select("dataset_id") for q in queues]
+    found = [q.where(~F.col("status").isin(*ENDED)).select("dataset_url_id").join(urls.select("dataset_url_id", "dataset_id"), "dataset_url_id").select("dataset_id") for q in queues]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

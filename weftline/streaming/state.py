@@ -39,7 +39,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = PU
     Rows are brought together by key and time range as far as that is exact: a gap of more than a window
     always starts anew, so a key is cut at its gaps, and only a run without gaps is read by one task.
     """
-    seconds = F.col(ts).cast("double")
+    seconds = F.col(ts).cast("timestamp").cast("double")
     by = Window.partitionBy(key).orderBy(ts, order)
     gap = F.coalesce(seconds - F.lag(seconds).over(by) > window, F.lit(True))
     runs = events.withColumn("_t", seconds).withColumn("_run", F.sum(gap.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
