@@ -38,44 +38,44 @@ NOISE = (
     rf"(?i){EDGE_BEFORE}\d{{1,2}}/\d{{1,2}}/\d{{2,4}}{EDGE_AFTER}",
     rf"(?i){EDGE_BEFORE}\d{{4}}-\d{{2}}-\d{{2}}(T\d{{2}}:\d{{2}}:\d{{2}}Z?)?{EDGE_AFTER}",
 )
-#: Phrases of sites, in order.
+#: Phrases of sites, in order; before each a part that no match lacks, so that most texts are spared the pattern.
 PHRASES = (
-    rf"(?i)credit:{RE2_SPACE}*[\w\t\n\f\r ]+/[\w\t\n\f\r ]+",
-    rf"(?i)\w+{RE2_SPACE}*/{RE2_SPACE}*flickr{RE2_SPACE}*/{RE2_SPACE}*cc{RE2_SPACE}*b[y]{RE2_SPACE}*[\d.]*",
-    rf"(?i)\d{{1,2}}{RE2_SPACE}+of{RE2_SPACE}+\d{{1,2}}",
-    r"(?i)continue to( \d+)? of \d+ below",
-    r"(?i)continue to below",
-    r"(?i)see all",
-    r"(?i)\d+inches",
-    r"(?i)\d+pounds",
-    rf"(?i)\d+{RE2_SPACE}*inchesweight:",
-    rf"(?i)\d+{RE2_SPACE}*poundscoat",
-    rf"(?i)[a-z]+life{RE2_SPACE}*expectancy",
-    r"(?i)[a-z]+colorslife",
-    r"(?i)[a-z]+yearslife",
-    r"(?i)minkcolors",
-    r"(?i)smokelife",
-    rf"(?i)\w+,{RE2_SPACE}*[a-zA-Z]+,?{RE2_SPACE}+et al[^.]*",
-    r"(?i)journal of [^.]{0,60}",
-    r"(?i)doi:[^\t\n\f\r ]+",
-    r"(?i)squamous cell cancer[^.]*",
-    r"(?i)cornell university[^.]*",
-    r"(?i)veterinary centers of america",
-    r"(?i)college of veterinary medicine",
-    r"(?i)veterinary review board",
-    rf"\.\d+{EDGE_AFTER}",
-    rf"(?i){EDGE_BEFORE}vice{EDGE_AFTER}",
-    rf"({RE2_SPACE}+\.{RE2_SPACE}*){{2,}}",
-    rf"^{RE2_SPACE}*\.{RE2_SPACE}*",
-    rf"{RE2_SPACE}+\.{RE2_SPACE}+",
-    r"(?i)more from [^\n]{0,40}",
-    r"(?i)what to buy",
-    r"(?i)terms of service",
-    r"(?i)privacy policy",
-    r"(?i)editorial guidelines",
-    r"(?i)editorial policy",
-    r"(?i)product testing",
-    r"(?i)sweepstakes",
+    ("credit:", rf"(?i)credit:{RE2_SPACE}*[\w\t\n\f\r ]+/[\w\t\n\f\r ]+"),
+    ("flickr", rf"(?i)\w+{RE2_SPACE}*/{RE2_SPACE}*flickr{RE2_SPACE}*/{RE2_SPACE}*cc{RE2_SPACE}*b[y]{RE2_SPACE}*[\d.]*"),
+    ("of", rf"(?i)\d{{1,2}}{RE2_SPACE}+of{RE2_SPACE}+\d{{1,2}}"),
+    ("continue to", r"(?i)continue to( \d+)? of \d+ below"),
+    ("continue to", r"(?i)continue to below"),
+    ("see all", r"(?i)see all"),
+    ("inches", r"(?i)\d+inches"),
+    ("pounds", r"(?i)\d+pounds"),
+    ("inchesweight", rf"(?i)\d+{RE2_SPACE}*inchesweight:"),
+    ("poundscoat", rf"(?i)\d+{RE2_SPACE}*poundscoat"),
+    ("expectancy", rf"(?i)[a-z]+life{RE2_SPACE}*expectancy"),
+    ("colorslife", r"(?i)[a-z]+colorslife"),
+    ("yearslife", r"(?i)[a-z]+yearslife"),
+    ("minkcolors", r"(?i)minkcolors"),
+    ("smokelife", r"(?i)smokelife"),
+    ("et al", rf"(?i)\w+,{RE2_SPACE}*[a-zA-Z]+,?{RE2_SPACE}+et al[^.]*"),
+    ("journal of", r"(?i)journal of [^.]{0,60}"),
+    ("doi:", r"(?i)doi:[^\t\n\f\r ]+"),
+    ("squamous", r"(?i)squamous cell cancer[^.]*"),
+    ("cornell", r"(?i)cornell university[^.]*"),
+    ("veterinary", r"(?i)veterinary centers of america"),
+    ("veterinary", r"(?i)college of veterinary medicine"),
+    ("veterinary", r"(?i)veterinary review board"),
+    ("", rf"\.\d+{EDGE_AFTER}"),
+    ("vice", rf"(?i){EDGE_BEFORE}vice{EDGE_AFTER}"),
+    ("", rf"({RE2_SPACE}+\.{RE2_SPACE}*){{2,}}"),
+    ("", rf"^{RE2_SPACE}*\.{RE2_SPACE}*"),
+    ("", rf"{RE2_SPACE}+\.{RE2_SPACE}+"),
+    ("more from", r"(?i)more from [^\n]{0,40}"),
+    ("what to buy", r"(?i)what to buy"),
+    ("terms of", r"(?i)terms of service"),
+    ("privacy", r"(?i)privacy policy"),
+    ("editorial", r"(?i)editorial guidelines"),
+    ("editorial", r"(?i)editorial policy"),
+    ("product", r"(?i)product testing"),
+    ("sweepstakes", r"(?i)sweepstakes"),
 )
 #: Names of linked-data types, which are no text.
 TYPE_NAMES = frozenset(
@@ -222,8 +222,8 @@ def quality(c: Column) -> Column:
     def score(words: Column) -> Column:
         n = F.size(words)
         word_length = F.greatest(F.lit(0.0), 1 - F.abs(F.octet_length(F.array_join(words, "")) / n - 6) / 10)
-        letters = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.octet_length(c)
-        marks = F.least(F.length(F.regexp_replace(c, r"[^.!?,]", "")) / n, F.lit(1.0))
+        letters = (F.length(c) - F.length(F.regexp_replace(c, r"\p{L}+", ""))) / F.octet_length(c)
+        marks = F.least((F.length(c) - F.length(F.translate(c, ".!?,", ""))) / n, F.lit(1.0))
         return F.when(n > 0, F.round(word_length * 0.3 + letters * 0.5 + marks * 0.2, 2)).otherwise(0.0)
 
     return let(fields(c), score)
@@ -240,24 +240,31 @@ def gate(c: Column, scored: bool = False) -> Column:
 
 
 def strip_phrases(c: Column) -> Column:
-    return F.regexp_replace(_each(c, PHRASES, " "), RE2_SPACE + "{2,}", " ")
+    def step(part: str, pattern: str):
+        swap = lambda x: F.regexp_replace(x, pattern, " ")
+        return (lambda x: F.when(F.lower(x).contains(part), swap(x)).otherwise(x)) if part else swap
+
+    return F.regexp_replace(reduce(let, (step(*p) for p in PHRASES), c), RE2_SPACE + "{2,}", " ")
 
 
 def _prose_word(w: Column) -> Column:
-    return (F.octet_length(w) > 4) & w.rlike("^[a-z]")
+    """More than four bytes, of which the first is a letter from a to z."""
+    return (F.octet_length(w) > 4) & (w >= "a") & (w < "{")
 
 
 def strip_leading_nav(c: Column, links: bool = False) -> Column:
     """From the first word on whose next 15 have at least 3 prose words (and are at least 6); all of it if there is none."""
 
     def cut(words: Column) -> Column:
-        def starts(i: Column) -> Column:
-            window = F.slice(words, i + 1, F.lit(15))
-            prose = (F.size(window) >= 6) & (F.size(F.filter(window, _prose_word)) >= 3)
-            return prose | F.get(words, i).rlike(r"(?i)^https?://[^\t\n\f\r ]+$") if links else prose
-
-        rest = lambda i: F.array_join(F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))), " ")
-        return let(F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), starts), 0), rest)
+        n = F.size(words)
+        places = F.filter(F.transform(words, lambda w, i: F.when(_prose_word(w), i)), lambda i: i.isNotNull())
+        # Three prose words within 15 places: the window may begin up to 14 places before the third, and 6 words must follow.
+        near = let(places, lambda p: F.get(F.filter(F.transform(p, lambda x, k: F.when(F.get(p, k + 2) - x <= 14, F.greatest(F.get(p, k + 2) - 14, F.lit(0)))), lambda i: i.isNotNull()), 0))
+        first = F.when(near <= n - 6, near)
+        if links:
+            url = F.get(F.filter(F.transform(words, lambda w, i: F.when(w.rlike(r"(?i)^https?://[^\t\n\f\r ]+$"), i)), lambda i: i.isNotNull()), 0)
+            first = F.least(first, url)
+        return let(first, lambda i: F.array_join(F.slice(words, i + 1, F.greatest(n - i, F.lit(0))), " "))
 
     return let(c, lambda x: F.when(trim_u(x) == "", x).otherwise(F.coalesce(let(fields(x), cut), x)))
 

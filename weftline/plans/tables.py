@@ -45,7 +45,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
     "queue": (
         "lineitem",
         (
-            "CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS queue_id", "l_partkey AS dataset_url_id", "CAST(1 + l_partkey % 700 AS BIGINT) AS dataset_id",
+            "CAST(l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS BIGINT) AS queue_id", "l_partkey AS dataset_url_id", "CAST(1 + l_partkey % 700 AS BIGINT) AS dataset_id",
             "CASE WHEN l_linestatus = 'O' AND l_orderkey % 9 = 0 THEN 'pending' WHEN l_orderkey % 8 = 0 THEN 'crawling' WHEN l_orderkey % 7 = 0 THEN 'proceed-format' WHEN l_orderkey % 5 = 0 THEN 'failed' ELSE 'done' END AS status",
             "CAST(l_linenumber % 4 AS INT) AS crawl_attempts", "CAST(l_linenumber + 2 AS INT) AS fail_count", "CASE WHEN l_orderkey % 3 = 0 THEN l_shipdate END AS locked_at", "l_shipdate AS created_at",
             "CASE WHEN l_suppkey % 4 = 0 THEN 'waiting' ELSE 'solo' END AS role",

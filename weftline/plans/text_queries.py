@@ -153,7 +153,7 @@ def _parts(c: str) -> str:
 _SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[\t\n\f\r ]+'), lambda x: " + _trim("x") + "), lambda x: strlen(x) > 10)"
 _FIRST = "array_to_string(list_filter({l}, lambda x, i: list_position(list_transform({l}, lambda y: lower(y)), lower(x)) = i), '{sep}')"
 _PROSE = "(strlen(w) > 4 AND regexp_matches(w, '^[a-z]'))"
-_PHRASES = f"regexp_replace({_fold('text', [_re2(p) for p in X.PHRASES], ' ')}, '{_S}{{2,}}', ' ', 'g')"
+_PHRASES = f"regexp_replace({_fold('text', [_re2(p) for _, p in X.PHRASES], ' ')}, '{_S}{{2,}}', ' ', 'g')"
 _PRE = "list_filter(list_transform(string_split(text, chr(10)), lambda x: " + _trim("x") + "), lambda x: strlen(x) >= 20)"
 _FRAG = "array_to_string(list_filter(" + _parts("text") + ", lambda x: len(" + _WORDS.format(c="x") + ") >= 8 AND len(list_filter(" + _WORDS.format(c="x") + ", lambda w: " + _PROSE + ")) > 0), '. ')"
 

@@ -12,7 +12,8 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,26 +35,34 @@ def admit(times: Iterable[float], limit: int, window: float = WINDOW_S, start: f
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = PUBLIC, window: float = WINDOW_S) -> DataFrame:
-    """events with allowed, remaining, retry_after. Each request depends on those before it: a key's requests are read in order.
+    """events with allowed, remaining, retry_after. Each request depends on those before it, so a key's are read in order.
 
-    Rows are brought together by key and time range as far as that is exact: a gap of more than a window
-    always starts anew, so a key is cut at its gaps, and only a run without gaps is read by one task.
+    Keys are dealt out over partitions and sorted there; a partition is read as a stream that holds the state of one key, so
+    neither many keys nor a very busy one take memory.
     """
-    seconds = F.col(ts).cast("timestamp").cast("double")
-    by = Window.partitionBy(key).orderBy(ts, order)
-    gap = F.coalesce(seconds - F.lag(seconds).over(by) > window, F.lit(True))
-    runs = events.withColumn("_t", seconds).withColumn("_run", F.sum(gap.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields), LIMITED])
     names = events.columns
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ts, order])
-        got = list(admit(frame["_t"], limit, window))
-        out = frame[names].copy()
-        out["allowed"], out["remaining"], out["retry_after"] = ([g[i] for g in got] for i in range(3))
-        return out
-
-    return runs.groupBy(key, "_run").applyInPandas(one, schema)
+    sorted_rows = events.withColumn("_t", F.col(ts).cast("timestamp").cast("double")).repartition(key).sortWithinPartitions(key, ts, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, start, used = None, None, 0
+        for batch in batches:
+            keys, times = batch.column(names.index(key)).to_pylist(), batch.column(len(names)).to_pylist()
+            out: list[tuple[bool, int, float]] = []
+            i = 0
+            while i < len(keys):
+                j = i
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if held != (keys[i],):
+                    held, start, used = (keys[i],), None, 0
+                for allowed, remaining, retry, start, used in admit(times[i:j], limit, window, start, used):  # noqa: B020
+                    out.append((allowed, remaining, retry))
+                i = j
+            made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.bool_(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, "allowed", "remaining", "retry_after"])
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, limit: int = PUBLIC, window: float = WINDOW_S) -> DataFrame:
