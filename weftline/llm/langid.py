@@ -210,8 +210,11 @@ def labelled(docs: DataFrame) -> DataFrame:
     return predict(rows, learn(docs))
 
 
-def kept(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs in which a language is found: not `und`, and with a probability of at least `least`. Columns stay."""
+def kept(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """docs in which a language is found: not `und`, and with a probability of at least `least`. Columns stay.
+
+    The bound is below a half as texts that change from one language to another are clean.
+    """
     net = learn(docs, held=None)
     text = docs.select("*", F.col("text").alias("\x00body"))
     return predict(text, net, "\x00body", "\x00lang", "\x00score").where(f"`\x00lang` <> 'und' and `\x00score` >= {least}").select(*docs.columns)
