@@ -119,7 +119,7 @@ def number_str(x: Column) -> Column:
     """number_text() of a numeric column."""
     x = x.cast("double")
     raw = F.abs(x).cast("string")
-    mantissa, power = F.substring_index(raw, "E", 1), F.coalesce(F.try_to_number(F.regexp_extract(raw, r"E\+?(-?\d+)$", 1), F.lit("S999")).cast("int"), F.lit(0))
+    mantissa, power = F.substring_index(raw, "E", 1), F.coalesce(F.regexp_extract(raw, r"E\+?(-?\d+)$", 1).try_cast("int"), F.lit(0))
     whole, part = F.substring_index(mantissa, ".", 1), F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     run = F.concat(whole, part)
     text = F.regexp_replace(run, "^0+", "")
