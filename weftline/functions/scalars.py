@@ -158,9 +158,13 @@ def cell_str(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Every character with the White_Space property.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim_u(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def fields(c: Column) -> Column:
