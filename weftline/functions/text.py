@@ -198,19 +198,23 @@ def drop_repeated_sentences(docs: DataFrame, key: str, text: str, order: str, wi
     A sentence counts with all that stand in its own document. Those of up to 20 bytes never go. A text without
     sentences stays as it is; others keep their sentences, joined by spaces. within: columns whose groups count apart.
 
-    Frequencies of one sentence need its places in order, so a partition of the window is one sentence. A sentence that all documents
-    share would be one hot partition: places are first summed up by document, and only sentences seen `most` times or more are
-    brought in order at all.
+    Frequencies of one sentence need its documents in order, so a partition of the window is one sentence. Its places are first summed
+    up by document, and only sentences seen `most` times or more are brought in order at all. What a document then loses
+    comes back to it as one set; its text is not moved apart and put together again.
     """
     within = within or []
     rows = docs.select(*within, key, order, F.posexplode(sentences(F.col(text))).alias("_pos", "_s")).withColumn("_n", normal_sentence(F.col("_s")))
     counted = rows.where(F.octet_length("_n") > 20).groupBy(*within, "_n", key, order).agg(F.count("*").alias("_c"))
     often = counted.groupBy(*within, "_n").agg(F.sum("_c").alias("_all")).where(F.col("_all") >= most).drop("_all")
     upto = Window.partitionBy(*within, "_n").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = counted.join(often, [*within, "_n"], "left_semi").withColumn("_seen", F.sum("_c").over(upto)).where(F.col("_seen") >= most).select(*within, "_n", key)
-    left = rows.join(gone, [*within, "_n", key], "left_anti").groupBy(*within, key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_s"))), lambda x: x["_s"]), " ").alias("_kept"))
-    had = F.size(sentences(F.col(text))) > 0
-    return docs.join(left, [*within, key], "left").withColumn(text, F.when(had, F.coalesce("_kept", F.lit(""))).otherwise(F.col(text))).select(*docs.columns)
+    seen = counted.join(often, [*within, "_n"], "left_semi").withColumn("_seen", F.sum("_c").over(upto))
+    gone = seen.where(F.col("_seen") >= most).groupBy(*within, key).agg(F.collect_set("_n").alias("_gone"))
+
+    def left(own: Column) -> Column:
+        stays = F.filter(own, lambda x: ~F.array_contains("_gone", normal_sentence(x)))
+        return F.when(F.size(own) == 0, F.col(text)).otherwise(F.array_join(F.when(F.col("_gone").isNull(), own).otherwise(stays), " "))
+
+    return docs.join(gone, [*within, key], "left").withColumn(text, let(sentences(F.col(text)), left)).select(*docs.columns)
 
 
 # --- scores ----------------------------------------------------------------------------------------------------
