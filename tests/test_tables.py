@@ -207,3 +207,36 @@ def test_buckets_delivery_and_cooling(spark):
     fetched = state.per_domain(spark.createDataFrame([("http://a/1",), ("http://b/x",)], "url string"), F.substring("url", 8, 1), lambda u: str(1 // (len(u) - 10) if u.endswith("x") else u), 2)
     assert {r["url"]: r["result"] for r in fetched.collect()} == {"http://a/1": "http://a/1", "http://b/x": ""}
     assert len(state.signed({"a": 1}, "k")[1]) == 128
+
+
+# --- whole ways ------------------------------------------------------------------------------------------------
+
+
+def test_build(spark):
+    from weftline.plans import build
+
+    words = " ".join(f"sentence{i} goes on about something quite different every time. Then it{i} stops there for now." for i in range(40))
+    rows = [(1, "http://a.com/1", f"<p>{words}</p>"), (2, "HTTP://a.com/1/", f"<p>{words}</p>"), (3, "http://a.com/2", "<p>too few words in here to stay</p>"), (4, None, None)]
+    clean = build.cleaned(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [(r["page_id"], r["word_count"] >= 200) for r in clean.collect()] == [(1, True)]
+    chunks = build.chunked(build.formatted(clean))
+    got = build.extracted(chunks, lambda text: f'```json\n[{{"n": {len(text) // len(text)}}}, {{"m"').collect()
+    assert [(r["page_id"], r["source_url"], r["entities"]) for r in got] == [(1, "http://a.com/1", ['{"n":1}'])]
+
+
+def test_serving(spark):
+    from weftline.plans.serve import answer
+
+    df = entities(spark, [{"a": 1, "b": {"c": "x"}, "_source": "s"}, {"a": 2, "b": None}])
+    text = lambda **p: "".join(answer(df, p))
+    assert json.loads(text(include_source="false")) == [{"a": 1, "b": {"c": "x"}}, {"a": 2, "b": None}]
+    assert text(format="csv", sort="a:desc") == "_source,a,b,b_c\n,2,,\ns,1,,x\n" and text(format="csv", filter=["a:9"]) == ""
+    assert text(format="jsonl", filter=["a:2"]) == '{"a":2,"b":null}\n' and text(count="true") == '{"count":2}' and text(pretty="false", limit="1", keep_field="a") == '[{"a":1}]'
+    assert "<c>x</c>" in text(format="xml") and next(answer(df, {"format": "xlsx"}))[:2] == b"PK"
+
+
+def test_tables_are_swapped(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    readers.swap_table(spark.range(3), path)
+    readers.swap_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import catalog as C
 from weftline.operators import change, clusters, versions
+from weftline.plans import build
 from weftline.plans.tables import EDITED, ctes, d, edited_orders, t
 from weftline.streaming.state import rate_limit
 
@@ -246,8 +247,13 @@ def w_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_limit(t(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", limit=3, window=86_400.0).select("event_id", "allowed", "remaining")
 
 
+def b_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages on their way to the model: cleaned, compressed, cut into chunks."""
+    return build.chunked(build.formatted(build.cleaned(t(spark, sf_dir, "pages"))))
+
+
 QUERIES = {
-    "d_lines": d_lines, "d_ladder": d_ladder, "d_version_changed": d_version_changed, "d_posts_changed": d_posts_changed, "d_version_diff_exact": d_version_diff_exact, "d_version_diff": d_version_diff,
+    "b_build": b_build, "d_lines": d_lines, "d_ladder": d_ladder, "d_version_changed": d_version_changed, "d_posts_changed": d_posts_changed, "d_version_diff_exact": d_version_diff_exact, "d_version_diff": d_version_diff,
     "d_field_weights": d_field_weights, "d_json_weights": d_json_weights, "d_changed_fields": d_changed_fields, "v_resolve": v_resolve, "v_recorded": v_recorded, "v_purged": v_purged, "v_rolled_back": v_rolled_back,
     "v_cloned": v_cloned, "c_cluster": c_cluster, "c_extract_cluster": c_extract_cluster, "c_fanout": c_fanout, "c_late": c_late, "c_reuse": c_reuse, "c_failover": c_failover, "c_combine_ready": c_combine_ready,
     "c_combined": c_combined, "r_market": r_market, "r_my_datasets": r_my_datasets, "r_profile": r_profile, "r_latest_status": r_latest_status, "r_versions_list": r_versions_list, "r_keepalive": r_keepalive,

@@ -23,9 +23,10 @@ from weftline.functions.text import file_slug
 HEADER_FILL, WIDEST = "FF1E3A5F", 60
 
 
-def ordered(df: DataFrame) -> Iterator[dict]:
-    """Entities in order, a partition at a time."""
-    for row in df.select("_ord", "doc").orderBy("_ord").toLocalIterator():
+def ordered(df: DataFrame, sort: bool = True) -> Iterator[dict]:
+    """Entities in order, a partition at a time; sort: by their places, else as df has them."""
+    rows = df.select("_ord", "doc")
+    for row in (rows.orderBy("_ord") if sort else rows).toLocalIterator():
         yield jsonops.decode(row["doc"])
 
 

@@ -92,6 +92,30 @@ def may_push(queue: DataFrame, dataset: DataFrame) -> DataFrame:
     return dataset.agg(F.coalesce(F.bool_or("is_frozen"), F.lit(True)).alias("f")).join(is_open).select((~F.col("f") & ~F.col("o")).alias("allowed"))
 
 
+def catalogue(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 16, **options: str) -> DataFrame:
+    """A table of a relational catalogue by JDBC, read side by side in ranges of its key."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=partitions, **options)
+    return reader.load()
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """df in place of the Parquet table at path: written beside it first and then renamed, so that readers see the one or the other.
+
+    df may be made from what is at path.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    new, old, at = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", f"{path}.old", path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
 # --- listings --------------------------------------------------------------------------------------------------
 
 POST = "title string, selftext string, subreddit string, link_flair_text string, url string, score int, num_comments int, upvote_ratio double, created_utc double, author string, permalink string"
