@@ -115,6 +115,19 @@ def test_lm_is_the_smoothed_model(spark, odd, order):
 ODD_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("packet", [1, 10**9])
+def test_lm_over_many_blocks_and_buckets(spark, monkeypatch, packet):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(lm, "PACKET", packet)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    rows = [tuple(r) for r in docs.select(*ODD_COLUMNS).collect()]
+    want = brute_lm(rows, 2, lambda r: zlib.crc32(str(r[0]).encode()) % 7 != 2)
+    got = {r["doc_id"]: r for r in lm.folds(docs).collect()}
+    for r, w in zip(rows, want, strict=True):
+        g = got[r[0]]
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3] and (g["base_score"], g["score"]) == pytest.approx(w[3:], abs=1e-3)
+
+
 def test_lm_of_nothing(spark, none):
     assert lm.folds(none).count() == 0
     got = lm.scored(spark.createDataFrame(ODD[:1], DOCS), F.lit(False)).first()

@@ -8,7 +8,7 @@ the arcs and failure arcs taken are added up.
 
 Texts are dealt with in blocks of about BLOCK_BYTES. A block tells its distinct n-grams, as hashes with its own
 counts, to buckets of the hash space; a bucket adds up the counts of all blocks and tells each block the totals of the
-n-grams it asked about. With those a block builds the part of the automaton that its texts can reach. Both the n-grams that are
+n-grams it asked about (or, on very large inputs, an aggregation and a join do). With those a block builds the part of the automaton that its texts can reach. Both the n-grams that are
 gathered and the buckets grow with the input, no task holds more than a block or a bucket, and nothing but N and V
 goes to the driver. Hashes have 64 bits; two n-grams that share one would share their counts.
 
@@ -34,6 +34,8 @@ from xxhash import xxh64_intdigest
 from weftline.llm.common import crc_bucket, give_back, small_batches, stage_table
 
 ORDER, MASS, SHARE = 2, 1.0, 3.0
+#: Packets of a block for a bucket hold so many n-grams at least; where they would hold fewer, n-grams go as single rows.
+PACKET = 64
 BLOCK_BYTES, BUCKET_TOKENS, PIECE = 6 << 20, 1_000_000, 2048
 #: Hash of the place before a text's first token, and the end token: a word can't hold a space.
 BEGIN, END = np.uint64(0x9D39247E33776D41), " "
@@ -157,7 +159,7 @@ def _block(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def totals(parts: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(block, n, bucket, totals, types, tokens): for each block the counts in all training texts of its n-grams.
+    """(block, n, bucket, totals, plain, types, tokens): for each block the counts in all training texts of its n-grams.
 
     types and tokens stand in one row of each bucket, with V's and N's share of it.
     """
@@ -195,7 +197,36 @@ def totals(parts: DataFrame, order: int, buckets: int) -> DataFrame:
         })
 
     rows = parts.select("block", "train", "lengths", "ids", "vocabulary").mapInArrow(ask, asked)
-    return rows.groupBy("bucket", "n").applyInArrow(add, "block bigint, n int, bucket int, totals binary, types bigint, tokens bigint")
+    told = rows.groupBy("bucket", "n").applyInArrow(add, "block bigint, n int, bucket int, totals binary, types bigint, tokens bigint")
+    return told.withColumn("plain", F.lit(None).cast("array<bigint>"))
+
+
+def totals_by_row(parts: DataFrame, order: int) -> DataFrame:
+    """What totals() gives, with a row for each n-gram and block: an aggregation, and a join of its sums back to those who asked.
+
+    A block and a bucket make one packet in totals(), and there are blocks times buckets of them; on inputs so large that
+    a packet holds few n-grams, single rows cost less.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                train, lengths, _, _, grams = _block(row, order)
+                learned = np.repeat(train, lengths)
+                for n, (keys, at) in enumerate(zip(grams.keys, grams.at, strict=True), 1):
+                    counts = np.bincount(at[learned & (at >= 0)], minlength=len(keys)).astype(np.int64)
+                    for i in range(0, len(keys), 1 << 16):
+                        k, c = keys[i : i + (1 << 16)].view(np.int64), counts[i : i + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(np.full(len(k), row["block"])), pa.array(np.arange(i, i + len(k))), pa.array(k), pa.array(c)], names=["n", "block", "place", "h", "c"])
+
+    rows = parts.select("block", "train", "lengths", "ids", "vocabulary").mapInArrow(ask, "n int, block bigint, place bigint, h bigint, c bigint")
+    sums = stage_table(rows.groupBy("n", "h").agg(F.sum("c").alias("total")), "sums")
+    # One block's n-grams are gathered in a row; what they are is bounded by the block's size.
+    mine = rows.join(sums, ["n", "h"]).groupBy("block", "n").agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("t"))
+    told = mine.select("block", "n", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("totals"), F.col("t.total").alias("plain"), F.lit(0).cast("bigint").alias("types"), F.lit(0).cast("bigint").alias("tokens"))
+    seen = sums.where("n = 1").agg(F.count_if(F.col("total") > 0).alias("types"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"))
+    none = seen.select(F.lit(None).cast("bigint").alias("block"), F.lit(0).alias("n"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("totals"), F.lit(None).cast("array<bigint>").alias("plain"), "types", "tokens")
+    return told.unionByName(none)
 
 
 class Automaton:
@@ -305,9 +336,11 @@ class Automaton:
 def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = ORDER, mass: float = MASS, share: float = SHARE) -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of every text; train: a boolean column, what to learn from."""
     parts = stage_table(blocks(docs, key, text, train), "blocks")
-    tokens = parts.agg(F.sum("tokens")).first()[0] or 0
+    held = parts.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks")).first()
+    tokens, in_block = held["tokens"] or 0, (held["tokens"] or 0) / max(held["blocks"], 1)
     buckets = 1 << max(0, int(order * tokens // BUCKET_TOKENS).bit_length())
-    known = stage_table(totals(parts, order, buckets), "totals")
+    packed_up = buckets == 1 or in_block / buckets >= PACKET
+    known = stage_table(totals(parts, order, buckets) if packed_up else totals_by_row(parts, order), "totals")
     row = known.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n_all, n_types = row["n"] or 0, row["v"] or 0
     kind = docs.schema[key].dataType.simpleString()
@@ -320,8 +353,9 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
             row = {c: block[c][i].as_py() for c in ("train", "lengths", "ids", "vocabulary")}
             train, lengths, ids, _, grams = _block(row, order)
             counts: list[list] = [[] for _ in range(order)]
-            for r in sorted(told.select(["n", "bucket", "totals"]).to_pylist(), key=lambda r: r["bucket"]):
-                counts[r["n"] - 1].append(unpacked(r["totals"], np.int64))
+            for k in np.argsort(told["bucket"].to_numpy(), kind="stable").tolist():
+                n, data, plain = (told[c][k] for c in ("n", "totals", "plain"))
+                counts[n.as_py() - 1].append(unpacked(data.as_py(), np.int64) if data.is_valid else plain.values.to_numpy())
             counts = [np.concatenate(c) if c else np.empty(0, np.int64) for c in counts]
             c = counts[0][grams.at[0]]
             owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -337,7 +371,7 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
         return block.select([]).slice(0, 0)
 
     left = parts.select("block", "keys", "train", "lengths", "ids", "vocabulary").groupBy("block")
-    right = known.select("block", "n", "bucket", "totals").groupBy("block")
+    right = known.where("block is not null").select("block", "n", "bucket", "totals", "plain").groupBy("block")
     return left.cogroup(right).applyInArrow(score, schema)
 
 
