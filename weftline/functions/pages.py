@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import trim_u, value_text
+from weftline.functions.scalars import let, trim_u, value_text
 from weftline.functions.urls import DOCUMENTS, UNFOLLOWED, join_url, same_host
 
 #: Elements that text is read from, and elements and roles whose text is not.
@@ -80,7 +80,7 @@ def _any(c: Column, parts) -> Column:
 
 def soft_block(c: Column) -> Column:
     """Whether a short page says that the visitor is turned away."""
-    return (F.octet_length(c) <= 15000) & _any(F.lower(c), BLOCK_PHRASES)
+    return (F.octet_length(c) <= 15000) & let(F.lower(c), lambda low: _any(low, BLOCK_PHRASES))
 
 
 def usable(c: Column) -> Column:
@@ -100,13 +100,16 @@ def app_mark(c: Column) -> Column:
 
 def useful_state(c: Column) -> Column:
     """Whether embedded data is content and not a list of scripts."""
-    low = F.lower(c)
-    scripts = trim_u(c).startswith("[") & _any(low, ("/_next/static/chunks/", ".js?dpl=", "webpack"))
-    return (F.octet_length(c) >= 200) & ~scripts & _any(low, ITEM_KEYS)
+
+    def content(low: Column) -> Column:
+        scripts = trim_u(c).startswith("[") & _any(low, ("/_next/static/chunks/", ".js?dpl=", "webpack"))
+        return ~scripts & _any(low, ITEM_KEYS)
+
+    return (F.octet_length(c) >= 200) & let(F.lower(c), content)
 
 
 def graphql(c: Column) -> Column:
-    return _any(F.lower(c), GRAPHQL)
+    return let(F.lower(c), lambda low: _any(low, GRAPHQL))
 
 
 # --- the element tree ------------------------------------------------------------------------------------------

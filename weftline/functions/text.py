@@ -43,9 +43,9 @@ PHRASES = (
     ("credit:", rf"(?i)credit:{RE2_SPACE}*[\w\t\n\f\r ]+/[\w\t\n\f\r ]+"),
     ("flickr", rf"(?i)\w+{RE2_SPACE}*/{RE2_SPACE}*flickr{RE2_SPACE}*/{RE2_SPACE}*cc{RE2_SPACE}*b[y]{RE2_SPACE}*[\d.]*"),
     ("of", rf"(?i)\d{{1,2}}{RE2_SPACE}+of{RE2_SPACE}+\d{{1,2}}"),
-    ("continue to", r"(?i)continue to( \d+)? of \d+ below"),
-    ("continue to", r"(?i)continue to below"),
-    ("see all", r"(?i)see all"),
+    ("continue", r"(?i)continue to( \d+)? of \d+ below"),
+    ("continue", r"(?i)continue to below"),
+    ("see", r"(?i)see all"),
     ("inches", r"(?i)\d+inches"),
     ("pounds", r"(?i)\d+pounds"),
     ("inchesweight", rf"(?i)\d+{RE2_SPACE}*inchesweight:"),
@@ -55,8 +55,8 @@ PHRASES = (
     ("yearslife", r"(?i)[a-z]+yearslife"),
     ("minkcolors", r"(?i)minkcolors"),
     ("smokelife", r"(?i)smokelife"),
-    ("et al", rf"(?i)\w+,{RE2_SPACE}*[a-zA-Z]+,?{RE2_SPACE}+et al[^.]*"),
-    ("journal of", r"(?i)journal of [^.]{0,60}"),
+    ("", rf"(?i)\w+,{RE2_SPACE}*[a-zA-Z]+,?{RE2_SPACE}+et al[^.]*"),
+    ("journal", r"(?i)journal of [^.]{0,60}"),
     ("doi:", r"(?i)doi:[^\t\n\f\r ]+"),
     ("squamous", r"(?i)squamous cell cancer[^.]*"),
     ("cornell", r"(?i)cornell university[^.]*"),
@@ -68,9 +68,9 @@ PHRASES = (
     ("", rf"({RE2_SPACE}+\.{RE2_SPACE}*){{2,}}"),
     ("", rf"^{RE2_SPACE}*\.{RE2_SPACE}*"),
     ("", rf"{RE2_SPACE}+\.{RE2_SPACE}+"),
-    ("more from", r"(?i)more from [^\n]{0,40}"),
-    ("what to buy", r"(?i)what to buy"),
-    ("terms of", r"(?i)terms of service"),
+    ("more", r"(?i)more from [^\n]{0,40}"),
+    ("buy", r"(?i)what to buy"),
+    ("terms", r"(?i)terms of service"),
     ("privacy", r"(?i)privacy policy"),
     ("editorial", r"(?i)editorial guidelines"),
     ("editorial", r"(?i)editorial policy"),
@@ -244,11 +244,20 @@ def gate(c: Column, scored: bool = False) -> Column:
 
 
 def strip_phrases(c: Column) -> Column:
-    def step(part: str, pattern: str):
-        swap = lambda x: F.regexp_replace(x, pattern, " ")
-        return (lambda x: F.when(F.lower(x).contains(part), swap(x)).otherwise(x)) if part else swap
+    """Without the sites' phrases, one after the other.
 
-    return F.regexp_replace(reduce(let, (step(*p) for p in PHRASES), c), RE2_SPACE + "{2,}", " ")
+    The parts that spare a text a pattern are looked for in the text as it came: they hold no space, and as phrases give way to a
+    space, no such part comes up that wasn't there.
+    """
+
+    def every(text: Column, low: Column) -> Column:
+        def step(part: str, pattern: str):
+            swap = lambda x: F.regexp_replace(x, pattern, " ")
+            return (lambda x: F.when(low.contains(part), swap(x)).otherwise(x)) if part else swap
+
+        return reduce(let, (step(*p) for p in PHRASES), text)
+
+    return F.regexp_replace(let(c, lambda text: let(F.lower(text), lambda low: every(text, low))), RE2_SPACE + "{2,}", " ")
 
 
 def _prose_word(w: Column) -> Column:
