@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,22 +70,32 @@ class QuerySpec:
 # --- shared stages ---------------------------------------------------------------------------------------------
 
 
-def sort_keys(text: Column, descending: bool) -> list[Column]:
-    """Numbers by value before other texts; ties keep their order."""
+def _sort_parts(text: Column) -> list[Column]:
+    """Numbers by value before other texts."""
     number = text.try_cast("double")
     number = F.when(~F.isnan(number), number)
-    keys = [number.isNull(), number, F.when(number.isNull(), text)]
-    return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys] + [F.col(ORD).asc()]
+    return [number.isNull(), number, F.when(number.isNull(), text)]
+
+
+def sort_keys(text: Column, descending: bool) -> list[Column]:
+    """The order of rows by a field; ties keep their own."""
+    return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in _sort_parts(text)] + [F.col(ORD).asc()]
+
 
+def first_of(df: DataFrame, keys: list[Column], sort: Column | None = None, descending: bool = False) -> DataFrame:
+    """The first row of each key, in the rows' own order or by the text `sort`.
 
-def first_of(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key: an aggregation where order is the rows' own, which combines before it shuffles."""
-    rest = [c for c in df.columns]
-    if len(order) == 1:
-        named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-        return df.groupBy(*named).agg(F.min_by(F.struct(*rest), ORD).alias("_row")).select("_row.*")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    An aggregation that combines before it shuffles: a key that many rows share costs one row a task.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*df.columns)
+    if sort is None:
+        first = F.min_by(row, ORD)
+    elif descending:
+        first = F.max_by(row, F.struct(*_sort_parts(sort), -F.col(ORD)))
+    else:
+        first = F.min_by(row, F.struct(*_sort_parts(sort), F.col(ORD)))
+    return df.groupBy(*named).agg(first.alias("_row")).select("_row.*")
 
 
 def paged(df: DataFrame, spec: QuerySpec, order: list[Column]) -> DataFrame:
@@ -223,13 +233,13 @@ def compile_typed(spec: QuerySpec, df: DataFrame) -> DataFrame:
         for h in hits[1:]:
             test = (test & h) if spec.keywords_mode == "and" else (test | h)
         df = df.where(test)
-    order = [F.col(ORD).asc()]
+    text = None
     if spec.sort:
         text = go_str(F.col(spec.sort), df.schema[spec.sort].dataType.simpleString()) if spec.sort in df.columns else F.lit("<nil>")
-        order = sort_keys(text, spec.descending)
+    order = [F.col(ORD).asc()] if text is None else sort_keys(text, spec.descending)
     if spec.dedup or spec.dedup_key:
         keys = list(spec.dedup_key) or sorted(c for c in inner(df) if c != "_source")
-        df = first_of(df, [F.col(k) if k in df.columns else F.lit(None) for k in keys], order)
+        df = first_of(df, [F.col(k) if k in df.columns else F.lit(None) for k in keys], text, spec.descending)
     df = paged(df, spec, order)
     if spec.count:
         return df.agg(F.count("*").alias("count"))
@@ -283,7 +293,7 @@ def compile_json(spec: QuerySpec, df: DataFrame) -> DataFrame:
     out = df.select(F.col(ORD).cast("bigint"), DOC).mapInArrow(run, schema)
     order = sort_keys(F.col("_sort"), spec.descending) if spec.sort else [F.col(ORD).asc()]
     if spec.dedup or spec.dedup_key:
-        out = first_of(out, [F.col("_hash")], order)
+        out = first_of(out, [F.col("_hash")], F.col("_sort") if spec.sort else None, spec.descending)
     out = paged(out, spec, order)
     return out.agg(F.count("*").alias("count")) if spec.count else out.select(ORD, DOC)
 
