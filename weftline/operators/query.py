@@ -70,31 +70,38 @@ class QuerySpec:
 # --- shared stages ---------------------------------------------------------------------------------------------
 
 
-def _sort_parts(text: Column) -> list[Column]:
+def sort_parts(text: Column) -> list[Column]:
     """Numbers by value before other texts."""
     number = text.try_cast("double")
     number = F.when(~F.isnan(number), number)
     return [number.isNull(), number, F.when(number.isNull(), text)]
 
 
-def sort_keys(text: Column, descending: bool) -> list[Column]:
+def number_parts(c: Column) -> list[Column]:
+    """sort_parts() of a numeric column, without its text."""
+    number = c.cast("double")
+    number = F.when(~F.isnan(number), number)
+    return [number.isNull(), number, F.when(c.isNull(), "<nil>").when(number.isNull(), "NaN")]
+
+
+def sort_keys(parts: list[Column], descending: bool) -> list[Column]:
     """The order of rows by a field; ties keep their own."""
-    return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in _sort_parts(text)] + [F.col(ORD).asc()]
+    return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in parts] + [F.col(ORD).asc()]
 
 
-def first_of(df: DataFrame, keys: list[Column], sort: Column | None = None, descending: bool = False) -> DataFrame:
-    """The first row of each key, in the rows' own order or by the text `sort`.
+def first_of(df: DataFrame, keys: list[Column], parts: list[Column] | None = None, descending: bool = False) -> DataFrame:
+    """The first row of each key, in the rows' own order or by the parts of a sort.
 
     An aggregation that combines before it shuffles: a key that many rows share costs one row a task.
     """
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     row = F.struct(*df.columns)
-    if sort is None:
+    if parts is None:
         first = F.min_by(row, ORD)
     elif descending:
-        first = F.max_by(row, F.struct(*_sort_parts(sort), -F.col(ORD)))
+        first = F.max_by(row, F.struct(*parts, -F.col(ORD)))
     else:
-        first = F.min_by(row, F.struct(*_sort_parts(sort), F.col(ORD)))
+        first = F.min_by(row, F.struct(*parts, F.col(ORD)))
     return df.groupBy(*named).agg(first.alias("_row")).select("_row.*")
 
 
@@ -233,13 +240,17 @@ def compile_typed(spec: QuerySpec, df: DataFrame) -> DataFrame:
         for h in hits[1:]:
             test = (test & h) if spec.keywords_mode == "and" else (test | h)
         df = df.where(test)
-    text = None
+    parts = None
     if spec.sort:
-        text = go_str(F.col(spec.sort), df.schema[spec.sort].dataType.simpleString()) if spec.sort in df.columns else F.lit("<nil>")
-    order = [F.col(ORD).asc()] if text is None else sort_keys(text, spec.descending)
+        kind = df.schema[spec.sort].dataType if spec.sort in df.columns else None
+        if isinstance(kind, T.NumericType):
+            parts = number_parts(F.col(spec.sort))
+        else:
+            parts = sort_parts(go_str(F.col(spec.sort), kind.simpleString()) if kind else F.lit("<nil>"))
+    order = [F.col(ORD).asc()] if parts is None else sort_keys(parts, spec.descending)
     if spec.dedup or spec.dedup_key:
         keys = list(spec.dedup_key) or sorted(c for c in inner(df) if c != "_source")
-        df = first_of(df, [F.col(k) if k in df.columns else F.lit(None) for k in keys], text, spec.descending)
+        df = first_of(df, [F.col(k) if k in df.columns else F.lit(None) for k in keys], parts, spec.descending)
     df = paged(df, spec, order)
     if spec.count:
         return df.agg(F.count("*").alias("count"))
@@ -291,9 +302,10 @@ def compile_json(spec: QuerySpec, df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=[ORD, DOC, "_sort", "_hash"])
 
     out = df.select(F.col(ORD).cast("bigint"), DOC).mapInArrow(run, schema)
-    order = sort_keys(F.col("_sort"), spec.descending) if spec.sort else [F.col(ORD).asc()]
+    parts = sort_parts(F.col("_sort")) if spec.sort else None
+    order = [F.col(ORD).asc()] if parts is None else sort_keys(parts, spec.descending)
     if spec.dedup or spec.dedup_key:
-        out = first_of(out, [F.col("_hash")], F.col("_sort") if spec.sort else None, spec.descending)
+        out = first_of(out, [F.col("_hash")], parts, spec.descending)
     out = paged(out, spec, order)
     return out.agg(F.count("*").alias("count")) if spec.count else out.select(ORD, DOC)
 
