@@ -332,5 +332,10 @@ ORACLE_SQL = {
     "x_orphans": ctes("queue", "urls", "datasets") + " SELECT queue_id FROM queue WHERE dataset_url_id IN (SELECT dataset_url_id FROM urls WHERE dataset_id IN (SELECT dataset_id FROM datasets WHERE dataset_id > 100))",
     "x_active": ctes("datasets", "versions") + " SELECT dataset_id, CAST(CASE WHEN active_version IS NULL OR EXISTS (SELECT 1 FROM versions v WHERE v.dataset_id = s.dataset_id AND v.version_number = s.active_version) THEN active_version ELSE (SELECT max(version_number) FROM versions v WHERE v.dataset_id = s.dataset_id) END AS INT) AS active_version FROM datasets s",
     "x_missing": ctes("versions") + " SELECT count(*) AS missing FROM versions WHERE entity_count = 0",
+    "w_rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, t AS since, 1 AS used, true AS allowed FROM e WHERE i = 1 UNION ALL
+ SELECT e.event_id, e.user_id, e.i, CASE WHEN e.t - r.since > 86400 THEN e.t ELSE r.since END, CASE WHEN e.t - r.since > 86400 THEN 1 WHEN r.used >= 3 THEN r.used ELSE r.used + 1 END, e.t - r.since > 86400 OR r.used < 3
+ FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, allowed, CAST(CASE WHEN allowed THEN 3 - used ELSE 0 END AS INT) AS remaining FROM r""",
     "x_counted": ctes("versions") + " SELECT file_path, CASE WHEN entity_count = 0 AND version_number < 4 THEN 11 ELSE entity_count END AS entity_count FROM versions",
 }
