@@ -70,8 +70,12 @@ def contained(docs: DataFrame, items: DataFrame, size: int = WORDS, least: float
 
 
 def kept(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs that hold no item; rows without an id stay. Columns stay."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs that hold no item; rows without an id stay. Columns stay.
+
+    The ids that go are written first: where the written table is small Spark broadcasts it and the texts stay where they are.
+    """
+    gone = stage_table(contained(docs, items).select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 CONTAINED_SQL = r"""
