@@ -1,0 +1,145 @@
+"""Near duplicates by five-word shingles: texts whose shingle sets have a Jaccard similarity of SIMILAR or more.
+
+Candidates share a band of MinHash values: with BANDS bands of ROWS values a pair at SIMILAR is missed with a probability of
+(1 - SIMILAR ** ROWS) ** BANDS, 5e-7, more alike ones with less. Each candidate is verified by its texts' shingles themselves.
+Groups are the components of the verified links. First every member of a band's bucket is held against one of them, twice, and
+only then all pairs whose ends are in different groups still; so a bucket of one group costs as many pairs as it has members.
+
+Texts of equal words are one node from the start; null and empty texts, and those without words, are equal. Texts of up
+to WORDS words are one shingle. Rows without an id are not looked at. Other columns of the input are not looked at.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+from hashlib import md5
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from weftline.llm.common import by_bytes, components, give_back, small_batches, stage_table
+
+WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 48, 6
+BATCH_BYTES = 1 << 20
+_RNG = np.random.default_rng(8)
+_XOR, _TIMES, _MIX = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(3))
+_TIMES |= np.uint64(1)
+_MIX |= np.uint64(1)
+
+
+def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
+    """The word shingles of a text; none where it has no words."""
+    w = text.lower().split()
+    if len(w) <= words:
+        return {b" ".join(w)} if w else set()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def bands(found: set[bytes]) -> np.ndarray:
+    """One key for each band of the MinHash values of shingles, as signed longs."""
+    h = np.fromiter(map(xxh64_intdigest, found, repeat(42)), np.uint64, len(found))
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(h), 1 << 10):
+        np.minimum(least, ((h[None, i : i + (1 << 10)] ^ _XOR[:, None]) * _TIMES[:, None]).min(1), out=least)
+    return ((least ^ (least >> np.uint64(29))) * _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).select(F.col("doc_id").alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("b"))
+
+
+def _digests(texts: DataFrame) -> DataFrame:
+    """(node, digest): of the words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, 1, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([md5(b" ".join(t.lower().split())).digest() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "digest"])
+        give_back()
+
+    return texts.mapInArrow(run, f"node {texts.schema['node'].dataType.simpleString()}, digest binary")
+
+
+def _keys(texts: DataFrame) -> DataFrame:
+    """(node, n, k): the number of shingles and the bands' keys of each text that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, 1, BATCH_BYTES):
+                found = [shingles(t) for t in part.column(1).to_pylist()]
+                at = np.array([i for i, s in enumerate(found) if s], np.int64)
+                keys = [bands(found[i]) for i in at]
+                n = np.repeat(np.array([len(found[i]) for i in at], np.int32), BANDS)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(at, BANDS))), pa.array(n, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["node", "n", "k"])
+        give_back()
+
+    return texts.mapInArrow(run, f"node {texts.schema['node'].dataType.simpleString()}, n int, k bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are that similar."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, 2, BATCH_BYTES):
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                good, last, held = [], None, set()
+                for x, y in zip(left, right, strict=True):
+                    if y != last:
+                        last, held = y, shingles(y)
+                    good.append(similarity(shingles(x), held) >= similar)
+                out = part.filter(pa.array(good, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out.columns[:2], names=["a", "b"])
+        give_back()
+
+    # b first: where many pairs share it, its text goes to the pairs before they are dealt by a.
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("b").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("b").alias("x")), "a")
+    return stage_table(both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+
+
+def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(node, component): the least doc_id of each kind of text, and that of its group."""
+    texts = _texts(docs)
+    each = stage_table(_digests(texts).groupBy("digest").agg(F.min("node").alias("node")).select("node").distinct(), "nodes")
+    # A repeated id may bring texts of other nodes along; they are compared as its own.
+    kept = texts.join(each, "node", "left_semi").distinct()
+    keys = stage_table(_keys(kept), "bands")
+    shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    held = stage_table(keys.join(shared, "k"), "shared")
+    texts = stage_table(kept.join(held.select("node").distinct(), "node", "left_semi"), "texts")
+    near = (F.least("n", "m") >= similar * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
+
+    links: list[DataFrame] = []
+    named = held.withColumn("g", F.col("node"))
+    for seed in (1, 2, None):
+        mixed = named.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(seed or 0)).alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("o"))).alias("c")).where("low <> high")
+        left = named.withColumnRenamed("node", "a")
+        if seed:
+            pairs = left.join(mixed.select("k", "c.b", "c.m", "c.o"), "k")
+        else:
+            rest = named.join(mixed.select("k"), "k")
+            pairs = rest.withColumnRenamed("node", "a").join(rest.selectExpr("k", "node AS b", "n AS m", "g AS o"), "k").where("g < o")
+        pairs = pairs.where((F.col("g") != F.col("o")) & near).select("a", "b").distinct()
+        links.append(_verified(stage_table(pairs, "pairs"), texts, similar))
+        found = components(reduce(DataFrame.unionByName, links))
+        if seed:
+            named = stage_table(held.join(found, "node", "left").select("node", "n", "k", F.coalesce("component", "node").alias("g")), "named")
+    return each.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def kept(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each group, that of the least doc_id; rows without an id all stay."""
+    first = groups(docs.where("doc_id is not null"), similar).where("node = component").select(F.col("node").alias("doc_id")).distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
