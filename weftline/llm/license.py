@@ -4,7 +4,8 @@ A text's words are its runs of letters and digits, in lower case. Of a template'
 (the least hash in every window of WINDOW) stand in an inverted index of (template, place). Places of a document where an indexed
 sequence stands are gathered by template and diagonal; each gathering is one candidate stretch, which is aligned with
 the template within a band of at most BAND words around its diagonals. The alignment's matched words give the coverage, their first
-and last the span, in characters of the text. A match inside a longer match of another template is left out.
+and last the span, in characters of the text. A match inside one of as many words or more is left out, if that is
+of the same license or covers its template at least as well.
 
 Null and empty texts hold no match. Repeated rows are scanned each; a document with several matches has a row for
 each, in place. Texts are read whole. Columns other than the id and the text are not looked at.
@@ -125,13 +126,14 @@ class Index:
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(lower)]
-        found.sort(key=lambda x: (x[1], -x[2], -x[3], x[0]))
+        cover = lambda t, n: n / len(self.ids[t])
+        found.sort(key=lambda x: (x[1], -x[2], -x[3], -cover(x[0], x[3]), x[0]))
         out, open_ = [], []
         for t, a, b, n in found:  # a match that holds another begins no later, so it comes first
             open_ = [x for x in open_ if x[0] >= a]
-            if not any(b <= d and m >= n for d, m in open_):
-                open_.append((b, n))
-                out.append((self.names[t], spans[a][0], spans[b][1], n, len(self.ids[t]), n / len(self.ids[t])))
+            if not any(b <= d and m >= n and (self.names[t] == self.names[o] or cover(o, m) >= cover(t, n)) for d, m, o in open_):
+                open_.append((b, n, t))
+                out.append((self.names[t], spans[a][0], spans[b][1], n, len(self.ids[t]), cover(t, n)))
         return out
 
     def band(self, t: int) -> int:
