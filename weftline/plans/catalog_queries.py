@@ -87,6 +87,11 @@ def v_rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.rolled_back(d(spark, sf_dir, "datasets"), d(spark, sf_dir, "versions"), 5, 2, freeze=True).where("dataset_id < 10").select("dataset_id", "active_version", "is_frozen")
 
 
+def v_rolled_back_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset after the rollback of one."""
+    return versions.rolled_back(d(spark, sf_dir, "datasets"), d(spark, sf_dir, "versions"), 5, 2, freeze=True).select("dataset_id", "active_version", "is_frozen")
+
+
 def v_cloned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, v, u = versions.cloned(d(spark, sf_dir, "datasets").withColumn("is_cloned", F.lit(False)).withColumn("cloned_from", F.lit(None).cast("bigint")), d(spark, sf_dir, "versions"), d(spark, sf_dir, "urls"), 4, 9_000_000, "u99")
     a = s.where("dataset_id in (4, 9000000)").select("dataset_id", "user_id", "clone_count", "is_cloned")
@@ -207,6 +212,12 @@ def r_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unique_names(taken, wanted)
 
 
+def r_unique_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for all customers, a fifth of them for each base name."""
+    taken = spark.range(1).selectExpr("explode(array('AUTOMOBILE', 'BUILDING_1')) AS user_name")
+    return C.unique_names(taken, t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("user_name"), F.col("c_custkey").alias("user_id")))
+
+
 def _queue(f):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = d(spark, sf_dir, "queue").withColumn("created_at", F.expr("created_at + make_interval(30)")).withColumn("locked_at", F.expr("locked_at + make_interval(30)"))
@@ -260,7 +271,7 @@ QUERIES = {
     "r_batch": r_batch, "r_without_open": r_without_open, "r_over_cap": r_over_cap, "r_gates": r_gates, "r_expiry": r_expiry, "r_refresh": r_refresh, "r_delete": r_delete, "r_upsert": r_upsert, "r_insert": r_insert,
     "r_unique_names": r_unique_names, "x_stuck_locks": _queue(lambda q, a: C.stuck_locks(q, a).select("queue_id", "locked_at")), "x_stuck_stages": _queue(lambda q, a: C.stuck_stages(q, a).select("queue_id", "status")),
     "x_stuck_fetches": _queue(lambda q, a: C.stuck_fetches(q, a).select("queue_id", "status", "crawl_attempts")), "x_raw_only": x_raw_only, "x_orphans": x_orphans, "x_active": x_active, "x_missing": x_missing,
-    "x_counted": x_counted, "w_rate_limit": w_rate_limit,
+    "x_counted": x_counted, "w_rate_limit": w_rate_limit, "v_rolled_back_all": v_rolled_back_all, "r_unique_names_all": r_unique_names_all,
 }
 
 
@@ -325,6 +336,8 @@ ORACLE_SQL = {
     "r_upsert": ctes("users") + " SELECT user_id, 'starter' AS plan FROM users UNION ALL SELECT 'u77', 'free'",
     "r_insert": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region",
     "r_unique_names": "SELECT user_id, CASE WHEN k = 0 THEN seg ELSE concat(seg, '_', k) END AS user_name FROM (SELECT c_custkey AS user_id, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer WHERE c_custkey <= 40) JOIN (SELECT seg, k, row_number() OVER (PARTITION BY seg ORDER BY k) AS i FROM (SELECT seg, unnest(range(60)) AS k FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer)) WHERE NOT (seg = 'AUTOMOBILE' AND k = 0) AND NOT (seg = 'BUILDING' AND k = 1)) USING (seg, i)",
+    "v_rolled_back_all": ctes("versions", "datasets") + " SELECT dataset_id, CAST(CASE WHEN h THEN 2 ELSE active_version END AS INT) AS active_version, CASE WHEN h THEN true ELSE is_frozen END AS is_frozen FROM (SELECT *, dataset_id = 5 AND EXISTS (SELECT 1 FROM versions v WHERE v.dataset_id = 5 AND version_number = 2) AS h FROM datasets)",
+    "r_unique_names_all": "SELECT user_id, CASE WHEN k = 0 THEN seg ELSE concat(seg, '_', k) END AS user_name FROM (SELECT c_custkey AS user_id, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT seg, k, row_number() OVER (PARTITION BY seg ORDER BY k) AS i FROM (SELECT seg, unnest(range(n + 2)) AS k FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment)) WHERE NOT (seg = 'AUTOMOBILE' AND k = 0) AND NOT (seg = 'BUILDING' AND k = 1)) USING (seg, i)",
     "x_stuck_locks": ctes("queue") + f", {_SHIFT} SELECT queue_id, CASE WHEN locked_at < {AS_OF} - INTERVAL 30 MINUTE AND status NOT IN ('done', 'failed') THEN NULL ELSE locked_at END AS locked_at FROM q",
     "x_stuck_stages": ctes("queue") + f", {_SHIFT} SELECT queue_id, CASE WHEN status IN ('proceed-format', 'proceed-extract', 'proceed-version') AND created_at < {AS_OF} - INTERVAL 2 HOUR THEN 'pending' ELSE status END AS status FROM q",
     "x_stuck_fetches": ctes("queue") + f", {_SHIFT}, h AS (SELECT *, status = 'crawling' AND coalesce(locked_at, created_at) < {AS_OF} - INTERVAL 30 MINUTE AS hit FROM q) SELECT queue_id, CASE WHEN hit THEN 'pending' ELSE status END AS status, CAST(CASE WHEN hit THEN greatest(crawl_attempts - 1, 0) ELSE crawl_attempts END AS INT) AS crawl_attempts FROM h",
