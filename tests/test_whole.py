@@ -24,3 +24,13 @@ def test_whole_query(spark, name, key, table):
     want = con.sql(registry.ORACLE_SQL[name])
     at = [want.columns.index(c) for c in sorted(got.columns)]
     assert rows == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_slug_of_whole_texts(spark):
+    name = "t_slug_all"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = {r["doc_id"]: r["out"] for r in registry.QUERIES[name](spark, SF).collect()}
+    want = con.sql(registry.ORACLE_SQL[name])
+    assert want.columns == ["doc_id", "out"] and got == dict(want.fetchall())
+    assert max(map(len, got.values())) > 1000
