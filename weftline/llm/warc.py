@@ -7,7 +7,7 @@ first one's record id, orders them by segment number, checks that none is missin
 as told, and decodes the chunked transfer framing of the payload.
 
 Null payloads are empty; empty ones are records without payload. Very long payloads become many segments. Rows without an
-id are written too, with record ids of their own, and come back with a null id. Repeated rows are records each;
+id are written too, with record ids of their own, and come back with a null id. Repeated rows are records each, with record ids of their own;
 among equal payloads every row of the least id is a response. Extra columns are not written.
 """
 
@@ -18,10 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_dir
+from weftline.llm.common import shared_dir, stage_table
 
 #: Payloads of fewer bytes are never revisits of another.
 REVISIT_BYTES = 100
@@ -108,18 +109,30 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def typed(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
-    """(id, url, payload, digest, type, refers_to): what kind of record each row becomes."""
+    """(id, url, payload, size, digest, type, refers_to, nth, refers_many): what kind of record each row becomes.
+
+    nth numbers the rows of an id and digest where the id occurs more than once; refers_many says that of refers_to.
+    """
     rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    # Written first, so that Spark knows how small it is: the other rows stay where they are.
+    many = stage_table(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Only digests with a revisit are joined back: one row for each group of equal payloads.
     first = (
         rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where("first < last").select("digest", "first")
+        .join(many.select(F.col("id").alias("first"), F.lit(True).alias("refers_many")), "first", "left")
     )
+    if many.isEmpty():
+        rows = rows.withColumn("nth", F.lit(None).cast("int"))
+    else:
+        numbered = rows.join(many, "id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "digest").orderBy("url")))
+        rows = rows.join(many, "id", "left_anti").withColumn("nth", F.lit(None).cast("int")).unionByName(numbered)
     again = F.col("first").isNotNull() & (F.octet_length("payload") >= REVISIT_BYTES) & (F.col("id") > F.col("first"))
     return rows.join(first, "digest", "left").select(
         "id", "url", F.when(~F.coalesce(again, F.lit(False)), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "digest",
         F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("first")).alias("refers_to"),
+        "nth", F.coalesce("refers_many", F.lit(False)).alias("refers_many"),
     )
 
 
@@ -132,19 +145,24 @@ def write(rows: DataFrame, folder: str, segment: int = SEGMENT) -> None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 out = []
                 for r in batch.slice(start, 64).to_pylist():
-                    # A row without an id gets a record id from what it holds.
-                    name = str(r["id"]) if r["id"] is not None else "none-" + hashlib.sha256(f"{r['url']}\n{r['digest']}".encode()).hexdigest()
+                    # A row without an id gets a record id from what it holds and where it stands; all segments of a row are of one task.
+                    count += 1
+                    if r["id"] is None:
+                        name = "none-" + hashlib.sha256(f"{r['url']}\n{r['digest']}".encode()).hexdigest() + f".{task}.{count}"
+                    else:
+                        name = str(r["id"]) if r["nth"] is None else f"{r['id']};{r['digest']}.{r['nth']}"
                     uri = "".join(r["url"].split()) or "about:blank"
                     headers = [
                         ("WARC-Type", r["type"]), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri),
                         ("WARC-Payload-Digest", f"sha256:{r['digest']}"), ("Content-Type", "application/http; msgtype=response"),
                     ]
                     if r["type"] == "revisit":
-                        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{r['refers_to']}>")]
+                        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{r['refers_to']}{';' + r['digest'] + '.1' if r['refers_many'] else ''}>")]
                         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: %d\r\n\r\n" % r["size"]
                     else:
                         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(r["payload"])
@@ -246,7 +264,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(pages.sparkSession)}/archives"
     write(typed(pages), folder)
     back = payloads(reassembled(read(pages.sparkSession, folder)))
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)(?:;[0-9a-f]+\.\d+)?>$", 1)
     page = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return back.select(
         page("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
