@@ -2,7 +2,7 @@
 
 DataFrame functions only. Trust starts from hosts in proportion to their pages that a rule allows and follows
 links; distrust starts from their pages that a rule blocks and follows links backwards, to those who
-link there. Both are personalised PageRanks, iterated until they change by less than TOLERANCE in total. A host is
+link there. Both are personalised PageRanks, iterated until they change by at most TOLERANCE of their total. A host is
 blocked when distrust makes up more than THRESHOLD of its distrust, trust and neutral mass, the last being one
 restart share for each page that no rule fits; without links that is the share of its pages that rules block.
 
@@ -13,12 +13,16 @@ are not looked at. Rules are a parameter: a list a person writes, not data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, stage_table
 
-DAMPING, TOLERANCE, MOST_ROUNDS, THRESHOLD = 0.85, 1e-6, 50, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
+#: A round moves at most DAMPING times what the one before moved, so the tolerance holds by then; one more for rounding.
+MOST_ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING)) + 1
 #: (verdict, host, path).
 RULES = (
     ("allow", "com", "/"),
@@ -79,6 +83,8 @@ def ranks(hosts: DataFrame, edges: DataFrame) -> DataFrame:
         state = new
         if (moved["moved"] or 0.0) <= TOLERANCE * (moved["all"] or 0.0):
             break
+    else:
+        raise RuntimeError(f"ranks still move after {MOST_ROUNDS} rounds")
     return state.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
