@@ -1,12 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network labels every byte position of the text; a document's probabilities are the mean over all its
-letters' positions. It reads whole texts, in segments of SEGMENT bytes that are independent of each other
-so that thousands advance together. It is trained here, by backpropagation through time, on a
-bounded sample of labelled rows (`sample`, 1500 by default).
+letters' positions. It reads whole texts, in segments of SEGMENT bytes so that thousands advance together; either
+direction's state has read CONTEXT bytes of the text in front of a segment's first position, so none is labelled from a blank state but at the
+text's ends. It is trained here, by backpropagation through time, on a bounded sample of labelled rows
+(`sample`, 1500 by default, shared alike by the languages).
 
 Texts that are null or hold no letter get `und` with score 0. If no row can teach, every text does. Rows are
-scored one by one, so repeats and ties need no care; other columns are never looked at.
+scored one by one, so repeats and ties need no care; other columns are never looked at, and one named like an output
+is replaced by it.
 """
 
 from __future__ import annotations
@@ -16,19 +18,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import by_bytes, crc_bucket, give_back, hashed_sample, small_batches
+from weftline.llm.common import beside, by_bytes, crc_bucket, give_back, hashed_sample, mapped, named, small_batches, spread
 
-SEGMENT, HIDDEN = 64, 8
+SEGMENT, CONTEXT, HIDDEN = 96, 16, 8
 BATCH_BYTES, LANES = 1 << 20, 2048
+#: The places of a segment's own bytes among those that are read for it.
+CORE = slice(CONTEXT, CONTEXT + SEGMENT)
 
 
-def segments(text: bytes) -> np.ndarray:
-    """(segments, SEGMENT) of text's bytes, the last filled with zeros."""
-    n = -len(text) % SEGMENT
-    return np.frombuffer(text + bytes(n), np.uint8).reshape(-1, SEGMENT)
+def segments(text: bytes, start: int = 0, end: int | None = None) -> np.ndarray:
+    """(segments, CONTEXT + SEGMENT + CONTEXT): the bytes start..end of text in segments, zeros beyond the text's ends."""
+    end = len(text) if end is None else end
+    n = max(1, -(-(end - start) // SEGMENT))
+    low, high = start - CONTEXT, start + n * SEGMENT + CONTEXT
+    part = bytes(max(0, -low)) + text[max(0, low) : high] + bytes(max(0, high - len(text)))
+    return sliding_window_view(np.frombuffer(part, np.uint8), SEGMENT + 2 * CONTEXT)[::SEGMENT]
 
 
 class Net:
@@ -50,7 +59,7 @@ class Net:
         return {**{("w", g): x for g, x in self.w.items()}, **{("u", g): x for g, x in self.u.items()}, "o": self.o, "c": self.c}
 
     def states(self, x: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """(2, SEGMENT, lanes, HIDDEN) states of both directions; x: (lanes, SEGMENT) bytes.
+        """(2, bytes, lanes, HIDDEN) states of both directions; x: (lanes, bytes).
 
         Index t of the second direction is the t-th byte from the end.
         """
@@ -85,9 +94,9 @@ class Net:
         return out
 
     def position_probs(self, states: np.ndarray) -> np.ndarray:
-        """(SEGMENT, lanes, labels) probabilities of every position."""
-        logits = states[0] @ self.o[:HIDDEN]
-        logits += states[1, ::-1] @ self.o[HIDDEN:]
+        """(SEGMENT, lanes, labels) probabilities of every position of the segments themselves."""
+        logits = states[0, CORE] @ self.o[:HIDDEN]
+        logits += states[1, ::-1][CORE] @ self.o[HIDDEN:]
         logits += self.c
         logits -= logits.max(-1, keepdims=True)
         np.exp(logits, out=logits)
@@ -96,20 +105,33 @@ class Net:
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """(texts, labels): mean probabilities over the positions of letters (bytes of letters in ASCII and all bytes above it)."""
-        parts = [segments(t) for t in texts]
-        x = np.concatenate(parts) if parts else np.empty((0, SEGMENT), np.uint8)
-        total = np.zeros((len(x), len(self.labels)), np.float64)
-        for i in range(0, len(x), LANES):
-            part = x[i : i + LANES]
-            p = self.position_probs(self.states(part))
-            p *= LETTER[part.T][:, :, None]
-            total[i : i + LANES] = p.sum(0)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        sums = np.stack([np.bincount(owner, total[:, k], len(parts)) for k in range(len(self.labels))], 1)
+        sums = np.zeros((len(texts), len(self.labels)))
+        held, owner, size = [], [], 0
+
+        def add() -> None:
+            x, of = np.concatenate(held), np.concatenate(owner)
+            for i in range(0, len(x), LANES):
+                part = x[i : i + LANES]
+                p = self.position_probs(self.states(part))
+                p *= LETTER[part.T[CORE]][:, :, None]
+                total = p.sum(0)
+                for k in range(len(self.labels)):
+                    sums[:, k] += np.bincount(of[i : i + LANES], total[:, k], len(texts))
+
+        for i, t in enumerate(texts):
+            for a in range(0, max(1, len(t)), LANES * SEGMENT):
+                held.append(segments(t, a, min(len(t), a + LANES * SEGMENT)))
+                owner.append(np.full(len(held[-1]), i))
+                size += len(held[-1])
+                if size >= 8 * LANES:
+                    add()
+                    held, owner, size = [], [], 0
+        if held:
+            add()
         return sums / np.maximum(sums.sum(1, keepdims=True), 1e-30)
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int, lanes: int = 384, rate: float = 0.01, seed: int = 7) -> None:
-        """Adam on the cross entropy of every letter's position; x: (rows, SEGMENT) bytes, y: the rows' labels."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int, lanes: int = 256, rate: float = 0.01, seed: int = 7) -> None:
+        """Adam on the cross entropy of every letter's position; x: (rows, bytes of a segment and its context), y: the rows' labels."""
         rng, params = np.random.default_rng(seed), self.params()
         first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -126,11 +148,13 @@ class Net:
         """Backpropagation through time over both directions."""
         tape: list = []
         states = self.states(x, tape)
-        d_logits = self.position_probs(states)
-        d_logits[:, np.arange(len(y)), y] -= 1
-        mask = LETTER[x.T]
-        d_logits *= (mask / max(mask.sum(), 1))[:, :, None]
+        d_core = self.position_probs(states)
+        d_core[:, np.arange(len(y)), y] -= 1
+        mask = LETTER[x.T[CORE]]
+        d_core *= (mask / max(mask.sum(), 1))[:, :, None]
         steps = x.shape[1]
+        d_logits = np.zeros((steps, len(x), len(self.labels)), np.float32)
+        d_logits[CORE] = d_core
         flat = d_logits.reshape(-1, len(self.labels))
         g_o = np.concatenate([states[0].reshape(-1, HIDDEN).T @ flat, np.ascontiguousarray(states[1, ::-1]).reshape(-1, HIDDEN).T @ flat])
         g_w = {g: np.zeros_like(v) for g, v in self.w.items()}
@@ -159,37 +183,43 @@ LETTER = np.array([float(chr(b).isalpha() if b < 128 else True) for b in range(2
 
 
 def learn(docs: DataFrame, held: int | None = 1, folds: int = 3, sample: int = 1500, steps: int = 400) -> Net | None:
-    """A network from at most `sample` rows of docs with lang and text, those of least hash of doc_id.
+    """A network from at most `sample` documents with lang and text: of each language those of least hash of doc_id.
 
-    Rows whose crc32(doc_id as text) modulo folds is held are never learned from. None: nothing to learn.
+    Rows whose crc32(doc_id as text) modulo folds is held are never learned from, nor are rows without an id. An id that
+    occurs more than once teaches by one of its rows. Every language has its share of `sample`, and one document at least, however
+    rare it is. Of texts over 16384 characters pieces that are spread over all of it teach (common.spread), which bounds
+    the bytes that the driver gets. None: nothing to learn.
     """
-    rows = docs.where("lang is not null and text is not null")
+    rows = docs.where("lang is not null and text is not null and doc_id is not null")
     if held is not None:
         rows = rows.where(crc_bucket("doc_id", folds) != held)
-    got = hashed_sample(rows, "doc_id", sample).select("doc_id", "text", "lang").orderBy("doc_id", "text").collect()
-    labels = sorted({r["lang"] for r in got})
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    labels = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     if not labels:
         return None
+    sampled = hashed_sample(ids, "doc_id", max(1, sample // len(labels)), "lang")
+    # At most `sample` ids, so this side is sent to every task whatever the size of the input.
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(k,) for _, k in sampled], T.StructType([docs.schema["doc_id"]])))
+    texts = rows.join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", spread(F.col("text").cast("string")).alias("text"))).alias("r"))
+    got = sorted((r["doc_id"], r["r"]["lang"], r["r"]["text"]) for r in texts.collect())
     net = Net(labels)
-    parts = [(segments(r["text"].encode()), labels.index(r["lang"])) for r in got]
-    # Each label teaches alike often, however rare: its rows are repeated to the size of the largest.
-    x = [np.concatenate([p for p, k in parts if k == label]) for label in range(len(labels))]
-    x = [p if len(p) else np.zeros((1, SEGMENT), np.uint8) for p in x]
+    # Each label teaches alike often, however short its texts are: its segments are repeated to the number of the largest.
+    x = [np.concatenate([segments(t.encode()) for _, lang, t in got if lang == label]) for label in labels]
     most = max(map(len, x))
-    x, y = np.concatenate([np.resize(p, (most, SEGMENT)) for p in x]), np.repeat(np.arange(len(labels)), most)
+    x, y = np.concatenate([np.resize(p, (most, p.shape[1])) for p in x]), np.repeat(np.arange(len(labels)), most)
     net.train(x, y, steps)
     return net
 
 
-def predict(docs: DataFrame, net: Net | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with lang and score in place of text: the likeliest label and its probability."""
-    keep = [c for c in docs.columns if c not in (text, lang, score)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{lang}` string, `{score}` double"])
+def predict(docs: DataFrame, net: Net | None, text: str = "text", lang: str = "lang_pred", score: str = "score", whole: bool = False) -> DataFrame:
+    """docs with lang and score in place of text, or beside it if whole: the likeliest label and its probability."""
+    rows, keep, at = beside(docs, text, (lang, score), whole)
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, len(keep), BATCH_BYTES):
-                texts = part.column(len(keep))
+            for part in by_bytes(batch, at, BATCH_BYTES):
+                texts = part.column(at)
                 has = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if net is None:
                     has = np.zeros_like(has)
@@ -201,7 +231,7 @@ def predict(docs: DataFrame, net: Net | None, text: str = "text", lang: str = "l
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0))], names=[*keep, lang, score])
         give_back()
 
-    return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
+    return mapped(small_batches(rows), run, schema)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -216,5 +246,4 @@ def kept(docs: DataFrame, least: float = 0.4) -> DataFrame:
     The bound is below a half as texts that change from one language to another are clean.
     """
     net = learn(docs, held=None)
-    text = docs.select("*", F.col("text").alias("\x00body"))
-    return predict(text, net, "\x00body", "\x00lang", "\x00score").where(f"`\x00lang` <> 'und' and `\x00score` >= {least}").select(*docs.columns)
+    return predict(docs, net, "text", "\x00lang", "\x00score", whole=True).where(f"`\x00lang` <> 'und' and `\x00score` >= {least}").select(*named(docs))

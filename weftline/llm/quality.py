@@ -6,7 +6,8 @@ and the mean over the chunks go into one logistic unit. Trained here by gradient
 labelled rows (`sample`, 2400 by default, half of either label).
 
 Null and empty texts are one chunk of zero bytes and get its score, like any other text. Texts are scored one by
-one and whole, so repeats, ties and extra columns need no care. With no label to learn from, every score is 0.5.
+one and whole, very long ones in runs of chunks whose maxima and sums are carried on, so repeats, ties and extra columns need no
+care; a column named like an output is replaced by it. With no label to learn from, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_bytes, crc_bucket, give_back, hashed_sample, small_batches
+from pyspark.sql import types as T
+
+from weftline.llm.common import beside, by_bytes, crc_bucket, give_back, hashed_sample, mapped, named, small_batches, spread
 
 DIM, WIDTH, STRIDE, CHUNK, FILTERS = 6, 16, 8, 32, 24
 HALF = CHUNK // 2
 BATCH_BYTES = 256 << 10
+#: Half chunks of a longer text that are in memory at a time.
+RUN = BATCH_BYTES // (HALF * STRIDE)
 
 
 class Net:
@@ -70,10 +75,27 @@ class Net:
         top, mean = np.maximum.reduceat(chunk, starts), np.add.reduceat(chunk, starts) / halves[:, None]
         return np.concatenate([top, mean], 1), (at, halves, starts, v, half, nxt, chunk)
 
+    def pooled_in_runs(self, text: bytes) -> np.ndarray:
+        """(1, 2 * FILTERS) of one text, RUN half chunks at a time: the largest values and the sum are carried on."""
+        span = HALF * STRIDE
+        n = max(1, -(-len(text) // span))
+        top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS)
+        for s in range(0, n, RUN):
+            e = min(n, s + RUN)
+            # One half more, as it is in the last chunk too, and what that half's last window reaches into.
+            chunk = self.pooled([text[s * span : (e + 1) * span + WIDTH - STRIDE]])[1][-1][: e - s]
+            np.maximum(top, chunk.max(0), out=top)
+            total += chunk.sum(0, dtype=np.float64)
+        return np.concatenate([top, total / n])[None].astype(np.float32)
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        return 1 / (1 + np.exp(-(self.pooled(texts)[0] @ self.p["o"] + self.p["c"]).astype(np.float64)))
+        long = [i for i, t in enumerate(texts) if len(t) > RUN * HALF * STRIDE]
+        pooled = self.pooled([b"" if len(t) > RUN * HALF * STRIDE else t for t in texts])[0]
+        for i in long:
+            pooled[i] = self.pooled_in_runs(texts[i])
+        return 1 / (1 + np.exp(-(pooled @ self.p["o"] + self.p["c"]).astype(np.float64)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict:
         """Of the mean cross entropy. Only the windows that won a chunk's maximum carry any."""
@@ -121,39 +143,41 @@ def learn(docs: DataFrame, labels: DataFrame, held: int | None = 1, folds: int =
     """A network from at most `sample` documents with a quality label, those of least hash of doc_id.
 
     Half of either label, so that 0.5 is the line between them. Documents with labels of both kinds, and those
-    whose crc32(doc_id as text) modulo folds is held, are never learned from. None: a label has no document.
+    whose crc32(doc_id as text) modulo folds is held, are never learned from. An id that occurs more than once
+    teaches by one of its texts. Of texts over 16384 characters pieces that are spread over all of it teach (common.spread),
+    which bounds the bytes that the driver gets. None: a label has no document.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r")
     if held is not None:
         known = known.where(crc_bucket("doc_id", folds) != held)
-    known = known.select("doc_id", "q")
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    picked = hashed_sample(known.where("q = 0"), "doc_id", sample // 2).unionByName(hashed_sample(known.where("q = 1"), "doc_id", sample // 2))
-    # At most `sample` rows, so this side is sent to every task whatever the size of the input.
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").limit(2 * sample).collect()
-    one = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
-    rows = [one[k] for k in sorted(one)]
-    if len({r["q"] for r in rows}) < 2:
+    known = known.select("doc_id", "q").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sampled = hashed_sample(known, "doc_id", sample // 2, "q")
+    if len({q for q, _ in sampled}) < 2:
         return None
+    # At most `sample` ids, so this side is sent to every task whatever the size of the input.
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(k,) for _, k in sampled], T.StructType([known.schema["doc_id"]])))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id").groupBy("doc_id").agg(F.min(spread(F.col("text"))).alias("text"))
+    text_of = dict(map(tuple, texts.collect()))
+    rows = sorted((k, text_of[k].encode(), q) for q, k in sampled)
     net = Net()
-    net.train([r["text"].encode() for r in rows], np.array([r["q"] for r in rows], np.float32), epochs)
+    net.train([t for _, t, _ in rows], np.array([q for _, _, q in rows], np.float32), epochs)
     return net
 
 
-def predict(docs: DataFrame, net: Net | None, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with score in place of text: the probability of label 1."""
-    keep = [c for c in docs.columns if c not in (text, score)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{score}` double"])
+def predict(docs: DataFrame, net: Net | None, text: str = "text", score: str = "score", whole: bool = False) -> DataFrame:
+    """docs with score in place of text, or beside it if whole: the probability of label 1."""
+    rows, keep, at = beside(docs, text, (score,), whole)
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, len(keep), BATCH_BYTES):
-                texts = [t or b"" for t in part.column(len(keep)).to_pylist()]
+            for part in by_bytes(batch, at, BATCH_BYTES):
+                texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
                 scores = np.full(len(texts), 0.5) if net is None else net.scores(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores)], names=[*keep, score])
         give_back()
 
-    return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").cast("binary").alias("\x00text")).mapInArrow(run, schema)
+    return mapped(small_batches(rows), run, schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,4 +189,4 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose score is at least `least`. Columns stay."""
     net = learn(docs, labels, held=None)
-    return predict(docs.withColumn("\x00body", F.col("text")), net, "\x00body", "\x00score").where(f"`\x00score` >= {least}").select(*docs.columns)
+    return predict(docs, net, "text", "\x00score", whole=True).where(f"`\x00score` >= {least}").select(*named(docs))
