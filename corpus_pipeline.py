@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, decontam, langid, neardup, quality
+from weftline.llm import bpe, decontam, langid, quality, simhash
 from weftline.llm.common import stage_table
 
 
@@ -26,8 +26,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return neardup.kept(docs)
+    """One document of each group of near duplicates: SimHash groups, five-word shingles, a similarity of 0.8 or more."""
+    return simhash.kept(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import by_bytes, small_batches
+from weftline.llm.common import by_bytes, mapped, named, small_batches
 
 #: Pre-tokens in each of a worker's two generations of memo, and the longest of them in
 #: characters. The older goes when the younger is full; both only trade time for memory.
@@ -178,7 +178,7 @@ def _shipped(df: DataFrame, rank_file: str):
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """df with ids array<int> in place of text (null and empty texts: no ids).
+    """df with ids array<int> in place of text (null and empty texts: no ids). A column named like an output is replaced by it.
 
     decoded: the name of one more column, the bytes that the ids decode to, made in the same pass by the same worker; to
     decode() the rows afterwards would take a second worker a task.
@@ -200,7 +200,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
                     made.append(pa.array([enc.decode(x) for x in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[f.name for f in schema.fields])
 
-    return small_batches(df).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("\x00text")).mapInArrow(run, schema)
+    return mapped(small_batches(df).select(*named(df, (text, ids, decoded)), F.col(text).cast("string").alias("\x00text")), run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -212,7 +212,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {r: t for t, r in read_ranks(data.value).items()}.__getitem__
         for batch in batches:
-            at = batch.schema.get_field_index(ids)
+            at = keep.index(ids)
             for i in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(i, 256)
                 rows = part.column(at)
@@ -220,7 +220,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "deco
                 out = [b"".join(map(tokens, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*keep, decoded])
 
-    return small_batches(df).select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return mapped(small_batches(df).select(*named(df, (decoded,))), run, schema)
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stage_table
+from weftline.llm.common import stage_table, without
 
 WORDS, CONTAINED = 5, 0.8
 
@@ -72,10 +72,10 @@ def contained(docs: DataFrame, items: DataFrame, size: int = WORDS, least: float
 def kept(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs that hold no item; rows without an id stay. Columns stay.
 
-    The ids that go are written first: where the written table is small Spark broadcasts it and the texts stay where they are.
+    The ids that go are written first, and only texts that may be among them are moved.
     """
     gone = stage_table(contained(docs, items).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone, "doc_id")
 
 
 CONTAINED_SQL = r"""
