@@ -1,11 +1,13 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
 A text's words are its runs of letters and digits, in lower case. Of a template's GRAM-word sequences the winnowed ones
-(the least hash in every window of WINDOW) stand in an inverted index of (template, place). Places of a document where an indexed
+(the least hash in every window of WINDOW; of templates of up to SHORT sequences all) stand in an inverted index of (template, place). Places of a document where an indexed
 sequence stands are gathered by template and diagonal; each gathering is one candidate stretch, which is aligned with
 the template within a band of at most BAND words around its diagonals. The alignment's matched words give the coverage, their first
-and last the span, in characters of the text. A match inside one of as many words or more is left out, if that is
-of the same license or covers its template at least as well.
+and last the span, in characters of the text. A match holds each word of the template that tells licenses apart (versions, "later", "NC"), and
+between its first and last word none that the template lacks. A match inside one of as many words or more is left out, if that is
+of the same license or covers its template at least as well. A stretch of a longer template that shares no WINDOW + GRAM - 1 words in a row
+with it may be missed.
 
 Null and empty texts hold no match. Repeated rows are scanned each; a document with several matches has a row for
 each, in place. Texts are read whole. Columns other than the id and the text are not looked at.
@@ -25,46 +27,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from weftline.llm.common import by_bytes, small_batches
+from weftline.llm.license_texts import DECISIVE, TEMPLATES
 
-GRAM, WINDOW, BAND, COVERED = 3, 2, 8, 0.8
+GRAM, WINDOW, SHORT, BAND, COVERED = 3, 4, 16, 8, 0.8
 BATCH_BYTES, MEMO = 4 << 20, 50_000
 WORD = re.compile(r"[^\W_]+")
 
-#: License notices, (license, text).
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software.",
-    ),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("reserved", "All rights reserved."),
-)
-
 
 class Index:
     """Words, templates and the inverted index of their winnowed sequences. Its size is that of the templates."""
@@ -75,12 +43,16 @@ class Index:
         self.words = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
         self.ids = [np.array([self.words[w] for w in t], np.int64) for t in texts]
         self.base = len(self.words) + 1
+        self.telling = np.array([False, *(w in DECISIVE or any(c.isdigit() for c in w) for w in sorted(self.words))])
+        self.named = np.array([False, *(w in DECISIVE for w in sorted(self.words))])
+        self.wanted = [frozenset(ids[self.telling[ids]].tolist()) for ids in self.ids]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ids in enumerate(self.ids):
             grams = self.grams(ids).tolist()
             hashes = [xxh64_intdigest(b"%d" % g) for g in grams]
-            for i in range(max(1, len(grams) - WINDOW + 1)):
-                part = range(i, min(i + WINDOW, len(grams)))
+            window = WINDOW if len(grams) > SHORT else 1
+            for i in range(max(1, len(grams) - window + 1)):
+                part = range(i, min(i + window, len(grams)))
                 if part:
                     k = min(part, key=lambda j: (hashes[j], -j))
                     if (t, k) not in self.places[grams[k]]:
@@ -150,13 +122,25 @@ class Index:
         if got is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            got = self.memo[key] = aligned(self.ids[t], part, low - a - band, high - a + band)
-        n, first, last = got
-        return [(t, a + first, a + last, n)] if n and n >= COVERED * len(self.ids[t]) else []
-
-
-def aligned(template: np.ndarray, part: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Words matched in order on the diagonals low..high of part against template, and the first and last place in part.
+            got = self.memo[key] = self.judged(t, part, low - a - band, high - a + band)
+        return [(t, a + got[1], a + got[2], got[0])] if got[0] else []
+
+    def judged(self, t: int, part: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+        """Matched words, first and last word of part; 0 words where they are too few or not the ones that tell licenses apart."""
+        ids = self.ids[t]
+        if np.isin(ids, part).sum() < COVERED * len(ids):
+            return 0, 0, 0
+        n, first, last, at = aligned(ids, part, low, high)
+        if n < COVERED * len(ids) or not self.wanted[t] <= set(part[at].tolist()):
+            return 0, 0, 0
+        span = part[first : last + 1]
+        if self.named[np.setdiff1d(span, ids)].any():
+            return 0, 0, 0
+        return n, first, last
+
+
+def aligned(template: np.ndarray, part: np.ndarray, low: int, high: int) -> tuple[int, int, int, list[int]]:
+    """Words matched in order on the diagonals low..high of part against template, the first and last place in part, and all places.
 
     Row i of the table holds the best count ending at diagonal d, that is at part[i + d]; skipped words cost
     nothing, so along a row the best is a running maximum.
@@ -172,13 +156,13 @@ def aligned(template: np.ndarray, part: np.ndarray, low: int, high: int) -> tupl
         rows[i + 1] = np.maximum.accumulate(np.maximum(up, rows[i] + hit))
     n = int(rows[-1].max())
     if not n:
-        return 0, 0, 0
+        return 0, 0, 0, []
     # Back from the first diagonal that has it: the shortest end.
-    i, d, first, last = len(template), int(rows[-1].argmax()), -1, -1
+    i, d, places = len(template), int(rows[-1].argmax()), []
     while i > 0 and rows[i, d] > 0:
         at = i - 1 + low + d
         if 0 <= at < len(part) and part[at] == template[i - 1] and rows[i, d] == rows[i - 1, d] + 1:
-            first, last = at, at if last < 0 else last
+            places.append(at)
             i -= 1
         elif d + 1 < width and rows[i - 1, d + 1] == rows[i, d]:
             i, d = i - 1, d + 1
@@ -186,7 +170,7 @@ def aligned(template: np.ndarray, part: np.ndarray, low: int, high: int) -> tupl
             d -= 1
         else:
             i -= 1
-    return n, first, last
+    return n, places[-1], places[0], places
 
 
 SPANS = "license string, start int, end int, matched int, words int, coverage double"
