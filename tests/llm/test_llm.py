@@ -35,7 +35,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     # Extra columns whose names clash with what the operators add.
-    return spark.createDataFrame(ODD, DOCS).selectExpr("*", "1 AS score", "'x' AS fp", "2 AS ids", "0 AS id", "0 AS h", "'k' AS key", "1 AS node", "true AS train")
+    return spark.createDataFrame(ODD, DOCS).selectExpr("*", "1 AS score", "'x' AS fp", "2 AS ids", "0 AS id", "0 AS h", "'k' AS key", "1 AS node", "true AS train", "0 AS `a.b`")
 
 
 @pytest.fixture(scope="module")
@@ -206,8 +206,8 @@ def test_license_alignment_is_the_longest_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 best[i + 1, j + 1] = max(best[i, j] + (a[i] == b[j]), best[i, j + 1], best[i + 1, j])
-        n, first, last = license.aligned(a, b, -12, 12)
-        assert n == best[-1, -1] and 0 <= first <= last < len(b)
+        n, first, last, at = license.aligned(a, b, -12, 12)
+        assert n == best[-1, -1] == len(at) and 0 <= first <= last < len(b)
 
 
 def test_license_lines_are_all_found(spark):
@@ -298,6 +298,7 @@ def test_url_hosts_that_link_to_blocked_ones_are_blocked(spark):
 
 
 def brute_vectors(rows, c):
+    """Links are of rows; in components the rows of an id are one."""
     def unit(v):
         if v is None or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             return None
@@ -310,7 +311,7 @@ def brute_vectors(rows, c):
         and units[i] is not None and units[j] is not None and len(units[i]) == len(units[j]) and units[i] @ units[j] >= c
     ]
     n = collections.Counter(x for pair in linked for x in pair)
-    root = components_of(len(rows), linked)
+    root = components_of(len(rows), linked + [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0]])
     comp = [min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))]
     return sorted((rows[i][0], n[i], comp[i], rows[i][0] == comp[i]) for i in range(len(rows)))
 
@@ -324,6 +325,8 @@ def test_embedding_links(spark, monkeypatch, part):
     rows += [(k + 100, rows[k][1], 0) for k in range(0, 20, 2)]
     nan, inf = float("nan"), float("inf")
     rows += [(200, None, 0), (201, [0.0] * 8, 0), (202, [nan] * 8, 0), (203, [inf, *[1.0] * 7], 0), (204, [None, *[1.0] * 7], 0), (205, rows[0][1], None), (206, rows[0][1], None), (207, rows[0][1][:7], 0), (208, [], 0)]
+    # Ids that stand twice, with equal and with other vectors, of their own label and of another.
+    rows += [rows[5], rows[5], (7, rows[3][1], 1), (8, rows[6][1], 0), (300, rows[1][1], 1), (300, rows[2][1], 0), (301, rows[2][1], 0), (302, None, 0), (302, rows[4][1], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("v", F.lit(1)).withColumn("n", F.lit(1))
     rows = [tuple(r)[:3] for r in table.collect()]
     assert sorted(map(tuple, embedding.groups(table).collect())) == brute_vectors(rows, 0.93)
@@ -386,6 +389,7 @@ def test_simhash_groups(spark, odd, none):
     assert simhash.groups(none).count() == 0 and simhash.groups(odd).count() == len(ODD)
     kept = simhash.kept(odd)
     assert kept.columns == odd.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "5", "6", "7", "8", "None"]
+    assert simhash.kept(none).count() == 0 and simhash.similar_groups(none).count() == 0
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 5])
@@ -407,10 +411,10 @@ def test_simhash_bit_slices(spark, monkeypatch, radius):
 def test_langid_gradients():
     net = langid.Net(["a", "b", "c"])
     rng = np.random.default_rng(0)
-    x, y = rng.integers(60, 120, (5, langid.SEGMENT)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    x, y = rng.integers(60, 120, (5, langid.SEGMENT + 2 * langid.CONTEXT)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
 
     def loss():
-        m = langid.LETTER[x.T]
+        m = langid.LETTER[x.T[langid.CORE]]
         return -(np.log(net.position_probs(net.states(x))[:, np.arange(5), y]) * m).sum() / m.sum()
 
     for k, g in net.gradients(x, y).items():
