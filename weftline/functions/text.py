@@ -115,8 +115,8 @@ def _unescaped(c: pd.Series) -> pd.Series:
 
 
 def unescape_html(c: Column) -> Column:
-    """Entities as their characters. Only the commonest stay with Spark; the rest need a table."""
-    return F.when(c.contains("&"), _unescaped(c)).otherwise(c)
+    """Entities as their characters, by Python's table. Texts without & are not sent there: the function is run for every row, but on nulls."""
+    return F.coalesce(_unescaped(F.when(c.contains("&"), c)), c)
 
 
 def strip_markup(c: Column) -> Column:
@@ -198,17 +198,18 @@ def drop_repeated_sentences(docs: DataFrame, key: str, text: str, order: str, wi
     A sentence counts with all that stand in its own document. Those of up to 20 bytes never go. A text without
     sentences stays as it is; others keep their sentences, joined by spaces. within: columns whose groups count apart.
 
-    Frequencies of one sentence need its documents in order, so a partition of the window is one sentence. Its places are first summed
-    up by document, and only sentences seen `most` times or more are brought in order at all. What a document then loses
-    comes back to it as one set; its text is not moved apart and put together again.
+    A sentence has been seen `most` times by its `most`-th document at the latest, so its first `most` places are enough to tell from
+    which one on it goes. Those are picked on either side of the shuffle (a limit by group), so a sentence that all documents share
+    costs a few rows a task. What a document then loses comes back to it as one set; its text is not moved apart and put together again.
     """
     within = within or []
     rows = docs.select(*within, key, order, F.posexplode(sentences(F.col(text))).alias("_pos", "_s")).withColumn("_n", normal_sentence(F.col("_s")))
     counted = rows.where(F.octet_length("_n") > 20).groupBy(*within, "_n", key, order).agg(F.count("*").alias("_c"))
-    often = counted.groupBy(*within, "_n").agg(F.sum("_c").alias("_all")).where(F.col("_all") >= most).drop("_all")
-    upto = Window.partitionBy(*within, "_n").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = counted.join(often, [*within, "_n"], "left_semi").withColumn("_seen", F.sum("_c").over(upto))
-    gone = seen.where(F.col("_seen") >= most).groupBy(*within, key).agg(F.collect_set("_n").alias("_gone"))
+    by_place = Window.partitionBy(*within, "_n").orderBy(order)
+    first = counted.withColumn("_r", F.row_number().over(by_place)).where(F.col("_r") <= most)
+    upto = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = first.withColumn("_seen", F.sum("_c").over(upto)).where(F.col("_seen") >= most).groupBy(*within, "_n").agg(F.min(order).alias("_since"))
+    gone = counted.join(since, [*within, "_n"]).where(F.col(order) >= F.col("_since")).groupBy(*within, key).agg(F.collect_set("_n").alias("_gone"))
 
     def left(own: Column) -> Column:
         stays = F.filter(own, lambda x: ~F.array_contains("_gone", normal_sentence(x)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.scratch import numbered
+
 #: Datasets, URLs and search results that a plan allows, and whether it may ping and send webhooks.
 PLANS = {"free": (1, 20, 10, False, False), "starter": (5, 100, 40, True, True)}
 STUCK_LOCK_S, STUCK_STAGE_S, CRAWL_S = 1800, 7200, 1800
@@ -192,13 +194,9 @@ def upserted(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inserted(table: DataFrame, new: DataFrame, number: str, order: list[str]) -> DataFrame:
-    """table with new's rows numbered on from its largest id. Numbers come from counts by partition, not from one ordered task."""
-    ranged = new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    """table with new's rows numbered on from its largest id. Numbers come from counts by file of the sorted rows, not from one ordered task."""
     last = table.agg(F.coalesce(F.max(number), F.lit(0))).scalar()
-    rows = ranged.withColumn("_i", place).join(offsets, "_p").withColumn(number, (last + F.col("_o") + F.col("_i")).cast(table.schema[number].dataType))
+    rows = numbered(new, [F.col(c) for c in order]).withColumn(number, (last + F.col("_n") + 1).cast(table.schema[number].dataType))
     return table.unionByName(rows.select(*table.columns))
 
 

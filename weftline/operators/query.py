@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import jsonops
 from weftline.functions.scalars import go_str, value_text
+from weftline.sources.scratch import numbered
 
 ORD, DOC = "_ord", "doc"
 
@@ -106,15 +107,26 @@ def first_of(df: DataFrame, keys: list[Column], parts: list[Column] | None = Non
 
 
 def paged(df: DataFrame, spec: QuerySpec, order: list[Column]) -> DataFrame:
-    """Sample, offset and limit over ordered rows. A limit becomes a top-k, not a sort of everything."""
+    """Sample, offset and limit over ordered rows. A limit becomes a top-k, not a sort of everything; an offset without one goes by the rows' places."""
     if spec.sample > 0:
         df = df.orderBy(F.rand(spec.seed)).limit(spec.sample)
+    if spec.offset > 0 and spec.limit <= 0:
+        return numbered(df, order, "_at").where(F.col("_at") >= spec.offset).orderBy("_at").drop("_at")
     df = df.orderBy(*order)
     if spec.offset > 0:
         df = df.offset(spec.offset)
     return df.limit(spec.limit) if spec.limit > 0 else df
 
 
+def counted(df: DataFrame, spec: QuerySpec) -> DataFrame:
+    """(count): how many rows paged() leaves, without bringing them in order."""
+    n = F.count("*")
+    if spec.sample > 0:
+        n = F.least(n, F.lit(spec.sample))
+    n = F.greatest(n - max(spec.offset, 0), F.lit(0))
+    return df.agg((F.least(n, F.lit(spec.limit)) if spec.limit > 0 else n).cast("bigint").alias("count"))
+
+
 # --- typed -----------------------------------------------------------------------------------------------------
 
 
@@ -251,9 +263,9 @@ def compile_typed(spec: QuerySpec, df: DataFrame) -> DataFrame:
     if spec.dedup or spec.dedup_key:
         keys = list(spec.dedup_key) or sorted(c for c in inner(df) if c != "_source")
         df = first_of(df, [F.col(k) if k in df.columns else F.lit(None) for k in keys], parts, spec.descending)
-    df = paged(df, spec, order)
     if spec.count:
-        return df.agg(F.count("*").alias("count"))
+        return counted(df, spec)
+    df = paged(df, spec, order)
     return df.select(*flat_columns(df)) if spec.flatten and not spec.flatten_first else df
 
 
@@ -306,8 +318,7 @@ def compile_json(spec: QuerySpec, df: DataFrame) -> DataFrame:
     order = [F.col(ORD).asc()] if parts is None else sort_keys(parts, spec.descending)
     if spec.dedup or spec.dedup_key:
         out = first_of(out, [F.col("_hash")], parts, spec.descending)
-    out = paged(out, spec, order)
-    return out.agg(F.count("*").alias("count")) if spec.count else out.select(ORD, DOC)
+    return counted(out, spec) if spec.count else paged(out, spec, order).select(ORD, DOC)
 
 
 def page(df: DataFrame, number: int, limit: int = 100, most: int = 500) -> DataFrame:

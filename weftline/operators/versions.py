@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import jsonops
 from weftline.functions.scalars import canonical
+from weftline.sources.scratch import numbered
 
 LEAST_WEIGHT, LEAST_SIMILARITY = 0.1, 0.3
 
@@ -234,12 +235,14 @@ def ready(queue: DataFrame, group: str = "dataset_id", status: str = "status") -
 def combined(queue: DataFrame, extracts: DataFrame, group: str = "dataset_id") -> DataFrame:
     """(group, _ord, doc): entities of ready groups' rows that wait for a version, by queue_id and place, with their _source.
 
-    extracts: (queue_id, source_url, entities array<string of JSON>). Places run from 0 within a group; they come from the
-    rows' counts, so no group is ever in one task.
+    extracts: (queue_id, source_url, entities array<string of JSON>), a row for each queue_id. Places run from 0 within a group; they come from the
+    sizes of the rows in order (numbered()), so no group is ever in one task and entities are not sorted.
     """
     rows = queue.where("status = 'proceed-version'").join(ready(queue, group), group, "left_semi").join(extracts, "queue_id")
-    before = F.sum(F.size("entities")).over(Window.partitionBy(group).orderBy("queue_id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0)))
+    sizes = numbered(rows.select(group, "queue_id", F.size("entities").alias("_s")), [F.col(group), F.col("queue_id")], "_at", F.col("_s"))
+    first = sizes.groupBy(group).agg(F.min("_at").alias("_first"))
+    places = sizes.join(first, group).select(group, "queue_id", (F.col("_at") - F.col("_first")).alias("_before"))
+    rows = rows.join(places, [group, "queue_id"])
     each = rows.select(group, "source_url", "_before", F.posexplode("entities").alias("_i", "doc"))
     return each.select(group, (F.col("_before") + F.col("_i")).cast("bigint").alias("_ord"), with_source(F.col("doc"), F.col("source_url")).alias("doc"))
 
