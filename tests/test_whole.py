@@ -12,7 +12,7 @@ from weftline.plans.tables import d
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name, key, table", [("r_unique_names_all", "user_id", "customer"), ("v_rolled_back_all", "dataset_id", "datasets")])
+@pytest.mark.parametrize("name, key, table", [("r_unique_names", "user_id", "customer"), ("v_rolled_back", "dataset_id", "datasets")])
 def test_whole_query(spark, name, key, table):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
@@ -27,7 +27,7 @@ def test_whole_query(spark, name, key, table):
 
 
 def test_slug_of_whole_texts(spark):
-    name = "t_slug_all"
+    name = "t_slug"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     got = {r["doc_id"]: r["out"] for r in registry.QUERIES[name](spark, SF).collect()}

@@ -212,6 +212,11 @@ def unique_names(taken: DataFrame, wanted: DataFrame, name: str = "user_name", o
     return asked.join(free.select(name, "_i", "_u"), [name, "_i"]).withColumn(name, F.col("_u")).select(*wanted.columns)
 
 
+def next_datasets(queue: DataFrame, status: str, most: int = 20) -> DataFrame:
+    """(dataset_id): datasets with a row in that status, a worker's batch of them, those of least id."""
+    return queue.where(F.col("status") == status).select("dataset_id").distinct().orderBy("dataset_id").limit(most)
+
+
 # --- repairs ---------------------------------------------------------------------------------------------------
 
 

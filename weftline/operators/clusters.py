@@ -89,3 +89,8 @@ def failed_over(queue: DataFrame, failed: DataFrame) -> DataFrame:
         .withColumn("role", F.when(heir_now, "primary").otherwise(F.col("role")))
         .select(*queue.columns)
     )
+
+
+def diff_clusters(queue: DataFrame, status: str = "pending-diff", url: str = "url", order: str = "queue_id", target: str = "dataset_url_id") -> DataFrame:
+    """The rows that wait for their page to be compared (or, by status, for their community to be read), clustered like crawl_clusters()."""
+    return crawl_clusters(queue.where(F.col("status") == status), url, order, target)

@@ -84,18 +84,14 @@ def v_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.rolled_back(d(spark, sf_dir, "datasets"), d(spark, sf_dir, "versions"), 5, 2, freeze=True).where("dataset_id < 10").select("dataset_id", "active_version", "is_frozen")
-
-
-def v_rolled_back_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dataset after the rollback of one."""
     return versions.rolled_back(d(spark, sf_dir, "datasets"), d(spark, sf_dir, "versions"), 5, 2, freeze=True).select("dataset_id", "active_version", "is_frozen")
 
 
 def v_cloned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, v, u = versions.cloned(d(spark, sf_dir, "datasets").withColumn("is_cloned", F.lit(False)).withColumn("cloned_from", F.lit(None).cast("bigint")), d(spark, sf_dir, "versions"), d(spark, sf_dir, "urls"), 4, 9_000_000, "u99")
-    a = s.where("dataset_id in (4, 9000000)").select("dataset_id", "user_id", "clone_count", "is_cloned")
-    return a.join(u.groupBy("dataset_id").agg(F.count("*").alias("n_urls")), "dataset_id", "left").join(v.where("dataset_id = 9000000").groupBy("dataset_id").agg(F.max("version_number").alias("version")), "dataset_id", "left")
+    counts, last = u.groupBy("dataset_id").agg(F.count("*").alias("n_urls")), v.groupBy("dataset_id").agg(F.max("version_number").alias("version"))
+    return s.select("dataset_id", "user_id", "clone_count", "is_cloned").join(counts, "dataset_id", "left").join(last, "dataset_id", "left")
 
 
 def c_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,12 +203,6 @@ def r_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = spark.range(1).selectExpr("explode(array('AUTOMOBILE', 'BUILDING_1')) AS user_name")
-    wanted = t(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_mktsegment").alias("user_name"), F.col("c_custkey").alias("user_id"))
-    return C.unique_names(taken, wanted)
-
-
-def r_unique_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names for all customers, a fifth of them for each base name."""
     taken = spark.range(1).selectExpr("explode(array('AUTOMOBILE', 'BUILDING_1')) AS user_name")
     return C.unique_names(taken, t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("user_name"), F.col("c_custkey").alias("user_id")))
@@ -271,7 +261,7 @@ QUERIES = {
     "r_batch": r_batch, "r_without_open": r_without_open, "r_over_cap": r_over_cap, "r_gates": r_gates, "r_expiry": r_expiry, "r_refresh": r_refresh, "r_delete": r_delete, "r_upsert": r_upsert, "r_insert": r_insert,
     "r_unique_names": r_unique_names, "x_stuck_locks": _queue(lambda q, a: C.stuck_locks(q, a).select("queue_id", "locked_at")), "x_stuck_stages": _queue(lambda q, a: C.stuck_stages(q, a).select("queue_id", "status")),
     "x_stuck_fetches": _queue(lambda q, a: C.stuck_fetches(q, a).select("queue_id", "status", "crawl_attempts")), "x_raw_only": x_raw_only, "x_orphans": x_orphans, "x_active": x_active, "x_missing": x_missing,
-    "x_counted": x_counted, "w_rate_limit": w_rate_limit, "v_rolled_back_all": v_rolled_back_all, "r_unique_names_all": r_unique_names_all,
+    "x_counted": x_counted, "w_rate_limit": w_rate_limit,
 }
 
 
@@ -310,8 +300,7 @@ ORACLE_SQL = {
     "v_resolve": ctes("versions", "datasets") + ", one AS (SELECT dataset_id, version_number, max(file_path) AS file_path, max(alt_file_path) AS alt FROM versions GROUP BY ALL), act AS (SELECT one.* FROM one JOIN datasets s ON s.dataset_id = one.dataset_id AND s.active_version = one.version_number) SELECT dataset_id, version_number, file_path AS path, 'active' AS wanted FROM act UNION ALL SELECT dataset_id, version_number, alt, 'active/alt' FROM act WHERE trim(coalesce(alt, '')) <> '' UNION ALL SELECT dataset_id, version_number, file_path, 'v3' FROM one WHERE version_number = 3 UNION ALL SELECT dataset_id, version_number, file_path, 'latest' FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY version_number DESC) AS r FROM one) WHERE r = 1",
     "v_recorded": ctes("versions") + " SELECT dataset_id, n + CASE WHEN dataset_id % 10 = 3 THEN 1 ELSE 0 END AS n, CASE WHEN dataset_id % 10 = 3 THEN 1 ELSE act END AS n_active, CAST(last + CASE WHEN dataset_id % 10 = 3 THEN 1 ELSE 0 END AS INT) AS last FROM (SELECT dataset_id, count(*) AS n, count(*) FILTER (is_active) AS act, max(version_number) AS last FROM versions GROUP BY dataset_id)",
     "v_purged": ctes("versions", "datasets") + " SELECT dataset_id, CAST(CASE WHEN hit THEN coalesce(last, 0) ELSE active_version END AS INT) AS active_version FROM datasets LEFT JOIN (SELECT dataset_id, bool_or(dataset_id % 4 = 0 AND version_number >= 4) AS hit, max(CASE WHEN NOT (dataset_id % 4 = 0 AND version_number >= 4) THEN version_number END) AS last FROM versions GROUP BY dataset_id) USING (dataset_id)",
-    "v_rolled_back": ctes("versions", "datasets") + " SELECT dataset_id, CAST(CASE WHEN h THEN 2 ELSE active_version END AS INT) AS active_version, CASE WHEN h THEN true ELSE is_frozen END AS is_frozen FROM (SELECT *, dataset_id = 5 AND EXISTS (SELECT 1 FROM versions v WHERE v.dataset_id = 5 AND version_number = 2) AS h FROM datasets WHERE dataset_id < 10)",
-    "v_cloned": ctes("datasets", "versions", "urls") + ", n AS (SELECT nullif(count(*), 0) AS n FROM urls WHERE dataset_id = 4), v AS (SELECT CASE WHEN count(*) > 0 THEN 1 END AS v FROM versions WHERE dataset_id = 4) SELECT dataset_id, user_id, clone_count + 1 AS clone_count, false AS is_cloned, n AS n_urls, CAST(NULL AS INT) AS version FROM datasets, n WHERE dataset_id = 4 UNION ALL SELECT 9000000, 'u99', 0, true, n, v FROM n, v",
+    "v_cloned": ctes("datasets", "versions", "urls") + ", s AS (SELECT dataset_id, user_id, clone_count + CASE WHEN dataset_id = 4 THEN 1 ELSE 0 END AS clone_count, false AS is_cloned FROM datasets UNION ALL SELECT 9000000, 'u99', 0, true FROM datasets WHERE dataset_id = 4), n AS (SELECT dataset_id, count(*) AS n_urls FROM (SELECT dataset_id FROM urls UNION ALL SELECT 9000000 FROM urls WHERE dataset_id = 4) GROUP BY dataset_id), v AS (SELECT dataset_id, max(version_number) AS version FROM versions GROUP BY dataset_id UNION ALL SELECT DISTINCT 9000000, 1 FROM versions WHERE dataset_id = 4) SELECT * FROM s LEFT JOIN n USING (dataset_id) LEFT JOIN v USING (dataset_id)",
     "c_cluster": _CRAWL + "b AS (SELECT * FROM crawl UNION ALL SELECT * FROM recrawl WHERE queue_id % 3 = 1), " + _CLUSTER.format(src="b") + " SELECT queue_id, role, CASE WHEN role = 'waiting' THEN lead END AS primary FROM k",
     "c_extract_cluster": _CRAWL + _BOTH + ", k AS (SELECT *, " + _ROLE.format(k=f"schema_hash, {_NORM}", t="queue_id") + f" FROM b WINDOW w AS (PARTITION BY schema_hash, {_NORM})) SELECT queue_id, role, CASE WHEN role = 'waiting' THEN lead END AS primary FROM k",
     "c_fanout": _CRAWL + _BOTH + ", " + _CLUSTER.format(src="b") + ", r AS (SELECT page_id, length(html) AS result FROM pages WHERE page_id % 4 <> 0) SELECT queue_id, CASE WHEN role = 'waiting' AND result IS NOT NULL THEN 'solo' ELSE role END AS role, result FROM k LEFT JOIN r ON page_id = CASE WHEN role = 'waiting' THEN lead ELSE dataset_url_id END",
@@ -335,9 +324,8 @@ ORACLE_SQL = {
     "r_delete": ctes("datasets", "urls", "versions", "queue") + ", i AS (SELECT dataset_id FROM datasets WHERE dataset_id % 3 = 0) SELECT 'datasets' AS name, count(*) AS n FROM datasets WHERE dataset_id NOT IN (FROM i) UNION ALL SELECT 'datasets_url', count(*) FROM urls WHERE dataset_id NOT IN (FROM i) UNION ALL SELECT 'versions', count(*) FROM versions WHERE dataset_id NOT IN (FROM i) UNION ALL SELECT 'queue', count(*) FROM queue WHERE dataset_url_id NOT IN (SELECT dataset_url_id FROM urls WHERE dataset_id IN (FROM i))",
     "r_upsert": ctes("users") + " SELECT user_id, 'starter' AS plan FROM users UNION ALL SELECT 'u77', 'free'",
     "r_insert": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region",
-    "r_unique_names": "SELECT user_id, CASE WHEN k = 0 THEN seg ELSE concat(seg, '_', k) END AS user_name FROM (SELECT c_custkey AS user_id, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer WHERE c_custkey <= 40) JOIN (SELECT seg, k, row_number() OVER (PARTITION BY seg ORDER BY k) AS i FROM (SELECT seg, unnest(range(60)) AS k FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer)) WHERE NOT (seg = 'AUTOMOBILE' AND k = 0) AND NOT (seg = 'BUILDING' AND k = 1)) USING (seg, i)",
-    "v_rolled_back_all": ctes("versions", "datasets") + " SELECT dataset_id, CAST(CASE WHEN h THEN 2 ELSE active_version END AS INT) AS active_version, CASE WHEN h THEN true ELSE is_frozen END AS is_frozen FROM (SELECT *, dataset_id = 5 AND EXISTS (SELECT 1 FROM versions v WHERE v.dataset_id = 5 AND version_number = 2) AS h FROM datasets)",
-    "r_unique_names_all": "SELECT user_id, CASE WHEN k = 0 THEN seg ELSE concat(seg, '_', k) END AS user_name FROM (SELECT c_custkey AS user_id, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT seg, k, row_number() OVER (PARTITION BY seg ORDER BY k) AS i FROM (SELECT seg, unnest(range(n + 2)) AS k FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment)) WHERE NOT (seg = 'AUTOMOBILE' AND k = 0) AND NOT (seg = 'BUILDING' AND k = 1)) USING (seg, i)",
+    "v_rolled_back": ctes("versions", "datasets") + " SELECT dataset_id, CAST(CASE WHEN h THEN 2 ELSE active_version END AS INT) AS active_version, CASE WHEN h THEN true ELSE is_frozen END AS is_frozen FROM (SELECT *, dataset_id = 5 AND EXISTS (SELECT 1 FROM versions v WHERE v.dataset_id = 5 AND version_number = 2) AS h FROM datasets)",
+    "r_unique_names": "SELECT user_id, CASE WHEN k = 0 THEN seg ELSE concat(seg, '_', k) END AS user_name FROM (SELECT c_custkey AS user_id, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT seg, k, row_number() OVER (PARTITION BY seg ORDER BY k) AS i FROM (SELECT seg, unnest(range(n + 2)) AS k FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment)) WHERE NOT (seg = 'AUTOMOBILE' AND k = 0) AND NOT (seg = 'BUILDING' AND k = 1)) USING (seg, i)",
     "x_stuck_locks": ctes("queue") + f", {_SHIFT} SELECT queue_id, CASE WHEN locked_at < {AS_OF} - INTERVAL 30 MINUTE AND status NOT IN ('done', 'failed') THEN NULL ELSE locked_at END AS locked_at FROM q",
     "x_stuck_stages": ctes("queue") + f", {_SHIFT} SELECT queue_id, CASE WHEN status IN ('proceed-format', 'proceed-extract', 'proceed-version') AND created_at < {AS_OF} - INTERVAL 2 HOUR THEN 'pending' ELSE status END AS status FROM q",
     "x_stuck_fetches": ctes("queue") + f", {_SHIFT}, h AS (SELECT *, status = 'crawling' AND coalesce(locked_at, created_at) < {AS_OF} - INTERVAL 30 MINUTE AS hit FROM q) SELECT queue_id, CASE WHEN hit THEN 'pending' ELSE status END AS status, CAST(CASE WHEN hit THEN greatest(crawl_attempts - 1, 0) ELSE crawl_attempts END AS INT) AS crawl_attempts FROM h",

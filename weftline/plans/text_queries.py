@@ -101,7 +101,7 @@ QUERIES = {
     "t_strip_markup": _text(X.strip_markup), "t_strip_nontext": _text(X.strip_nontext), "t_strip_emoji": _text(X.strip_emoji), "t_strip_urls": _text(X.strip_urls), "t_one_line": _text(X.one_line),
     "t_clean": _text(lambda c: X.strip_urls(X.one_line(X.strip_nontext(X.strip_emoji(X.strip_markup(c)))))), "t_clean_full": t_clean_full, "t_noise": _text(X.strip_noise), "t_preclean": _text(X.pre_clean),
     "t_sentences": _text(lambda c: F.array_join(X.sentences(c), "|")), "t_boilerplate_xdoc": t_boilerplate_xdoc, "t_gate": t_gate, "t_phrases": _text(X.strip_phrases), "t_leading_nav": _text(X.strip_leading_nav),
-    "t_dedup_sentences": _text(X.dedup_sentences), "t_fragments": _text(X.drop_fragments), "t_compress": _text(X.compress), "t_chunks": t_chunks, "t_slug": _text(lambda c: slug(F.substring(c, 1, 60))), "t_slug_all": _text(slug),
+    "t_dedup_sentences": _text(X.dedup_sentences), "t_fragments": _text(X.drop_fragments), "t_compress": _text(X.compress), "t_chunks": t_chunks, "t_slug": _text(slug),
     "t_wait": _text(lambda c: X.retry_wait(F.concat(F.lit("429: try again in "), F.length(c).cast("string"), F.lit(".5s")))), "h_extract": h_extract, "h_meta": h_meta,
     "h_content_type": _html(P.content_type), "h_soft_block": _html(P.soft_block), "h_usable": _html(P.usable), "h_app_mark": _html(P.app_mark), "h_graphql": _html(P.graphql),
     "h_domain": _url(U.domain), "h_norm_url": _url(U.normal), "h_host": _url(U.host), "h_path": _url(U.path), "h_rejected": _url(lambda c: U.rejected(F.concat(c, F.when(F.col("page_id") % 2 == 0, ".PNG").otherwise("")))),
@@ -182,6 +182,13 @@ _XDOC = (
 )
 
 
+_CHUNKS = (
+    "SELECT doc_id, CAST(k AS INT) AS chunk, " + _trim("CASE WHEN s + 500 < n AND regexp_matches(c, '[.!?] ') THEN regexp_extract(c, '(?s)^(.*[.!?]) ', 1) ELSE c END") + " AS text FROM (SELECT doc_id, k, s, n, array_to_string(w[s + 1:s + 500], ' ') AS c FROM "
+    "(SELECT doc_id, w, n, unnest(starts) AS s, generate_subscripts(starts, 1) - 1 AS k FROM (SELECT doc_id, w, len(w) AS n, CASE WHEN len(w) > 500 THEN range(0, len(w) - 500 + 450, 450) WHEN len(w) > 0 THEN [0] ELSE [] END AS starts FROM "
+    "(SELECT doc_id, " + _WORDS.format(c="text") + " AS w FROM documents))))"
+)
+
+
 def _pages_sql(expr: str, html: bool = False) -> str:
     return f"SELECT page_id, {expr} AS out FROM (SELECT page_id, url, {_HTML if html else 'html'} AS html FROM pages)"
 
@@ -204,9 +211,9 @@ ORACLE_SQL = {
     "t_strip_urls": _docs_sql(_fold("text", [X.URL], " ")), "t_one_line": _docs_sql(_ONE_LINE("text")), "t_clean": _docs_sql(_fold(_ONE_LINE(_CLEAN), [X.URL], " ")),
     "t_noise": _docs_sql(_fold("text", [_re2(p) for p in X.NOISE], "")), "t_preclean": _docs_sql(_FIRST.format(l=_PRE, sep="' || chr(10) || '")), "t_sentences": _docs_sql(f"array_to_string({_SENT}, '|')"),
     "t_boilerplate_xdoc": _XDOC, "t_gate": _GATE, "t_phrases": _docs_sql(_PHRASES), "t_leading_nav": _NAV, "t_dedup_sentences": _docs_sql(_FIRST.format(l=_parts("text"), sep=". ")), "t_fragments": _docs_sql(_FRAG), "t_compress": _COMPRESS,
-    "t_slug": _docs_sql(r"regexp_replace(regexp_replace(regexp_replace(lower(" + _trim("substring(text, 1, 60)") + r"), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-|-$', '', 'g')"),
-    "t_slug_all": _docs_sql(r"regexp_replace(regexp_replace(regexp_replace(lower(" + _trim("text") + r"), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-|-$', '', 'g')"),
+    "t_slug": _docs_sql(r"regexp_replace(regexp_replace(regexp_replace(lower(" + _trim("text") + r"), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-|-$', '', 'g')"),
     "t_wait": _docs_sql("length(text) + 1.5", _TEXT).replace("length(text) + 1.5", "CAST(length(text) + 1.5 AS DOUBLE)"),
+    "t_chunks": _CHUNKS,
     "h_meta": "SELECT page_id, CASE WHEN page_id % 7 = 4 AND contains(html, '</body>') THEN 'http://o.com/' ELSE '' END AS alternate, page_id % 7 = 3 AND contains(html, '</body>') AS wordpress FROM pages",
     "h_content_type": _pages_sql("'html'", True), "h_soft_block": _pages_sql(f"strlen(html) <= 15000 AND {_any(P.BLOCK_PHRASES)}", True), "h_app_mark": _pages_sql("(" + " OR ".join(f"regexp_matches(html, '{p}')" for p in P.APP_MARKS) + ")", True),
     "h_graphql": _pages_sql(_any(P.GRAPHQL), True), "h_domain": _pages_sql(r"string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', ''), '/')[1]"), "h_norm_url": _pages_sql(_NORM.format(c="url")),

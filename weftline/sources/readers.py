@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftline.functions.urls import is_bot, links_by_kind
+from weftline.operators.versions import changed, recorded
 
 #: Deleted comments' texts.
 DELETED = ("[deleted]", "[removed]")
@@ -92,6 +93,26 @@ def may_push(queue: DataFrame, dataset: DataFrame) -> DataFrame:
     return dataset.agg(F.coalesce(F.bool_or("is_frozen"), F.lit(True)).alias("f")).join(is_open).select((~F.col("f") & ~F.col("o")).alias("allowed"))
 
 
+def save_version(df: DataFrame, versions: DataFrame, folder: str, dataset_id: int, created_at: Column) -> DataFrame:
+    """versions after df (_ord, doc) is saved as the dataset's next version and made its active one; as they are where df equals the last."""
+    last = versions.where(F.col("dataset_id") == dataset_id).agg(F.max("version_number")).scalar()
+    number = df.sparkSession.range(1).select(last.alias("n")).first()["n"] or 0
+    if number and not changed(read_version(df.sparkSession, folder, dataset_id, number), df).first()["changed"]:
+        return versions
+    write_version(df, folder, dataset_id, number + 1)
+    row = {"dataset_id": F.lit(dataset_id), "version_number": F.lit(number + 1), "file_path": F.lit(f"{dataset_id}/v{number + 1}"), "entity_count": F.lit(df.count()), "created_at": created_at, "is_active": F.lit(True)}
+    new = df.sparkSession.range(1).select(*(row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in versions.schema))
+    return recorded(versions, new)
+
+
+def push(df: DataFrame, queue: DataFrame, dataset: DataFrame, folder: str, dataset_id: int, version: int) -> bool:
+    """Write df (_ord, doc) in place of a version's alternative, if may_push() allows it; whether it did. read_version(alt=True) pulls it."""
+    allowed = bool(may_push(queue, dataset).first()["allowed"])
+    if allowed:
+        write_version(df, folder, dataset_id, version, alt=True)
+    return allowed
+
+
 def catalogue(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 16, **options: str) -> DataFrame:
     """A table of a relational catalogue by JDBC, read side by side in ranges of its key."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=partitions, **options)
