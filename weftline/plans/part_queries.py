@@ -330,6 +330,37 @@ def s_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("weft_search").option("path", folder).option("queries", "| ".join([*names, "no such"])).load()
 
 
+def s_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks in an archive, read back as cells; one for each size."""
+    docs = _entities(spark, sf_dir).join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("_ord"), "p_size"), "_ord").where("_ord % 40 = 0")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import re
+        import zipfile
+
+        rows = frame.sort_values("_ord")
+        data = codecs.archive({"b.xlsx": codecs.workbook([jsonops.decode(x) for x in rows["doc"]], ["brand", "k"]), "a.txt": b"x"})
+        with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(io.BytesIO(z.read("b.xlsx"))) as book:
+            sheet = book.read("xl/worksheets/sheet1.xml").decode()
+            names = "|".join(z.namelist())
+        cells = re.findall(r'<c r="([A-Z]+)(\d+)"[^>]*>(?:<is><t[^>]*>([^<]*)</t></is>|<v>([^<]*)</v>)</c>', sheet)
+        return pd.DataFrame([(int(rows["p_size"].iloc[0]), names, int(n), c, a or b) for c, n, a, b in cells], columns=["p_size", "files", "line", "letter", "cell"])
+
+    return docs.groupBy("p_size").applyInPandas(run, "p_size int, files string, line int, letter string, cell string")
+
+
+def s_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects written, written again, read, measured and deleted; one for each region."""
+    store, out = readers.Objects(spark, scratch.fresh(spark, "objects")), []
+    for r in t(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        key = f"regions/{r['r_regionkey']}.txt"
+        store.write(key, b"old")
+        store.write(key, r["r_name"].encode())
+        out.append((r["r_regionkey"], store.read(key).decode(), store.size(key), store.delete(key), store.delete(key)))
+    return spark.createDataFrame(out, "r_regionkey int, content string, bytes bigint, deleted boolean, again boolean")
+
+
 def s_versions_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saving twice what is equal and once what is not: versions 1 and 2, the second active; then a push, that a frozen dataset refuses."""
     folder = scratch.fresh(spark, "store")
@@ -416,7 +447,7 @@ QUERIES = {
     "d_sampled": d_sampled, "d_entity_changed": d_entity_changed, "c_diff_cluster": c_diff_cluster, "r_next_datasets": r_next_datasets,
     "q_flatten_first": q_flatten_first, "q_flatten_first_typed": q_flatten_first_typed, "q_flatten_export": q_flatten_export, "q_strip_source": q_strip_source, "q_keywords_both": q_keywords_both,
     "s_jsonl": s_jsonl, "s_csv": _delimited(","), "s_tsv": _delimited("\t"), "s_parquet": s_parquet, "s_xml_rows": s_xml_rows, "s_json_document": _document(lambda rows: "".join(codecs.json_document(rows))), "s_xml_document": _document(lambda rows: "".join(codecs.xml_document(rows, "a & b"))),
-    "s_xml_flat": _document(lambda rows: "".join(codecs.flat_xml_document(rows, ["brand", "k", "none"], "a & b"))), "s_version_file": s_version_file, "s_file_stats": s_file_stats, "s_file_name": s_file_name, "s_product": s_product, "s_search": s_search, "s_versions_saved": s_versions_saved, "s_swap": s_swap,
+    "s_xml_flat": _document(lambda rows: "".join(codecs.flat_xml_document(rows, ["brand", "k", "none"], "a & b"))), "s_version_file": s_version_file, "s_file_stats": s_file_stats, "s_file_name": s_file_name, "s_product": s_product, "s_search": s_search, "s_versions_saved": s_versions_saved, "s_swap": s_swap, "s_workbook": s_workbook, "s_objects": s_objects,
     "w_cooling": w_cooling, "w_advanced": w_advanced, "w_per_domain": w_per_domain, "w_deliver": w_deliver, "w_tokens": w_tokens,
 }
 
@@ -469,6 +500,8 @@ ORACLE_SQL = {
     "s_product": "SELECT p_partkey, p_name AS title, CAST(p_size AS VARCHAR) AS price, concat('[\"', p_brand, '\",\"', p_type, '\"]') AS list, CAST(NULL AS VARCHAR) AS asin FROM part",
     "s_search": "SELECT r_name AS query, CAST(i AS INT) AS position, concat('http://', n, '.com/', i) AS url, r_name AS title, concat('s', i) AS snippet FROM (SELECT r_name, n, unnest(range(n + 1)) AS i FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS n FROM region))",
     "s_versions_saved": "SELECT CAST(v AS INT) AS version_number, CASE v WHEN 1 THEN count(*) ELSE count(*) FILTER (p_partkey % 2 = 0) END AS entity_count, v = 2 AS is_active, false AS refused, true AS pushed, count(*) FILTER (p_partkey % 5 = 0) AS alt_count FROM part, (VALUES (1), (2)) x(v) GROUP BY v",
+    "s_workbook": "WITH p AS (SELECT p_size, p_brand, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) + 1 AS line FROM part WHERE p_partkey % 40 = 0) SELECT p_size, 'a.txt|b.xlsx' AS files, CAST(line AS INT) AS line, letter, cell FROM (SELECT p_size, line, 'A' AS letter, p_brand AS cell FROM p UNION ALL SELECT p_size, line, 'B', concat(p_partkey, '.0') FROM p UNION ALL SELECT DISTINCT p_size, 1, 'A', 'brand' FROM p UNION ALL SELECT DISTINCT p_size, 1, 'B', 'k' FROM p)",
+    "s_objects": "SELECT r_regionkey, r_name AS content, strlen(r_name) AS bytes, true AS deleted, false AS again FROM region",
     "s_swap": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0",
     "w_cooling": "SELECT concat('e', user_id % 50) AS engine, coalesce(max(CASE WHEN event_id % 7 IN (0, 1) THEN ts END) > (SELECT max(ts) FROM events) - INTERVAL 86400 SECOND, false) AS cooling FROM events GROUP BY user_id % 50",
     "w_advanced": "SELECT queue_id, kind, CASE WHEN queue_id % 3 = 0 THEN status WHEN queue_id % 3 = 2 THEN 'failed' WHEN kind IS NULL OR kind = 'web' THEN CASE status WHEN 'crawling' THEN 'proceed-clean' WHEN 'proceed-format' THEN 'proceed-extract' WHEN 'proceed-version' THEN 'done' ELSE status END WHEN kind = 'amazon' THEN CASE status WHEN 'crawling' THEN 'proceed-format' WHEN 'proceed-format' THEN 'proceed-version' WHEN 'proceed-version' THEN 'done' ELSE status END ELSE CASE status WHEN 'pending' THEN 'proceed-combine' WHEN 'proceed-version' THEN 'done' ELSE status END END AS status FROM (SELECT p_partkey AS queue_id, CASE p_partkey % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'amazon' WHEN 2 THEN 'reddit' END AS kind, CASE p_size % 5 WHEN 0 THEN 'crawling' WHEN 1 THEN 'proceed-format' WHEN 2 THEN 'proceed-version' WHEN 3 THEN 'pending' ELSE 'done' END AS status FROM part)",

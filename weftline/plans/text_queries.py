@@ -213,7 +213,8 @@ ORACLE_SQL = {
     "t_boilerplate_xdoc": _XDOC, "t_gate": _GATE, "t_phrases": _docs_sql(_PHRASES), "t_leading_nav": _NAV, "t_dedup_sentences": _docs_sql(_FIRST.format(l=_parts("text"), sep=". ")), "t_fragments": _docs_sql(_FRAG), "t_compress": _COMPRESS,
     "t_slug": _docs_sql(r"regexp_replace(regexp_replace(regexp_replace(lower(" + _trim("text") + r"), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-|-$', '', 'g')"),
     "t_wait": _docs_sql("length(text) + 1.5", _TEXT).replace("length(text) + 1.5", "CAST(length(text) + 1.5 AS DOUBLE)"),
-    "t_chunks": _CHUNKS,
+    "t_chunks": _CHUNKS, "t_clean_full": _docs_sql(_fold(_ONE_LINE(_CLEAN), [X.URL], " ")).replace(" AS out FROM", " AS text FROM"),
+    "h_usable": "SELECT page_id, n >= 100 AND len(list_filter(range(len(h) // 2), lambda i: h[2 * i + 1:2 * i + 2] BETWEEN '20' AND '7E' OR h[2 * i + 1:2 * i + 2] IN ('09', '0A', '0D'))) / (len(h) / 2) > 0.85 AS out FROM (SELECT page_id, n, substring(hex(encode(x)), 1, 4000) AS h FROM (SELECT page_id, out AS x, strlen(out) AS n FROM (" + _pages_sql("html", True) + ")))",
     "h_meta": "SELECT page_id, CASE WHEN page_id % 7 = 4 AND contains(html, '</body>') THEN 'http://o.com/' ELSE '' END AS alternate, page_id % 7 = 3 AND contains(html, '</body>') AS wordpress FROM pages",
     "h_content_type": _pages_sql("'html'", True), "h_soft_block": _pages_sql(f"strlen(html) <= 15000 AND {_any(P.BLOCK_PHRASES)}", True), "h_app_mark": _pages_sql("(" + " OR ".join(f"regexp_matches(html, '{p}')" for p in P.APP_MARKS) + ")", True),
     "h_graphql": _pages_sql(_any(P.GRAPHQL), True), "h_domain": _pages_sql(r"string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', ''), '/')[1]"), "h_norm_url": _pages_sql(_NORM.format(c="url")),
