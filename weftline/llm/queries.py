@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import bpe, decontam, embedding, langid, license, lm, quality, simhash, urlfilter, warc
 
@@ -64,6 +65,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def urlfilter_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator over pages put together from `pages`, as those hold no link to another host: sixty hosts in rings and chords, some of them blocked."""
+    host = lambda n: F.concat(F.lit("http://h"), F.pmod(n, F.lit(60)).cast("string"), F.when(F.pmod(n, F.lit(60)) % 7 == 0, ".com").otherwise(".net"))
+    k = F.col("page_id")
+    path = F.when(k % 5 == 0, "/es/a").when(k % 11 == 0, "/fr/b").otherwise("/x")
+    html = F.concat(F.lit('<a href="'), host(k * 7 + 1), F.lit('/y"><a href="'), host(k + 1), F.lit('/">'))
+    return urlfilter.verdicts(_t(spark, sf_dir, "pages").select("page_id", F.concat(host(k), path).alias("url"), html.alias("html")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm": op1_lm,
     "op2_warc": op2_warc,
@@ -75,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
     "op10_decontam": op10_decontam,
+    "urlfilter_linked": urlfilter_linked,
 }
 
 ORACLE_SQL: dict[str, str] = {
