@@ -25,3 +25,14 @@ def test_warc_repeated_long_pages(spark, tmp_path, rows):
     whole = warc.payloads(warc.reassembled(warc.read(spark, folder))).select("record_id", "refers_to", F.col("digest")).collect()
     ids = {r["record_id"]: r["digest"] for r in whole}
     assert len(ids) == len(rows) and all(ids[r["refers_to"]] == r["digest"] for r in whole if r["refers_to"])
+
+
+def test_segments_keep_any_bytes(spark, tmp_path):
+    import os
+
+    data = os.urandom(700_000)
+    pages = spark.createDataFrame([(1, "u", data), (2, "v", b"\xff" * 50)], "page_id long, url string, html binary")
+    folder = str(tmp_path / "w")
+    warc.write(warc.typed(pages), folder)
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.payloads(warc.reassembled(warc.read(spark, folder))).collect()}
+    assert got == {"<urn:page:1>": data, "<urn:page:2>": b"\xff" * 50}

@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_dir, stage_table
+from weftline.llm.common import by_bytes, shared_dir, small_batches, stage_table
 
 #: Payloads of fewer bytes are never revisits of another.
 REVISIT_BYTES = 100
 SEGMENT, CHUNK = 256 << 10, 16 << 10
 FILE_RECORDS = 512
+#: Payloads that are handled at a time, but for a longer one, which is handled alone.
+BATCH_BYTES = 4 << 20
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -147,9 +149,9 @@ def write(rows: DataFrame, folder: str, segment: int = SEGMENT) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
+            for part in by_bytes(batch, 2, BATCH_BYTES):
                 out = []
-                for r in batch.slice(start, 64).to_pylist():
+                for r in part.to_pylist():
                     # A row without an id gets a record id from what it holds and where it stands; all segments of a row are of one task.
                     count += 1
                     if r["id"] is None:
@@ -169,7 +171,7 @@ def write(rows: DataFrame, folder: str, segment: int = SEGMENT) -> None:
                     out += [gzipped(x)[:-1] for x in segmented(headers, block, uri, segment)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    files = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+    files = small_batches(rows).mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
     files.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
@@ -216,14 +218,14 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    # Joined as hexadecimal text: arrays of binaries have no join of their own, and repeated concat() is quadratic.
-    block = F.array_join(F.transform("parts.block", F.hex), "")
+    # Joined as strings, which keep any bytes: arrays of binaries have no join of their own, and repeated concat() is quadratic.
+    block = F.array_join(F.transform("parts.block", lambda x: x.cast("string")), "").cast("binary")
     sound = (F.size("parts") == F.element_at("parts.segment", -1)) & (F.size(F.array_distinct("parts.segment")) == F.size("parts")) & F.col("head").isNotNull()
     length = F.aggregate("parts.block", F.lit(0).cast("long"), lambda a, b: a + F.octet_length(b))
     return whole.unionByName(
         joined.select(
             F.col("whole_id").alias("record_id"), "head.*",
-            F.when(sound & (length == F.col("total")), F.unhex(block)).otherwise(F.raise_error(F.concat(F.lit("broken segments of "), "whole_id"))).alias("block"),
+            F.when(sound & (length == F.col("total")), block).otherwise(F.raise_error(F.concat(F.lit("broken segments of "), "whole_id"))).alias("block"),
         )
     )
 
@@ -237,8 +239,7 @@ def payloads(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
+            for part in by_bytes(batch, 5, BATCH_BYTES):
                 sizes, bodies, digests = [], [], []
                 for kind, digest, block in zip(*(part.column(i).to_pylist() for i in (1, 3, 5)), strict=True):
                     head, _, body = block.partition(b"\r\n\r\n")
@@ -256,7 +257,7 @@ def payloads(records: DataFrame) -> DataFrame:
                     digests.append(digest)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests), part.column(4), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
 
-    return records.select("record_id", "type", "uri", "digest", "refers_to", "block").mapInArrow(run, schema)
+    return small_batches(records).select("record_id", "type", "uri", "digest", "refers_to", "block").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
