@@ -121,7 +121,7 @@ def test_lm_over_many_blocks_and_buckets(spark, monkeypatch, packet):
     monkeypatch.setattr(lm, "PACKET", packet)
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     rows = [tuple(r) for r in docs.select(*ODD_COLUMNS).collect()]
-    want = brute_lm(rows, 2, lambda r: zlib.crc32(str(r[0]).encode()) % 7 != 2)
+    want = brute_lm(rows, lm.ORDER, lambda r: zlib.crc32(str(r[0]).encode()) % 7 != 2)
     got = {r["doc_id"]: r for r in lm.folds(docs).collect()}
     for r, w in zip(rows, want, strict=True):
         g = got[r[0]]

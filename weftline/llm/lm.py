@@ -10,7 +10,8 @@ Texts are dealt with in blocks of about BLOCK_BYTES. A block tells its distinct
 counts, to buckets of the hash space; a bucket adds up the counts of all blocks and tells each block the totals of the
 n-grams it asked about (or, on very large inputs, an aggregation and a join do). With those a block builds the part of the automaton that its texts can reach. Both the n-grams that are
 gathered and the buckets grow with the input, no task holds more than a block or a bucket, and nothing but N and V
-goes to the driver. Hashes have 64 bits; two n-grams that share one would share their counts.
+goes to the driver. Hashes have 64 bits, of which longer n-grams keep 56: two n-grams that share one would share their counts, of
+10^12 different ones (100 TB) about one in 10^5. Words keep all bits.
 
 Null and empty texts are the end token alone. Repeated rows are scored each and counted each. Rows without an id are
 taken for id '' when the folds are drawn. Very long texts are read in pieces that start in the state which the words before
@@ -33,12 +34,14 @@ from xxhash import xxh64_intdigest
 
 from weftline.llm.common import crc_bucket, give_back, small_batches, stage_table
 
-ORDER, MASS, SHARE = 2, 1.0, 3.0
+ORDER, MASS, SHARE = 3, 1.0, 3.0
 #: Packets of a block for a bucket hold so many n-grams at least; where they would hold fewer, n-grams go as single rows.
 PACKET = 64
-BLOCK_BYTES, BUCKET_TOKENS, PIECE = 6 << 20, 1_000_000, 2048
+BLOCK_BYTES, BUCKET_TOKENS, PIECE = 6 << 20, 2_000_000, 2048
 #: Hash of the place before a text's first token, and the end token: a word can't hold a space.
 BEGIN, END = np.uint64(0x9D39247E33776D41), " "
+#: The bits of a hash that tell longer n-grams apart.
+KEPT = ~np.uint64(0xFF)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -53,6 +56,11 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def steps(keys: np.ndarray) -> np.ndarray:
+    """What leads from each of sorted numbers to the next: shorter than the numbers, so they pack better."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Token numbers of all texts in a row, each text's count of tokens, and the words by number (number 0: the end)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -102,7 +110,7 @@ class Grams:
                     was[self.starts] = False
                     valid = was
                 run = mixed(before, h)
-            keys, inverse = np.unique(run[valid], return_inverse=True)
+            keys, inverse = np.unique(run[valid] & KEPT if n > 1 else run[valid], return_inverse=True)
             at = np.full(len(ids), -1, np.int64)
             at[valid] = inverse
             self.keys.append(keys)
@@ -178,11 +186,11 @@ def totals(parts: DataFrame, order: int, buckets: int) -> DataFrame:
                     spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)) if len(cuts) else []
                     yield pa.RecordBatch.from_arrays([
                         pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([n] * len(spans), pa.int32()), pa.array([row["block"]] * len(spans), pa.int64()),
-                        pa.array([packed(keys[a:b]) for a, b in spans], pa.binary()), pa.array([packed(counts[a:b]) for a, b in spans], pa.binary()),
+                        pa.array([packed(steps(keys[a:b])) for a, b in spans], pa.binary()), pa.array([packed(counts[a:b]) for a, b in spans], pa.binary()),
                     ], names=["bucket", "n", "block", "hashes", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        hashes = [unpacked(x, np.uint64) for x in table["hashes"].to_pylist()]
+        hashes = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table["hashes"].to_pylist()]
         counts = np.concatenate([unpacked(x, np.uint32) for x in table["counts"].to_pylist()])
         keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(inverse, counts, len(keys)).astype(np.int64)
