@@ -33,4 +33,4 @@ def numbered(df: DataFrame, order: list[Column], number: str = "_n", size: Colum
     totals = back.groupBy("_file").agg(F.sum("_size").alias("_all"))
     before = totals.select("_file", (F.sum("_all").over(Window.orderBy("_file")) - F.col("_all")).alias("_before"))
     inside = F.col("_row") if size is None else F.sum("_size").over(Window.partitionBy("_file").orderBy("_row")) - F.col("_size")
-    return back.withColumn("_inside", inside).join(before, "_file").select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(number))
+    return back.withColumn("_inside", inside).join(before, "_file").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_inside")).cast("bigint").alias(number))
