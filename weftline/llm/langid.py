@@ -130,7 +130,7 @@ class Net:
             add()
         return sums / np.maximum(sums.sum(1, keepdims=True), 1e-30)
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int, lanes: int = 256, rate: float = 0.01, seed: int = 7) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int, lanes: int = 384, rate: float = 0.015, seed: int = 7) -> None:
         """Adam on the cross entropy of every letter's position; x: (rows, bytes of a segment and its context), y: the rows' labels."""
         rng, params = np.random.default_rng(seed), self.params()
         first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
@@ -182,7 +182,7 @@ class Net:
 LETTER = np.array([float(chr(b).isalpha() if b < 128 else True) for b in range(256)], np.float32)
 
 
-def learn(docs: DataFrame, held: int | None = 1, folds: int = 3, sample: int = 1500, steps: int = 400) -> Net | None:
+def learn(docs: DataFrame, held: int | None = 1, folds: int = 3, sample: int = 1500, steps: int = 200) -> Net | None:
     """A network from at most `sample` documents with lang and text: of each language those of least hash of doc_id.
 
     Rows whose crc32(doc_id as text) modulo folds is held are never learned from, nor are rows without an id. An id that
