@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 from xml.etree import ElementTree
 
@@ -69,6 +70,27 @@ def test_pairs_are_the_likest():
         assert versions.similarity(e, f, {"a": 0.5, "b": 0.5}) == pytest.approx(0.5)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_pairs_equal_those_of_all_comparisons(seed):
+    rng = random.Random(seed)
+    side = lambda: [{k: rng.choice([None, 1.0, 2.0, "1", "x"][: 2 + seed % 4]) for k in "abcdef" if rng.random() < 0.8} | {"_source": "s"} for _ in range(rng.randrange(25))]
+    old, new = side(), side()
+    weight = {k: rng.choice([0.01, 0.1, 0.15, 0.2, 0.3, 0.9]) for k in "abcde"}
+    free, want = set(range(len(new))), []
+    for i, e in enumerate(old):
+        score = {}
+        for j in free:
+            score[j] = 0.0
+            for k, v in e.items():
+                if k != "_source" and v is not None and new[j].get(k) == v:
+                    score[j] += max(weight.get(k, 0.0), 0.1)
+        j = min(score, key=lambda j: (-score[j], j), default=None)
+        if j is not None and score[j] >= 0.3:
+            want.append((i, j))
+            free.remove(j)
+    assert versions.paired(old, new, weight) == want
+
+
 def test_combining(spark):
     queue = spark.createDataFrame([(2, 1, "proceed-version"), (1, 1, "proceed-version"), (3, 1, "failed"), (4, 2, "proceed-version"), (5, 2, "crawling")], "queue_id long, dataset_id long, status string")
     extracts = spark.createDataFrame([(1, "u1", ['{"a":1}', '{"a":2}']), (2, "u2", ['{"a":3}']), (4, "u4", ['{"a":4}'])], "queue_id long, source_url string, entities array<string>")

@@ -87,27 +87,40 @@ def field_changes(a: dict, b: dict) -> list[str]:
 def paired(old: list[dict], new: list[dict], weight: dict[str, float]) -> list[tuple[int, int]]:
     """Pairs of places: each of old in turn takes the likest of new that is free, if it is like enough.
 
-    Only entities that share a field's value can be alike, so candidates come from an index of values; without a
-    candidate that is like enough none is taken.
+    The lightest fields, which together are not enough, bring no candidates: entities that are like enough share a value of another
+    one too. An index of those fields' values names the candidates; what is taken leaves it, so it is never met again.
     """
-    index: dict[tuple[str, str], list[int]] = {}
-    for j, e in enumerate(new):
-        for k, v in e.items():
-            if k != "_source" and v is not None:
-                index.setdefault((k, canonical(v)), []).append(j)
-    free, out = [True] * len(new), []
-    for i, e in enumerate(old):
+
+    def worth(k: str) -> float:
+        return max(weight.get(k, 0.0), LEAST_WEIGHT)
+
+    ours, theirs = ([{k: canonical(v) for k, v in e.items() if k != "_source" and v is not None} for e in side] for side in (old, new))
+    light, together = set(), 0.0
+    for k in sorted({k for e in ours for k in e} & {k for e in theirs for k in e}, key=lambda k: (worth(k), k)):
+        together += worth(k)
+        if together >= LEAST_SIMILARITY - 1e-9:
+            break
+        light.add(k)
+    index: dict[tuple[str, str], set[int]] = {}
+    for j, e in enumerate(theirs):
+        for pair in e.items():
+            if pair[0] not in light:
+                index.setdefault(pair, set()).add(j)
+    out = []
+    for i, e in enumerate(ours):
         score: dict[int, float] = {}
-        for k in e:
-            if k != "_source":
-                for j in index.get((k, canonical(e[k])), ()):
-                    if free[j]:
-                        score[j] = score.get(j, 0.0) + max(weight.get(k, 0.0), LEAST_WEIGHT)
+        for j in set().union(*(index.get(pair, ()) for pair in e.items())):
+            score[j] = 0.0
+            for k, v in e.items():
+                if theirs[j].get(k) == v:
+                    score[j] += worth(k)
         if score:
             j = min(score, key=lambda j: (-score[j], j))
             if score[j] >= LEAST_SIMILARITY:
-                free[j] = False
                 out.append((i, j))
+                for pair in theirs[j].items():
+                    if pair in index:
+                        index[pair].discard(j)
     return out
 
 
@@ -151,8 +164,9 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
         values = [[jsonops.decode(t) for t in side] for side in texts]
         pairs = paired(*values, weight)
         rows = [("modified", texts[0][i], texts[1][j], field_changes(values[0][i], values[1][j])) for i, j in pairs]
-        rows += [("subtracted", t, None, []) for i, t in enumerate(texts[0]) if i not in {p[0] for p in pairs}]
-        rows += [("added", None, t, []) for j, t in enumerate(texts[1]) if j not in {p[1] for p in pairs}]
+        taken = [{p[k] for p in pairs} for k in (0, 1)]
+        rows += [("subtracted", t, None, []) for i, t in enumerate(texts[0]) if i not in taken[0]]
+        rows += [("added", None, t, []) for j, t in enumerate(texts[1]) if j not in taken[1]]
         out = pd.DataFrame(rows, columns=["change", "v1", "v2", "fields"])
         out.insert(1, "source", frame["source"].iloc[0])
         return out
