@@ -98,6 +98,30 @@ def test_combining(spark):
     assert got == [(0, '{"_source":"u1","a":1}'), (1, '{"_source":"u1","a":2}'), (2, '{"_source":"u2","a":3}')]
 
 
+def test_clusters_equal_brute_force(spark):
+    rng = random.Random(5)
+    urls = ["http://a.com", "http://a.com/", "http://b.com", "http://c.com", None]
+    rows = [(i, rng.choice([1, 2, 3, None]), rng.choice(["h", "g", None]), urls[rng.randrange(5) if i % 3 else 0]) for i in range(60)]
+    done = [(100 + i, rng.choice([1, 2, 2, None]), rng.choice(["h", "g", None]), rng.choice(urls)) for i in range(12)]
+    kind = "queue_id long, dataset_id long, schema_hash string, url string"
+    site = lambda u: u and u.rstrip("/")
+    a, b = spark.createDataFrame(rows, kind), spark.createDataFrame(done, kind)
+    same = {q: [x for x, _, g, v in rows if (g, site(v)) == (h, site(u))] for q, _, h, u in rows}
+    role = lambda q: ("solo", None) if len(same[q]) == 1 else ("primary", None) if q == min(same[q]) else ("waiting", min(same[q]))
+    got = clusters.extract_clusters(a)
+    assert got.columns == [*a.columns, "role", "primary"]
+    assert {r["queue_id"]: (r["role"], r["primary"]) for r in got.collect()} == {q: role(q) for q in same} and got.count() == len(rows)
+    want = {}
+    for q, d, h, u in rows:
+        offers = [x for x, e, g, v in done if None not in (d, e, h, u) and e != d and (g, site(v)) == (h, site(u))]
+        if offers:
+            want[q] = min(offers)
+    assert want and {r["queue_id"]: r["from_queue_id"] for r in clusters.late_arrivals(a, b).collect()} == want
+    twice = clusters.cluster(spark.createDataFrame([(1, 7, "k"), (1, 7, "k"), (1, 8, "k"), (2, 6, "k")], "q long, t long, k string"), [F.col("k")], "q", "t")
+    assert sorted((r["t"], r["role"], r["primary"]) for r in twice.collect()) == [(6, "waiting", 7), (7, "primary", None), (7, "primary", None), (8, "waiting", 7)]
+    assert clusters.extract_clusters(a.limit(0)).count() == 0 and clusters.late_arrivals(a, b.limit(0)).count() == 0
+
+
 def test_clusters(spark):
     rows = spark.createDataFrame([(10, 100, "http://A.com/"), (11, 101, "http://a.com"), (12, 102, "http://b.com")], "queue_id long, dataset_url_id long, url string")
     assert [(r["queue_id"], r["role"], r["primary"]) for r in clusters.crawl_clusters(rows).orderBy("queue_id").collect()] == [(10, "primary", None), (11, "waiting", 100), (12, "solo", None)]

@@ -1,12 +1,14 @@
 """Sharing of work: rows that ask for the same page are clustered, one does the work, the others take its result.
 
-Groups are found by window functions over one shuffle on the key that rows share; a group is as large as the number of
-datasets that ask for one page.
+A key's first row and its count are aggregates, combined before they are shuffled and joined back, so that no task holds all rows
+that ask for one page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import normal
@@ -15,15 +17,18 @@ MOST_ATTEMPTS = 3
 
 
 def cluster(rows: DataFrame, key: list[Column], order: str, target: str, role: str = "role", primary: str = "primary") -> DataFrame:
-    """rows with their role: the first of a key leads, the others wait for its `target`; a key's only row is solo."""
+    """rows with their role: the first of a key leads, the others wait for its `target`; a key's only row is solo.
+
+    Null keys are a key of their own. Rows of equal order go by target; those of equal target too lead together.
+    """
     named = rows.select("*", *(k.alias(f"_k{i}") for i, k in enumerate(key)))
     names = [f"_k{i}" for i in range(len(key))]
-    whole = Window.partitionBy(*names)
-    first = F.row_number().over(whole.orderBy(order)) == 1
-    n, lead = F.count("*").over(whole), F.first(target).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = named.withColumn("_n", n).withColumn("_first", first).withColumn("_lead", lead)
+    place = F.struct(F.col(order).alias("o"), F.col(target).alias("t"))
+    heads = named.groupBy(*(F.col(k).alias(f"_h{k}") for k in names)).agg(F.count("*").alias("_n"), F.min(place).alias("_head"))
+    out = named.join(heads, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in names)))
+    out = out.withColumn("_first", place.eqNullSafe(F.col("_head"))).withColumn("_lead", F.col("_head.t"))
     out = out.withColumn(role, F.when(F.col("_n") == 1, "solo").when(F.col("_first"), "primary").otherwise("waiting"))
-    return out.withColumn(primary, F.when(F.col(role) == "waiting", F.col("_lead"))).drop(*names, "_n", "_first", "_lead")
+    return out.withColumn(primary, F.when(F.col(role) == "waiting", F.col("_lead"))).drop(*names, *(f"_h{k}" for k in names), "_n", "_head", "_first", "_lead")
 
 
 def crawl_clusters(queue: DataFrame, url: str = "url", order: str = "queue_id", target: str = "dataset_url_id") -> DataFrame:
@@ -55,9 +60,15 @@ def late_arrivals(queue: DataFrame, done: DataFrame) -> DataFrame:
 
     queue, done: (queue_id, dataset_id, schema_hash, url).
     """
+    key = ["schema_hash", "n"]
     a = queue.select("queue_id", "dataset_id", "schema_hash", normal(F.col("url")).alias("n"))
-    b = done.select(F.col("queue_id").alias("from_queue_id"), F.col("dataset_id").alias("from_dataset_id"), "schema_hash", normal(F.col("url")).alias("n"))
-    return a.join(b, ["schema_hash", "n"]).where("dataset_id <> from_dataset_id").groupBy("queue_id").agg(F.min("from_queue_id").alias("from_queue_id"))
+    b = done.where("dataset_id is not null and queue_id is not null").groupBy("schema_hash", normal(F.col("url")).alias("n"), F.col("dataset_id").alias("from")).agg(F.min("queue_id").alias("q"))
+    # The least of all datasets serves all but its own, which takes the least of the others.
+    least = b.groupBy(*key).agg(F.min(F.struct("q", "from")).alias("least"))
+    others = b.join(least, key).where(F.col("from") != F.col("least.from")).groupBy(*key).agg(F.min("q").alias("other"))
+    offers = least.join(others, key, "left").select(*key, "least", "other")
+    taken = F.when(F.col("dataset_id") != F.col("least.from"), F.col("least.q")).when(F.col("dataset_id") == F.col("least.from"), F.col("other"))
+    return a.join(offers, key).select("queue_id", taken.alias("from_queue_id")).where("from_queue_id is not null").groupBy("queue_id").agg(F.min("from_queue_id").alias("from_queue_id"))
 
 
 def reusable(queue: DataFrame, done: DataFrame) -> DataFrame:
