@@ -117,6 +117,9 @@ def test_clusters_equal_brute_force(spark):
         if offers:
             want[q] = min(offers)
     assert want and {r["queue_id"]: r["from_queue_id"] for r in clusters.late_arrivals(a, b).collect()} == want
+    written = {q: min(o) for q, d, h, u in rows if (o := [x for x, e, g, v in done if x % 2 and None not in (d, e, h, u) and e != d and (g, v) == (h, u)])}
+    marked = b.withColumn("status", F.expr("if(queue_id % 2 = 1, 'done', 'pending')"))
+    assert written and {r["queue_id"]: r["from_queue_id"] for r in clusters.reusable(a, marked).collect()} == written
     twice = clusters.cluster(spark.createDataFrame([(1, 7, "k"), (1, 7, "k"), (1, 8, "k"), (2, 6, "k")], "q long, t long, k string"), [F.col("k")], "q", "t")
     assert sorted((r["t"], r["role"], r["primary"]) for r in twice.collect()) == [(6, "waiting", 7), (7, "primary", None), (7, "primary", None), (8, "waiting", 7)]
     assert clusters.extract_clusters(a.limit(0)).count() == 0 and clusters.late_arrivals(a, b.limit(0)).count() == 0

@@ -55,14 +55,11 @@ def fan_out(rows: DataFrame, results: DataFrame, target: str = "dataset_url_id",
     return out.withColumn(primary, F.when(~served, F.col(primary))).withColumn(role, F.when(served, "solo").otherwise(F.col(role))).drop("_of")
 
 
-def late_arrivals(queue: DataFrame, done: DataFrame) -> DataFrame:
-    """(queue_id, from_queue_id): rows of other datasets with the same fields and URL as one just done; the first of those.
-
-    queue, done: (queue_id, dataset_id, schema_hash, url).
-    """
+def _offered(queue: DataFrame, done: DataFrame, url: Column) -> DataFrame:
+    """(queue_id, from_queue_id): the least row of done of another dataset with the same fields and URL. No pairs of a page are made."""
     key = ["schema_hash", "n"]
-    a = queue.select("queue_id", "dataset_id", "schema_hash", normal(F.col("url")).alias("n"))
-    b = done.where("dataset_id is not null and queue_id is not null").groupBy("schema_hash", normal(F.col("url")).alias("n"), F.col("dataset_id").alias("from")).agg(F.min("queue_id").alias("q"))
+    a = queue.select("queue_id", "dataset_id", "schema_hash", url.alias("n"))
+    b = done.where("dataset_id is not null and queue_id is not null").groupBy("schema_hash", url.alias("n"), F.col("dataset_id").alias("from")).agg(F.min("queue_id").alias("q"))
     # The least of all datasets serves all but its own, which takes the least of the others.
     least = b.groupBy(*key).agg(F.min(F.struct("q", "from")).alias("least"))
     others = b.join(least, key).where(F.col("from") != F.col("least.from")).groupBy(*key).agg(F.min("q").alias("other"))
@@ -71,10 +68,17 @@ def late_arrivals(queue: DataFrame, done: DataFrame) -> DataFrame:
     return a.join(offers, key).select("queue_id", taken.alias("from_queue_id")).where("from_queue_id is not null").groupBy("queue_id").agg(F.min("from_queue_id").alias("from_queue_id"))
 
 
+def late_arrivals(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """(queue_id, from_queue_id): rows of other datasets with the same fields and URL as one just done; the first of those.
+
+    queue, done: (queue_id, dataset_id, schema_hash, url).
+    """
+    return _offered(queue, done, normal(F.col("url")))
+
+
 def reusable(queue: DataFrame, done: DataFrame) -> DataFrame:
     """(queue_id, from_queue_id) as late_arrivals(), by the URL as it is written, and of rows that wait for a version or are done."""
-    b = done.where(F.col("status").isin("proceed-version", "done")).select(F.col("queue_id").alias("from_queue_id"), F.col("dataset_id").alias("from_dataset_id"), "schema_hash", "url")
-    return queue.join(b, ["schema_hash", "url"]).where("dataset_id <> from_dataset_id").groupBy("queue_id").agg(F.min("from_queue_id").alias("from_queue_id"))
+    return _offered(queue, done.where(F.col("status").isin("proceed-version", "done")), F.col("url"))
 
 
 def failed_over(queue: DataFrame, failed: DataFrame) -> DataFrame:
