@@ -62,6 +62,19 @@ def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Reco
         yield batch.slice(start)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 1024, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: up to `rows` rows, or about `limit` bytes."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= rows or size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     """df, with Arrow batches of at most `rows` rows unless the session says otherwise: texts are long, and Spark counts rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

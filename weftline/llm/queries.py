@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontam, embedding, langid, license, lm, quality, simhash, substring, urlfilter, warc
+from weftline.llm import bpe, decontam, embedding, langid, license, lm, quality, ranked, simhash, substring, urlfilter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked.search(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 50 words and more that an earlier one holds."""
     return substring.digests(_t(spark, sf_dir, "documents"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
     "op10_decontam": op10_decontam,
+    "op11_ranked": op11_ranked,
     "op13_substring": op13_substring,
     "urlfilter_linked": urlfilter_linked,
 }
@@ -97,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.ROUND_TRIP_SQL,
     "op10_decontam": decontam.CONTAINED_SQL,
+    "op11_ranked": ranked.SEARCH_SQL,
     "op13_substring": substring.DIGESTS_SQL,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import apart, by_bytes, give_back, small_batches, stage_table
+from weftline.llm.common import apart, by_bytes, give_back, small_batches, stage_table, together
 from weftline.llm.lm import mixed, packed, steps, unpacked
 
 WINDOW = 50
@@ -120,7 +120,7 @@ def anchored(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["doc"]]), pa.array([len(h)]), pa.array([packed(_blocks(h, window // 2))], pa.binary())], names=["doc", "words", "blocks"])
         give_back()
 
-    return _texts(docs, key, text).mapInArrow(run, "doc bigint, words bigint, blocks binary")
+    return _texts(docs, key, text).mapInArrow(lambda b: together(run(b)), "doc bigint, words bigint, blocks binary")
 
 
 def _packets(h: np.ndarray, doc: np.ndarray, place: np.ndarray | None, shift: int, kind: int) -> pa.RecordBatch:
@@ -234,7 +234,7 @@ def hits(packets: DataFrame) -> DataFrame:
         give_back()
 
     dealt = packets.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(run, "doc bigint, h bigint, ref bigint, block bigint")
+    return dealt.mapInArrow(lambda b: together(run(b)), "doc bigint, h bigint, ref bigint, block bigint")
 
 
 def _keys(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def extended(rows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([row["doc"]]), pa.array([row["text"]], pa.binary()), pa.array([packed(np.packbits(settled))], pa.binary()), *_rows([a], [b], [ends])], names=["doc", "text", "settled", "a", "b", "ends"])
         give_back()
 
-    return rows.mapInArrow(run, "doc bigint, text binary, settled binary, a array<bigint>, b array<int>, ends array<bigint>")
+    return rows.mapInArrow(lambda b: together(run(b)), "doc bigint, text binary, settled binary, a array<bigint>, b array<int>, ends array<bigint>")
 
 
 def told_around(rows: DataFrame, window: int) -> DataFrame:
@@ -308,7 +308,7 @@ def told_around(rows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), row["doc"]))], names=["a", "b", "doc"])
         give_back()
 
-    return rows.mapInArrow(run, "a bigint, b int, doc bigint")
+    return rows.mapInArrow(lambda b: together(run(b)), "a bigint, b int, doc bigint")
 
 
 _KEPT = "doc bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
@@ -353,7 +353,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                 h = np.unique(unpacked(row["blocks"], np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), row["doc"]))], names=["h", "doc"])
 
-    holders = told.select("doc", "blocks").mapInArrow(each_block, "h bigint, doc bigint").join(ends, "h").where("doc < last").select("doc", "h")
+    holders = told.select("doc", "blocks").mapInArrow(lambda b: together(each_block(b)), "h bigint, doc bigint").join(ends, "h").where("doc < last").select("doc", "h")
     holders = stage_table(holders, "holders")
     theirs = apart(texts, stage_table(holders.select("doc").distinct(), "holder_ids"), "doc")[0].join(holders.groupBy("doc").agg(F.collect_set("h").alias("ends")), "doc")
     least = told_around(theirs, window).groupBy("a", "b").agg(F.min("doc").alias("least"))
@@ -376,8 +376,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
             yield _kept(row["doc"], row["text"], None)
         give_back()
 
-    changed = ours.select("doc", "text", "settled").join(gone, "doc", "left").mapInArrow(final, _KEPT)
-    same = rest.unionByName(some.join(ids, "doc", "left_anti").select("doc", "text")).mapInArrow(untouched, _KEPT)
+    changed = ours.select("doc", "text", "settled").join(gone, "doc", "left").mapInArrow(lambda b: together(final(b)), _KEPT)
+    same = rest.unionByName(some.join(ids, "doc", "left_anti").select("doc", "text")).mapInArrow(lambda b: together(untouched(b)), _KEPT)
     return changed.unionByName(same).withColumnRenamed("doc", key)
 
 
