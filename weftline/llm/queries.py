@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontam, embedding, langid, license, lm, quality, ranked, simhash, substring, urlfilter, warc
+from weftline.llm import bpe, decontam, embedding, langid, license, lm, quality, ranked, simhash, substring, trie, urlfilter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations."""
+    return trie.digests(_t(spark, sf_dir, "conversations"))
+
+
 def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 50 words and more that an earlier one holds."""
     return substring.digests(_t(spark, sf_dir, "documents"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_decontam": op10_decontam,
     "op11_ranked": op11_ranked,
+    "op12_trie": op12_trie,
     "op13_substring": op13_substring,
     "urlfilter_linked": urlfilter_linked,
 }
@@ -104,5 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.ROUND_TRIP_SQL,
     "op10_decontam": decontam.CONTAINED_SQL,
     "op11_ranked": ranked.SEARCH_SQL,
+    "op12_trie": trie.DIGESTS_SQL,
     "op13_substring": substring.DIGESTS_SQL,
 }
