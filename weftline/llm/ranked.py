@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
 from weftline.llm.common import by_bytes, give_back, small_batches, stage_table, together
 from weftline.sources.scratch import numbered
@@ -62,13 +64,13 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
     """(id, term, times) of all items."""
-    kind = items.schema[key].dataType.simpleString()
+    kind, of = items.schema[key].dataType.simpleString(), to_arrow_type(items.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             for words in terms(row["text"]):
                 got = Counter(words)
-                yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * len(got)), pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], names=["id", "term", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * len(got), of), pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], names=["id", "term", "times"])
 
     each = _bytes(items.where(F.col(key).isNotNull()), key, text).mapInArrow(lambda b: together(run(b)), f"id {kind}, term binary, times bigint")
     return each.groupBy("id", "term").agg(F.sum("times").alias("times"))
@@ -90,7 +92,7 @@ class Items:
 
 def matrix(docs: DataFrame, key: str, text: str, number: dict) -> DataFrame:
     """(id, n, terms, tfs) of every document that has a term: its count of terms, and int32 arrays of those of the block's terms that it holds."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, of = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
@@ -101,7 +103,7 @@ def matrix(docs: DataFrame, key: str, text: str, number: dict) -> DataFrame:
             if n:
                 pairs = sorted((number[t], c) for t, c in got.items() if t in number)
                 made = np.array(pairs, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([row["id"]]), pa.array([n], pa.int64()), *(pa.array([np.ascontiguousarray(made[:, i]).tobytes()], pa.binary()) for i in (0, 1))], names=["id", "n", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["id"]], of), pa.array([n], pa.int64()), *(pa.array([np.ascontiguousarray(made[:, i]).tobytes()], pa.binary()) for i in (0, 1))], names=["id", "n", "terms", "tfs"])
         give_back()
 
     return _bytes(docs, key, text).mapInArrow(lambda b: together(run(b)), f"id {kind}, n bigint, terms binary, tfs binary")
@@ -192,9 +194,6 @@ def best_of(rows: DataFrame, items: Items, weight: np.ndarray, n_all: int, lengt
             yield pa.RecordBatch.from_pylist([{"item": a, "doc": d, "score": s} for a, d, s in some], schema) if some else pa.RecordBatch.from_pylist([], schema)
         give_back()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     spark_schema = StructType.fromDDL(f"item {item_kind}, doc {kind}, score bigint")
     schema = to_arrow_schema(spark_schema)
     return rows.mapInArrow(run, spark_schema)

@@ -277,7 +277,9 @@ def extended(rows: DataFrame, window: int) -> DataFrame:
             link[:-block] = hit[:-block] & hit[block:] & (ref[:-block] == ref[block:]) & (place[:-block] + 1 == place[block:])
             three = np.zeros(len(h), bool)
             three[:-block] = link[:-block] & link[block:]
-            settled = link[:n] | _covered(three, block + 1)[:n]
+            settled = _covered(three, 3 * block - window + 1)[:n]
+            if window == 2 * block:
+                settled |= link[:n]
             # A window that starts up to block - 1 places before a hit may hold the hit's block.
             near = np.zeros(len(h), bool)
             near[: n + block - 1] = hit[: n + block - 1]
