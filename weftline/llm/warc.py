@@ -79,19 +79,27 @@ def segmented(headers: list[tuple[str, str]], block: bytes, uri: str, size: int
     return out
 
 
+#: Bytes of an archive that are fed to the decompressor at a time.
+FEED = 1 << 16
+
+
 def gzipped(data: bytes) -> bytes:
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The contents of concatenated gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        if not z.eof:
-            raise ValueError("a gzip member is cut short")
-        data = z.unused_data
+    """The contents of concatenated gzip members. Slices of FEED bytes are read, so a member's end costs no copy of all that follows."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at == len(view):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + FEED]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
