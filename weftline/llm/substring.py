@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from weftline.llm.common import apart, by_bytes, give_back, small_batches, stage_table, together
 from weftline.llm.lm import mixed, packed, steps, unpacked
@@ -32,8 +31,10 @@ from weftline.llm.lm import mixed, packed, steps, unpacked
 WINDOW = 50
 #: Words of the texts that tell their probes together, and of a bucket; a packet holds some dozens of hashes at least.
 TOLD_WORDS, BUCKET_WORDS, MOST_BUCKETS = 1 << 20, 1 << 21, 1 << 14
-_BYTES, _RUN, _MEMO, _GATHERED = 8 << 20, 4 << 20, 400_000, 1 << 21
+_BYTES, _RUN, _GATHERED = 2 << 20, 1 << 19, 1 << 21
 _BLANK = re.compile(rb"[\t-\r ]")
+_IN_WORD = np.array([not _BLANK.match(bytes([b])) for b in range(256)])
+_BASE = np.uint64(0x9FB21C651E98DF25)
 _SALT, _LOW = np.uint64(0xA24BAED4963EE407), np.uint64(16)
 _NONE = np.empty(0, np.uint64)
 
@@ -49,25 +50,45 @@ def runs(text: bytes, most: int = _RUN) -> Iterator[list[bytes]]:
         at = end
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
-
 class Hasher:
-    """Word hashes of texts, with a bounded memo."""
+    """Word hashes of texts: polynomials in a fixed odd base over random 64-bit values of the bytes, mixed with the word's length.
 
-    def __init__(self):
-        self.memo = _Hashes()
+    Sums over a text's prefixes give those of all its words at once.
+    """
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        parts = []
-        for words in runs(text):
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            parts.append(np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words)))
-        return np.concatenate(parts) if parts else _NONE
+    def __init__(self):
+        self.value = np.random.default_rng(13).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 1 << 16, 2 * len(self.up) if len(self.up) < _RUN else n)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))))
+
+    def _run(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._powers(len(text) + 1)
+        word = np.zeros(len(text) + 2, bool)
+        word[1:-1] = _IN_WORD[text]
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(self.value[text] * self.up[: len(text)], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * self.down[start], (end - start).astype(np.uint64)), start
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of all texts, and where each text's begin (one more: where the last one's end)."""
+        text = b"\n".join(texts)
+        parts, starts, at = [_NONE], [np.empty(0, np.int64)], 0
+        while at < len(text):
+            end = at + _RUN
+            blank = _BLANK.search(text, end) if end < len(text) else None
+            end = blank.start() if blank else len(text)
+            h, start = self._run(np.frombuffer(text, np.uint8, end - at, at))
+            parts.append(h)
+            starts.append(start + at)
+            at = end
+        begin = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        return np.concatenate(parts), np.searchsorted(np.concatenate(starts), begin)
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -85,11 +106,6 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
         width *= 2
 
 
-def _blocks(h: np.ndarray, block: int) -> np.ndarray:
-    """48 bits of each non-overlapping block."""
-    return rolled(h[: len(h) // block * block], block)[::block] >> _LOW
-
-
 def _covered(starts: np.ndarray, length: int) -> np.ndarray:
     """Whether each place lies in the `length` places from a start on."""
     n = len(starts)
@@ -104,23 +120,33 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return small_batches(docs).select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def _each(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[dict]:
+def _each(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[list[dict]]:
+    """Rows of about _BYTES of text together."""
     for batch in batches:
         for part in by_bytes(batch, column, _BYTES):
-            yield from part.to_pylist()
+            yield part.to_pylist()
+
+
+def _hashed(rows: list[dict], hashes: Hasher, block: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Each row with its word hashes and 48 bits of its rolling windows of a block's length."""
+    h, begin = hashes([r["text"] for r in rows])
+    short = rolled(h, block) >> _LOW
+    for row, a, e in zip(rows, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        yield row, h[a:e], short[a : max(a, e - block + 1)]
 
 
 def anchored(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(doc, words, blocks) of every text that holds a window: its count of words and the hashes of its blocks."""
+    block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hasher()
-        for row in _each(batches):
-            if row["doc"] is not None and len(h := hashes(row["text"])) >= window:
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc"]]), pa.array([len(h)]), pa.array([packed(_blocks(h, window // 2))], pa.binary())], names=["doc", "words", "blocks"])
+        for rows in _each(batches):
+            found = [(r["doc"], len(h), packed(short[::block].copy())) for r, h, short in _hashed(rows, hashes, block) if r["doc"] is not None and len(h) >= window]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc", "words", "blocks"])
         give_back()
 
-    return _texts(docs, key, text).mapInArrow(lambda b: together(run(b)), "doc bigint, words bigint, blocks binary")
+    return _texts(docs, key, text).mapInArrow(run, "doc bigint, words bigint, blocks binary")
 
 
 def _packets(h: np.ndarray, doc: np.ndarray, place: np.ndarray | None, shift: int, kind: int) -> pa.RecordBatch:
@@ -181,16 +207,17 @@ def probes(docs: DataFrame, key: str, text: str, window: int, shift: int) -> Dat
             by = np.argsort(h)
             return _packets(h[by], docs[by], None, shift, 1)
 
-        for row in _each(batches):
-            if row["doc"] is None or len(words := hashes(row["text"])) < window:
-                continue
-            for at in range(0, len(words) - block + 1, TOLD_WORDS):
-                h = rolled(words[at : at + TOLD_WORDS + block - 1], block) >> _LOW
-                held.append((h, np.full(len(h), row["doc"])))
-                size += len(h)
-                if size >= TOLD_WORDS:
-                    yield out()
-                    held, size = [], 0
+        for rows in _each(batches):
+            for row, h, short in _hashed(rows, hashes, block):
+                if row["doc"] is None or len(h) < window:
+                    continue
+                for at in range(0, len(short), TOLD_WORDS):
+                    some = short[at : at + TOLD_WORDS]
+                    held.append((some, np.full(len(some), row["doc"])))
+                    size += len(some)
+                    if size >= TOLD_WORDS:
+                        yield out()
+                        held, size = [], 0
         if held:
             yield out()
         give_back()
@@ -255,20 +282,17 @@ def _rows(*parts: list) -> list[pa.Array]:
 
 
 def extended(rows: DataFrame, window: int) -> DataFrame:
-    """(doc, text, settled, a, b, ends) of rows (doc, text, hits): which windows lie inside exact repeats of one smaller document, packed bits; the keys of
+    """(doc, text, settled, a, b, ends) of rows (doc, text, h, ref, block): which windows lie inside exact repeats of one smaller document, packed bits; the keys of
     the windows around hits that do not; and the blocks hit there."""
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hasher()
-        for row in _each(batches):
-            words = hashes(row["text"])
+        for row, words, h in (x for rows in _each(batches) for x in _hashed(rows, hashes, block)):
             n = max(0, len(words) - window + 1)
-            found = row["hits"]
-            known = np.array([x["h"] for x in found], np.uint64)
+            known = np.array(row["h"], np.uint64)
             by = np.argsort(known)
-            known, ref, place = known[by], np.array([x["ref"] for x in found], np.int64)[by], np.array([x["block"] for x in found], np.int64)[by]
-            h = rolled(words, block) >> _LOW
+            known, ref, place = known[by], np.array(row["ref"], np.int64)[by], np.array(row["block"], np.int64)[by]
             at = np.searchsorted(known, h)
             at[at == len(known)] = 0
             hit = known[at] == h
@@ -301,10 +325,9 @@ def told_around(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hasher()
-        for row in _each(batches):
-            words = hashes(row["text"])
+        for row, words, short in (x for rows in _each(batches) for x in _hashed(rows, hashes, block)):
             n = len(words) - window + 1
-            at = np.flatnonzero(np.isin(_blocks(words, block), np.array(row["ends"], np.uint64))) * block
+            at = np.flatnonzero(np.isin(short[::block], np.array(row["ends"], np.uint64))) * block
             starts = np.unique((at[:, None] - np.arange(block)).ravel())
             a, b = _keys(words, starts[(starts >= 0) & (starts < n)], window)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), row["doc"]))], names=["a", "b", "doc"])
@@ -342,7 +365,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     shift = 48 - (buckets.bit_length() - 1)
     met = stage_table(hits(index(told, shift).unionByName(probes(docs, key, text, window, shift))), "hits")
     # The answers to one text are gathered; they are no more than its words.
-    by_doc = met.groupBy("doc").agg(F.collect_set(F.struct("h", "ref", "block")).alias("hits"))
+    by_doc = met.groupBy("doc").agg(F.collect_set(F.struct("h", "ref", "block")).alias("hits")).select("doc", "hits.h", "hits.ref", "hits.block")
     ids = stage_table(met.select("doc").distinct(), "ids")
     texts = _texts(docs, key, text)
     some, rest = apart(texts, ids, "doc")
@@ -364,8 +387,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hasher()
-        for row in _each(batches):
-            n = max(0, len(words := hashes(row["text"])) - window + 1)
+        for row, words, _ in (x for rows in _each(batches) for x in _hashed(rows, hashes, window // 2)):
+            n = max(0, len(words) - window + 1)
             starts = np.unpackbits(unpacked(row["settled"], np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
             if row["gone"]:
                 starts |= np.isin(rolled(words, window).view(np.int64), np.array(row["gone"], np.int64))
@@ -374,7 +397,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         give_back()
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
+        for row in (r for rows in _each(batches) for r in rows):
             yield _kept(row["doc"], row["text"], None)
         give_back()
 
