@@ -6,6 +6,7 @@ stand beside those of entities.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import jsonops
 from weftline.functions.scalars import canonical
-from weftline.sources.scratch import numbered
-
-LEAST_WEIGHT, LEAST_SIMILARITY = 0.1, 0.3
+from weftline.operators import pairing
+from weftline.operators.pairing import LEAST_SIMILARITY, LEAST_WEIGHT
+from weftline.sources.scratch import fresh, numbered
 
 
 # --- whether and how versions differ ---------------------------------------------------------------------------
@@ -125,59 +126,62 @@ def paired(old: list[dict], new: list[dict], weight: dict[str, float]) -> list[t
 
 
 DIFF = "change string, source string, v1 string, v2 string, fields array<string>"
+_ENTITY = "source string, hash string, doc string, tokens array<struct<field:string,value:string>>"
+
+
+def _told(df: DataFrame, side: int) -> DataFrame:
+    """(source, hash, doc, tokens, side) of entities: tokens are the fields that are not null, with a digest of their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(0).to_pylist():
+                e = jsonops.decode(t)
+                if isinstance(e, dict):
+                    src = e.get("_source")
+                    tokens = [{"field": k, "value": hashlib.sha256(canonical(v).encode()).hexdigest()} for k, v in e.items() if k != "_source" and v is not None]
+                    rows.append((src if isinstance(src, str) else "", jsonops.entity_hash(e), canonical(e), tokens))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["source", "hash", "doc", "tokens"])
+
+    return df.select("doc").mapInArrow(run, _ENTITY).withColumn("side", F.lit(side))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(change, source, v1, v2, fields): entities added, subtracted and modified between two versions, by source.
 
-    A source on one side only gives all its entities. Others lose repeats and what both sides have, by a join on
-    hashes that spreads over the cluster; only the rest of a source is brought together and paired.
+    A source on one side only gives all its entities. Others lose repeats and what both sides have, by a join on hashes; the
+    rest is paired as pairing.matched() does. All of it is joins, aggregations and sorts on entities, so a source of any size spreads over the cluster.
     """
-
-    def hashed(df: DataFrame, side: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for t in b.column(0).to_pylist():
-                    e = jsonops.decode(t)
-                    if isinstance(e, dict):
-                        src = e.get("_source")
-                        rows.append((src if isinstance(src, str) else "", jsonops.entity_hash(e), canonical(e)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["source", "hash", "doc"])
-
-        return df.select("doc").mapInArrow(run, "source string, hash string, doc string").withColumn("side", F.lit(side))
-
-    both = hashed(old, 1).unionByName(hashed(new, 2))
-    counted = both.groupBy("source", "hash", "side", "doc").agg(F.count("*").alias("n"))
-    sides = counted.groupBy("source").agg((F.min("side") == F.max("side")).alias("alone"), F.min("side").alias("only"))
-    alone = counted.join(sides.where("alone"), "source").withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
-    v = lambda k: F.when(F.col("only") == k, F.col("doc"))
+    counted = _told(old, 1).unionByName(_told(new, 2)).groupBy("source", "hash", "side").agg(F.count("*").alias("n"), F.any_value("doc").alias("doc"), F.any_value("tokens").alias("tokens"))
+    path = fresh(old.sparkSession, "entities")
+    counted.write.parquet(path)
+    counted = old.sparkSession.read.schema(counted.schema).parquet(path)
+    sides = counted.groupBy("source").agg((F.min("side") == F.max("side")).alias("alone"))
+    # One row a source: joined, and split by Spark where a source is large.
+    known = counted.join(sides, "source")
+    v = lambda k: F.when(F.col("side") == k, F.col("doc"))
     none = F.array().cast("array<string>")
-    whole = alone.select(F.when(F.col("only") == 1, "subtracted").otherwise("added").alias("change"), "source", v(1).alias("v1"), v(2).alias("v2"), none.alias("fields"))
-    single = counted.groupBy("source", "hash").agg(F.min("side").alias("side"), F.max("side").alias("other"), F.max("doc").alias("doc")).where("side = other")
-    rest = single.join(sides.where("not alone"), "source", "left_semi")
-    weight = {r["field"]: r["weight"] for r in _heavier(old, new)}
-
-    def pair(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("hash")
-        texts = [frame.loc[frame["side"] == k, "doc"].tolist() for k in (1, 2)]
-        values = [[jsonops.decode(t) for t in side] for side in texts]
-        pairs = paired(*values, weight)
-        rows = [("modified", texts[0][i], texts[1][j], field_changes(values[0][i], values[1][j])) for i, j in pairs]
-        taken = [{p[k] for p in pairs} for k in (0, 1)]
-        rows += [("subtracted", t, None, []) for i, t in enumerate(texts[0]) if i not in taken[0]]
-        rows += [("added", None, t, []) for j, t in enumerate(texts[1]) if j not in taken[1]]
-        out = pd.DataFrame(rows, columns=["change", "v1", "v2", "fields"])
-        out.insert(1, "source", frame["source"].iloc[0])
-        return out
-
-    return whole.unionByName(rest.select("source", "hash", "side", "doc").groupBy("source").applyInPandas(pair, DIFF))
-
-
-def _heavier(old: DataFrame, new: DataFrame) -> list:
-    """Field weights of the larger version, the old one on a tie. As many rows as entities have fields."""
+    one = lambda df: df.select(F.when(F.col("side") == 1, "subtracted").otherwise("added").alias("change"), "source", v(1).alias("v1"), v(2).alias("v2"), none.alias("fields"))
+    whole = one(known.where("alone").withColumn("i", F.explode(F.sequence(F.lit(1), "n"))))
+    single = counted.groupBy("source", "hash").agg(F.min("side").alias("side"), F.max("side").alias("other"), F.max("doc").alias("doc"), F.any_value("tokens").alias("tokens")).where("side = other")
+    rest = single.join(sides.where("not alone"), "source", "left_semi").select("source", "side", "hash", "doc", "tokens")
+    path = fresh(old.sparkSession, "rest")
+    rest.write.parquet(path)
+    rest = old.sparkSession.read.schema(rest.schema).parquet(path)
     larger = new if new.count() > old.count() else old
-    return weights(larger).collect()
+    tokens = rest.select("source", "side", "hash", F.explode("tokens").alias("t")).select("source", "side", "hash", "t.field", "t.value")
+    pairs = pairing.matched(tokens, weights(larger))
+    sided = lambda k, name: rest.where(F.col("side") == k).select("source", F.col("hash").alias(name), F.col("doc").alias(f"v{k}"))
+    both = pairs.join(sided(1, "old"), ["source", "old"]).join(sided(2, "new"), ["source", "new"]).select("source", "v1", "v2")
+
+    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [field_changes(jsonops.decode(x), jsonops.decode(y)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(["modified"] * b.num_rows), *b.columns, pa.array(found, pa.list_(pa.string()))], names=["change", "source", "v1", "v2", "fields"])
+
+    ends = pairs.select("source", F.lit(1).alias("side"), F.col("old").alias("hash")).unionByName(pairs.select("source", F.lit(2).alias("side"), F.col("new").alias("hash")))
+    return whole.unionByName(one(rest.join(ends, ["source", "side", "hash"], "left_anti"))).unionByName(both.mapInArrow(fields, DIFF))
 
 
 def typed_diff(old: DataFrame, new: DataFrame, names: list[str]) -> DataFrame:

@@ -243,6 +243,12 @@ def x_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.counted(v, stats).select("file_path", "entity_count")
 
 
+def w_rate_limit_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as requests of one key, which is spread over tasks: its requests are more than a task shall read in order."""
+    rows = t(spark, sf_dir, "events").select("event_id", F.lit("all").alias("key"), "ts")
+    return rate_limit(rows, "key", "ts", "event_id", limit=5, window=3600.0, most=1000).select("event_id", "allowed", "remaining", F.round("retry_after", 3).alias("retry_after"))
+
+
 def w_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a day from a user's first event, three events each."""
     return rate_limit(t(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", limit=3, window=86_400.0).select("event_id", "allowed", "remaining")
@@ -261,7 +267,7 @@ QUERIES = {
     "r_batch": r_batch, "r_without_open": r_without_open, "r_over_cap": r_over_cap, "r_gates": r_gates, "r_expiry": r_expiry, "r_refresh": r_refresh, "r_delete": r_delete, "r_upsert": r_upsert, "r_insert": r_insert,
     "r_unique_names": r_unique_names, "x_stuck_locks": _queue(lambda q, a: C.stuck_locks(q, a).select("queue_id", "locked_at")), "x_stuck_stages": _queue(lambda q, a: C.stuck_stages(q, a).select("queue_id", "status")),
     "x_stuck_fetches": _queue(lambda q, a: C.stuck_fetches(q, a).select("queue_id", "status", "crawl_attempts")), "x_raw_only": x_raw_only, "x_orphans": x_orphans, "x_active": x_active, "x_missing": x_missing,
-    "x_counted": x_counted, "w_rate_limit": w_rate_limit,
+    "x_counted": x_counted, "w_rate_limit": w_rate_limit, "w_rate_limit_one_key": w_rate_limit_one_key,
 }
 
 
@@ -293,6 +299,12 @@ ORACLE_SQL = {
     "d_ladder": _LADDER,
     "d_version_changed": EDITED + " SELECT count(*) > 0 AS changed FROM v1 FULL JOIN v2 USING (id) WHERE (v1.status, v1.priority, v1.cust) IS DISTINCT FROM (v2.status, v2.priority, v2.cust) UNION ALL SELECT false",
     "d_posts_changed": "SELECT false AS changed UNION ALL SELECT count(*) > 0 FROM pages WHERE page_id = 7 AND url <> 'x'",
+    # Status and priority together are too light to pair by, so pairs share their id.
+    "d_version_diff": EDITED + """, e AS (SELECT *, 1 AS side FROM v1 UNION ALL SELECT *, 2 FROM v2),
+f AS (SELECT side, id, concat('s', cust % 50) AS source, concat('{"_source":"s', cust % 50, '","id":', id, ',"priority":"', priority, '","status":"', status, '"}') AS v FROM e),
+a AS (SELECT id, source, v AS v1 FROM f WHERE side = 1), b AS (SELECT id, source, v AS v2 FROM f WHERE side = 2)
+SELECT CASE WHEN v2 IS NULL THEN 'subtracted' WHEN v1 IS NULL THEN 'added' ELSE 'modified' END AS change, source, v1, v2, CASE WHEN v1 IS NULL OR v2 IS NULL THEN '' ELSE 'status' END AS fields
+FROM a FULL JOIN b USING (id, source) WHERE v1 IS DISTINCT FROM v2""",
     "d_version_diff_exact": EDITED + " SELECT id, status, priority, cust, CAST(min(side) AS INT) AS side FROM (SELECT *, 1 AS side FROM v1 UNION ALL SELECT *, 2 FROM v2) GROUP BY id, status, priority, cust HAVING min(side) = max(side)",
     "d_field_weights": "SELECT 'c_custkey' AS field, count(DISTINCT c_custkey) / count(*) AS weight FROM customer UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey) / count(*) FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) / count(*) FROM customer",
     "d_json_weights": "SELECT 'p_name' AS field, count(DISTINCT p_name) / count(*) AS weight FROM part UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) / count(*) FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size) / count(*) FROM part",
@@ -333,6 +345,12 @@ ORACLE_SQL = {
     "x_orphans": ctes("queue", "urls", "datasets") + " SELECT queue_id FROM queue WHERE dataset_url_id IN (SELECT dataset_url_id FROM urls WHERE dataset_id IN (SELECT dataset_id FROM datasets WHERE dataset_id > 100))",
     "x_active": ctes("datasets", "versions") + " SELECT dataset_id, CAST(CASE WHEN active_version IS NULL OR EXISTS (SELECT 1 FROM versions v WHERE v.dataset_id = s.dataset_id AND v.version_number = s.active_version) THEN active_version ELSE (SELECT max(version_number) FROM versions v WHERE v.dataset_id = s.dataset_id) END AS INT) AS active_version FROM datasets s",
     "x_missing": ctes("versions") + " SELECT count(*) AS missing FROM versions WHERE entity_count = 0",
+    "w_rate_limit_one_key": """WITH RECURSIVE e AS (SELECT event_id, ts, epoch_us(ts) AS u FROM events), p AS (SELECT DISTINCT u FROM e),
+nxt AS (SELECT u, min(u) OVER (ORDER BY u RANGE BETWEEN 3600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS v FROM p),
+s AS (SELECT min(u) AS u FROM p UNION ALL SELECT nxt.v FROM s JOIN nxt USING (u) WHERE nxt.v IS NOT NULL),
+w AS (SELECT e.*, max(s.u) OVER (ORDER BY e.u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM e LEFT JOIN s USING (u)),
+r AS (SELECT event_id, u - b AS since, row_number() OVER (PARTITION BY b ORDER BY ts, event_id) - 1 AS i FROM w)
+SELECT event_id, i < 5 AS allowed, CAST(greatest(4 - i, 0) AS INT) AS remaining, CASE WHEN i < 5 THEN 0.0 ELSE round((3600000000 - since) / 1e6, 3) END::DOUBLE AS retry_after FROM r""",
     "w_rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT event_id, user_id, i, t AS since, 1 AS used, true AS allowed FROM e WHERE i = 1 UNION ALL
  SELECT e.event_id, e.user_id, e.i, CASE WHEN e.t - r.since > 86400 THEN e.t ELSE r.since END, CASE WHEN e.t - r.since > 86400 THEN 1 WHEN r.used >= 3 THEN r.used ELSE r.used + 1 END, e.t - r.since > 86400 OR r.used < 3
