@@ -381,7 +381,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     holders = told.select("doc", "blocks").mapInArrow(lambda b: together(each_block(b)), "h bigint, doc bigint").join(ends, "h").where("doc < last").select("doc", "h")
     holders = stage_table(holders, "holders")
     theirs = apart(texts, stage_table(holders.select("doc").distinct(), "holder_ids"), "doc")[0].join(holders.groupBy("doc").agg(F.collect_set("h").alias("ends")), "doc")
-    least = told_around(theirs, window).groupBy("a", "b").agg(F.min("doc").alias("least"))
+    # Written, so that the join below has a shuffle of its own on this side and a window that very many ask for can be split.
+    least = stage_table(told_around(theirs, window).groupBy("a", "b").agg(F.min("doc").alias("least")), "least")
     asked = ours.select("doc", F.explode(F.arrays_zip("a", "b")).alias("w")).select("doc", "w.a", "w.b")
     gone = asked.join(least, ["a", "b"]).where("least < doc").groupBy("doc").agg(F.collect_set("a").alias("gone"))
 
