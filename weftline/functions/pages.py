@@ -328,8 +328,8 @@ def _has_item(s: str) -> bool:
 
 
 def _has_content(s: str) -> bool:
-    low = s.lower()
-    return is_json(s) and len(s) >= 200 and any((at := low.find(k)) >= 0 and len(s) - at > 100 for k in CONTENT_KEYS)
+    low, size = s.lower().encode(), len(s.encode())  # lengths count bytes
+    return is_json(s) and size >= 200 and any((at := low.find(k.encode())) >= 0 and size - at > 100 for k in CONTENT_KEYS)
 
 
 def linked_data(root: Node) -> str:

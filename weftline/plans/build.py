@@ -22,9 +22,13 @@ from weftline.functions.urls import normal
 def cleaned(pages: DataFrame, key: str = "page_id", links: bool = False) -> DataFrame:
     """(key, source_url, title, content, word_count, score, description, metadata) of pages (key, url, html) with enough words.
 
-    Pages of one spelling-independent URL are parsed once; sentences that several pages share go.
+    Pages of one spelling-independent URL are parsed once, of those the one of least key; pages without a URL stand alone. Sentences that several pages share go.
     """
-    once = pages.groupBy(normal(F.col("url")).alias("_n")).agg(F.min_by(F.struct(key, "url", "html"), key).alias("p")).select("p.*")
+    # The pages that are not their URL's first are few and light; html stays where it is.
+    named = pages.where("url IS NOT NULL").select(normal(F.col("url")).alias("_n"), key)
+    first = named.groupBy("_n").agg(F.min(key).alias("_least"))
+    again = named.join(first, "_n").where(F.col(key) > F.col("_least")).select(key)
+    once = pages.join(again, key, "left_anti").select(key, "url", "html")
     raw = P.extracted(once, links=links)
     text = raw.select(key, F.col("url").alias("source_url"), "title", X.clean(F.col("content"), links=links, code="keep").alias("content"), "metadata")
     kept = X.drop_repeated_sentences(text, key, "content", key)

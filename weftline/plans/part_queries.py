@@ -18,6 +18,7 @@ from weftline.operators.query import QuerySpec, compile_json, compile_typed
 from weftline.operators.versions import file_stats
 from weftline.plans.tables import d, nested_orders, sql, t
 from weftline.sources import codecs, readers, scratch
+from weftline.sources.publish import Published
 from weftline.streaming import state as S
 
 
@@ -288,6 +289,30 @@ def _document(make):
     return query
 
 
+def _lines(kind: str):
+    """All entities of `part` as one document, written in parallel: its lines with their counts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch.fresh(spark, kind)
+        codecs.write_document(_entities(spark, sf_dir), path, kind, "a & b", ["brand", "k", "none"])
+        return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+    return query
+
+
+def s_version_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One version file with all entities of `part`, as a document written in parallel, read back by splits."""
+    path = scratch.fresh(spark, "version")
+    rows = _entities(spark, sf_dir)
+    first = rows.agg(F.min("_ord")).scalar()
+    line = F.when(F.col("_ord") == first, F.col("doc")).otherwise(F.concat(F.lit(","), "doc"))
+    frame = spark.createDataFrame([(-1, '{"total":1,"posts":[],"entities":['), (1 << 62, "]}")], "_ord long, value string")
+    # One file is one writer's; it writes the sorted lines as they come.
+    rows.select("_ord", line.alias("value")).unionByName(frame).orderBy("_ord").select("value").coalesce(1).write.text(path)
+    got = readers.entities(spark, path, whole=0)
+    return got.select(F.col("_ord").alias("place"), F.get_json_object("doc", "$.k").cast("bigint").alias("k"), F.get_json_object("doc", "$.in.t").alias("t"))
+
+
 def s_version_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version files of JSON, one for each size: written, and read back as entities."""
     folder = scratch.fresh(spark, "versions")
@@ -379,10 +404,9 @@ def s_versions_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table replaced by what is made from itself."""
-    path = scratch.fresh(spark, "swapped")
-    t(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.parquet(path)
-    readers.swap_table(spark.read.parquet(path).where("n_nationkey % 2 = 0"), path)
-    return spark.read.parquet(path)
+    table = Published(spark, scratch.fresh(spark, "swapped"))
+    table.replace(lambda _: t(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return table.replace(lambda last: last.where("n_nationkey % 2 = 0"))
 
 
 # --- work ------------------------------------------------------------------------------------------------------
@@ -447,7 +471,7 @@ QUERIES = {
     "d_sampled": d_sampled, "d_entity_changed": d_entity_changed, "c_diff_cluster": c_diff_cluster, "r_next_datasets": r_next_datasets,
     "q_flatten_first": q_flatten_first, "q_flatten_first_typed": q_flatten_first_typed, "q_flatten_export": q_flatten_export, "q_strip_source": q_strip_source, "q_keywords_both": q_keywords_both,
     "s_jsonl": s_jsonl, "s_csv": _delimited(","), "s_tsv": _delimited("\t"), "s_parquet": s_parquet, "s_xml_rows": s_xml_rows, "s_json_document": _document(lambda rows: "".join(codecs.json_document(rows))), "s_xml_document": _document(lambda rows: "".join(codecs.xml_document(rows, "a & b"))),
-    "s_xml_flat": _document(lambda rows: "".join(codecs.flat_xml_document(rows, ["brand", "k", "none"], "a & b"))), "s_version_file": s_version_file, "s_file_stats": s_file_stats, "s_file_name": s_file_name, "s_product": s_product, "s_search": s_search, "s_versions_saved": s_versions_saved, "s_swap": s_swap, "s_workbook": s_workbook, "s_objects": s_objects,
+    "s_xml_flat": _document(lambda rows: "".join(codecs.flat_xml_document(rows, ["brand", "k", "none"], "a & b"))), "s_version_file": s_version_file, "s_version_scan": s_version_scan, "s_json_lines": _lines("json"), "s_xml_lines": _lines("xml"), "s_flat_lines": _lines("flat"), "s_file_stats": s_file_stats, "s_file_name": s_file_name, "s_product": s_product, "s_search": s_search, "s_versions_saved": s_versions_saved, "s_swap": s_swap, "s_workbook": s_workbook, "s_objects": s_objects,
     "w_cooling": w_cooling, "w_advanced": w_advanced, "w_per_domain": w_per_domain, "w_deliver": w_deliver, "w_tokens": w_tokens,
 }
 
@@ -470,6 +494,11 @@ def _documents(head: str, row: str, sep: str, tail: str) -> str:
 
 _XML_HEAD = f"'<?xml version=\"1.0\" encoding=\"UTF-8\"?>', {_NL}, '<dataset name=\"a &amp; b\">', {_NL}"
 
+
+def _line_counts(head: str, row: str, sep: str, tail: str) -> str:
+    return f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(rtrim(concat({head}, string_agg({row}, {sep} ORDER BY p_partkey), {tail}), {_NL}), {_NL})) AS line FROM part) GROUP BY line"
+
+
 ORACLE_SQL = {
     "t_escapes": _sql_out("concat(p_name, ' cafe A中 end �.', p_partkey)"), "t_entities": _sql_out(_sql_by("concat(p_name, ' & <b> é''A &nope')", "p_name")), "t_code_mark": _sql_out("concat(p_name, ' a BLOCK b BLOCK c')"),
     "t_json_strings": _sql_out("concat(p_name, ' in a long name', CASE WHEN strlen(p_brand) > 10 THEN concat(' ', p_brand) ELSE '' END, ' some more words here')"), "t_json_title": _sql_out(_sql_by("p_name", "p_brand", "CAST(p_partkey AS VARCHAR)", "''", "''")),
@@ -494,6 +523,8 @@ ORACLE_SQL = {
     "q_keywords_both": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'nation') AND (contains(lower(n_name), '1') OR contains(CAST(n_nationkey AS VARCHAR), '1'))",
     "s_jsonl": f"SELECT {_RAW} AS doc FROM part", "s_csv": _CELLS, "s_tsv": _CELLS, "s_parquet": _CELLS, "s_xml_rows": _CELLS,
     "s_json_document": _documents(f"'[', {_NL}", _PRETTY, f"concat(',', {_NL})", f"{_NL}, ']'"), "s_xml_document": _documents(_XML_HEAD, _XML, "''", f"'</dataset>', {_NL}"), "s_xml_flat": _documents(f"{_XML_HEAD}, '  <entities>', {_NL}", _FLAT, "''", f"'  </entities>', {_NL}, '</dataset>'"),
+    "s_json_lines": _line_counts(f"'[', {_NL}", _PRETTY, f"concat(',', {_NL})", f"{_NL}, ']'"), "s_xml_lines": _line_counts(_XML_HEAD, _XML, "''", f"'</dataset>', {_NL}"), "s_flat_lines": _line_counts(f"{_XML_HEAD}, '  <entities>', {_NL}", _FLAT, "''", f"'  </entities>', {_NL}, '</dataset>'"),
+    "s_version_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey AS k, p_name AS t FROM part",
     "s_version_file": "SELECT p_size AS size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS place, p_partkey AS k, p_name AS t FROM part",
     "s_file_stats": "SELECT p_size AS size, CASE WHEN p_size % 3 = 0 THEN count(*) + 1 ELSE count(*) END AS count, count(*) * 3 - 1 + 3 + CASE p_size % 3 WHEN 0 THEN strlen(concat('{\"total\":', count(*) + 1, ',\"entities\":[')) WHEN 1 THEN 10 ELSE 23 END AS bytes FROM part GROUP BY p_size",
     "s_file_name": "SELECT p_partkey, concat(s, '-v', p_size, '.csv') AS main, concat(s, '-v', p_size, '-alt.zip') AS alt FROM (SELECT p_partkey, p_size, CASE p_partkey % 3 WHEN 0 THEN regexp_replace(replace(lower(trim(p_name)), ' ', '-'), '[^a-z0-9_-]', '', 'g') WHEN 1 THEN concat('dataset-', p_partkey) ELSE concat('t-no-', p_partkey) END AS s FROM part)",

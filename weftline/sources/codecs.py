@@ -1,7 +1,7 @@
 """Sinks: entities (_ord, doc) and typed tables in the formats that datasets are served in.
 
-Formats of one row a line or a record are written by Spark, partition by partition. Those that are one document (pretty JSON,
-XML, a workbook, an archive) are streams over rows in order, and are written by the driver without holding the rows.
+Formats of one row a line or a record are written by Spark, partition by partition, and so are JSON and XML documents as files that follow one another
+(write_document()). What is served as one stream (pretty JSON, XML, a workbook, an archive) goes over rows in order, without holding them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from weftline.functions import jsonops
 from weftline.functions.scalars import canonical, cell_str, cell_text, value_text
 from weftline.functions.text import file_slug
+from weftline.sources.scratch import numbered
 
 HEADER_FILL, WIDEST = "FF1E3A5F", 60
 
@@ -141,6 +142,39 @@ def flat_xml_document(entities: Iterable[dict], columns: list[str], name: str) -
     yield "  </entities>\n</dataset>"
 
 
+def _made(kind: str, entities: list[dict], name: str, columns: list[str]) -> str:
+    pieces = json_document(entities) if kind == "json" else xml_document(entities, name) if kind == "xml" else flat_xml_document(entities, columns, name)
+    return "".join(pieces).rstrip("\n")
+
+
+def write_document(df: DataFrame, path: str, kind: str = "json", name: str = "", columns: list[str] | None = None) -> None:
+    """Entities (_ord, doc) as one document of kind json, xml or flat: text files under path whose contents in the order of their names are the document.
+
+    Places come from counts of sorted files; each task writes its entities' texts, and the head before the first of all and the tail after the last.
+    No rows pass through the driver, so a document may have any size. It ends with a line break.
+    """
+    columns, none = columns or [], _made(kind, [], name, columns or [])
+    mark = {"json": "[", "xml": "</dataset>", "flat": "  </entities>"}[kind]
+    head, tail = ("[\n", "\n]") if kind == "json" else (none[: none.rindex(mark)], "\n" + none[none.rindex(mark) :])
+    placed = numbered(df.select("_ord", "doc"), [F.col("_ord")], "_at")
+    if placed.isEmpty():
+        df.sparkSession.createDataFrame([(none,)], "value string").write.text(path)
+        return
+    last = placed.agg(F.max("_at")).scalar()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, at, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = _made(kind, [jsonops.decode(doc) or {}], name, columns)
+                text = text[len(head) : len(text) - len(tail)]
+                out.append((head if at == 0 else "") + text + (tail if ends else "," if kind == "json" else ""))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], names=["value", "_at"])
+
+    texts = placed.select("doc", "_at", (F.col("_at") == last).alias("_ends")).mapInArrow(run, "value string, _at bigint")
+    texts.orderBy("_at").select("value").write.text(path)
+
+
 def _letters(i: int) -> str:
     out = ""
     while i >= 0:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftline.functions.urls import is_bot, links_by_kind
 from weftline.operators.versions import changed, recorded
+from weftline.sources import scan
+from weftline.sources.publish import Files
 
 #: Deleted comments' texts.
 DELETED = ("[deleted]", "[removed]")
@@ -23,7 +25,7 @@ class Objects:
     """Whole objects of any store that Spark's file systems reach: read, write, delete, size."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self._root = spark._jvm, root.rstrip("/")
+        self._spark, self._jvm, self._root = spark, spark._jvm, root.rstrip("/")
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _at(self, key: str):
@@ -39,16 +41,8 @@ class Objects:
             stream.close()
 
     def write(self, key: str, data: bytes) -> None:
-        """The object under another name first, then in place: readers see the old or the new one."""
-        fs, path = self._at(key)
-        part = self._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.part")
-        stream = fs.create(part, True)
-        try:
-            stream.write(bytearray(data))
-        finally:
-            stream.close()
-        fs.delete(path, False)
-        fs.rename(part, path)
+        """The object under another name first, then renamed over the old one: readers see the old or the new one."""
+        Files(self._spark, self._root).put(key.lstrip("/"), data, overwrite=True)
 
     def delete(self, key: str) -> bool:
         fs, path = self._at(key)
@@ -62,18 +56,21 @@ class Objects:
 # --- version files ---------------------------------------------------------------------------------------------
 
 
-def entities(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def entities(spark: SparkSession, paths: str | list[str], whole: int = 32 << 20) -> DataFrame:
     """(path, _ord, doc) of version files: their entities, or their posts where they have none; what is no object is left out.
 
-    A file is one JSON document and is read by one task; its members are cut apart as JSON text, without a schema.
+    A file is one JSON document; its members are cut apart as JSON text, without a schema. Files of more than `whole` bytes are read by as many tasks as
+    they have splits (scan.members()), smaller ones by one task each.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    sizes = spark.read.format("binaryFile").load(paths).select("path", "length")
+    large = [r["path"] for r in sizes.where(F.col("length") > whole).collect()]  # at most a name for each `whole` bytes
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_size").alias("size"))
     member = T.StructType([T.StructField("entities", T.ArrayType(T.VariantType())), T.StructField("posts", T.ArrayType(T.VariantType()))])
-    parsed = files.select("path", F.from_json("value", member).alias("v"))
+    parsed = files.where(F.col("size") <= whole).select("path", F.from_json("value", member).alias("v"))
     rows = F.when(F.size("v.entities") > 0, F.col("v.entities")).otherwise(F.col("v.posts"))
-    each = parsed.select("path", F.posexplode(rows).alias("_i", "x")).where(F.schema_of_variant("x").startswith("OBJECT"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy("_i")) - 1
-    return each.select("path", place.cast("bigint").alias("_ord"), F.to_json("x").alias("doc"))
+    each = parsed.select("path", F.posexplode(F.filter(rows, lambda x: F.schema_of_variant(x).startswith("OBJECT"))).alias("_i", "x"))
+    found = each.select("path", F.col("_i").cast("bigint").alias("_ord"), F.to_json("x").alias("doc"))
+    return found.unionByName(scan.members(spark, large)) if large else found
 
 
 def write_version(df: DataFrame, folder: str, dataset_id: int, version: int, alt: bool = False) -> None:
@@ -120,9 +117,9 @@ def catalogue(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 
 
 def swap_table(df: DataFrame, path: str) -> None:
-    """df in place of the Parquet table at path: written beside it first and then renamed, so that readers see the one or the other.
+    """df in place of the Parquet table at path: written beside it first, then both are renamed. df may be made from what is at path.
 
-    df may be made from what is at path.
+    For a moment nothing is at path, as no file system replaces a whole folder; readers that must always find a version use Published.
     """
     spark = df.sparkSession
     jvm = spark._jvm
@@ -130,9 +127,11 @@ def swap_table(df: DataFrame, path: str) -> None:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     df.write.mode("overwrite").parquet(f"{path}.new")
     fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(new, at):
+        fs.rename(old, at)
+        raise OSError(f"{path}.new can't be put in place")
     fs.delete(old, True)
     spark.catalog.refreshByPath(path)
 

@@ -31,6 +31,8 @@ def numbered(df: DataFrame, order: list[Column], number: str = "_n", size: Colum
     rows.orderBy(*order).write.parquet(path)
     back = df.sparkSession.read.schema(rows.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     totals = back.groupBy("_file").agg(F.sum("_size").alias("_all"))
-    before = totals.select("_file", (F.sum("_all").over(Window.orderBy("_file")) - F.col("_all")).alias("_before"))
+    # A file's number is its partition's; past 99999 names are longer and don't sort by themselves.
+    nth = F.regexp_extract("_file", r"part-(\d+)", 1).cast("bigint")
+    before = totals.select("_file", (F.sum("_all").over(Window.orderBy(nth, "_file")) - F.col("_all")).alias("_before"))
     inside = F.col("_row") if size is None else F.sum("_size").over(Window.partitionBy("_file").orderBy("_row")) - F.col("_size")
     return back.withColumn("_inside", inside).join(before, "_file").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_inside")).cast("bigint").alias(number))
