@@ -423,6 +423,20 @@ def w_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.advanced(queue, finished)
 
 
+def w_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all kinds, run from their first stage to the end by ticks over a stream of results; a row fails in one of eleven ticks."""
+    at = scratch.fresh(spark, "ticks")
+    kind = _by(F.lit("web"), F.lit("amazon"), F.lit("reddit"), F.lit(None).cast("string"))
+    queue = _part(spark, sf_dir).select(F.col("p_partkey").alias("queue_id"), kind.alias("kind")).withColumn("status", F.when(F.col("kind") == "reddit", "pending").otherwise("crawling"))
+    Published(spark, f"{at}/queue").replace(lambda _: queue)
+    results = queue.select("queue_id")
+    for k in range(max(map(len, S.NEXT.values()))):
+        results.withColumn("ok", F.col("queue_id") % 11 != k).write.mode("append").parquet(f"{at}/results")
+        stream = spark.readStream.schema("queue_id bigint, ok boolean").parquet(f"{at}/results")
+        S.run_ticks(stream, S.ticked(f"{at}/queue", S.stepped), f"{at}/checkpoint").awaitTermination()
+    return Published(spark, f"{at}/queue").read()
+
+
 def w_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetching by a function that stands for the network: a failure is an empty result."""
 
@@ -472,7 +486,7 @@ QUERIES = {
     "q_flatten_first": q_flatten_first, "q_flatten_first_typed": q_flatten_first_typed, "q_flatten_export": q_flatten_export, "q_strip_source": q_strip_source, "q_keywords_both": q_keywords_both,
     "s_jsonl": s_jsonl, "s_csv": _delimited(","), "s_tsv": _delimited("\t"), "s_parquet": s_parquet, "s_xml_rows": s_xml_rows, "s_json_document": _document(lambda rows: "".join(codecs.json_document(rows))), "s_xml_document": _document(lambda rows: "".join(codecs.xml_document(rows, "a & b"))),
     "s_xml_flat": _document(lambda rows: "".join(codecs.flat_xml_document(rows, ["brand", "k", "none"], "a & b"))), "s_version_file": s_version_file, "s_version_scan": s_version_scan, "s_json_lines": _lines("json"), "s_xml_lines": _lines("xml"), "s_flat_lines": _lines("flat"), "s_file_stats": s_file_stats, "s_file_name": s_file_name, "s_product": s_product, "s_search": s_search, "s_versions_saved": s_versions_saved, "s_swap": s_swap, "s_workbook": s_workbook, "s_objects": s_objects,
-    "w_cooling": w_cooling, "w_advanced": w_advanced, "w_per_domain": w_per_domain, "w_deliver": w_deliver, "w_tokens": w_tokens,
+    "w_cooling": w_cooling, "w_advanced": w_advanced, "w_ticks": w_ticks, "w_per_domain": w_per_domain, "w_deliver": w_deliver, "w_tokens": w_tokens,
 }
 
 
@@ -535,6 +549,7 @@ ORACLE_SQL = {
     "s_objects": "SELECT r_regionkey, r_name AS content, strlen(r_name) AS bytes, true AS deleted, false AS again FROM region",
     "s_swap": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0",
     "w_cooling": "SELECT concat('e', user_id % 50) AS engine, coalesce(max(CASE WHEN event_id % 7 IN (0, 1) THEN ts END) > (SELECT max(ts) FROM events) - INTERVAL 86400 SECOND, false) AS cooling FROM events GROUP BY user_id % 50",
+    "w_ticks": f"SELECT queue_id, kind, CASE WHEN queue_id % 11 < CASE WHEN kind IN ('amazon', 'reddit') THEN 3 ELSE 5 END THEN 'failed' ELSE 'done' END AS status FROM (SELECT p_partkey AS queue_id, {_sql_by("'web'", "'amazon'", "'reddit'", "NULL")} AS kind FROM part)",
     "w_advanced": "SELECT queue_id, kind, CASE WHEN queue_id % 3 = 0 THEN status WHEN queue_id % 3 = 2 THEN 'failed' WHEN kind IS NULL OR kind = 'web' THEN CASE status WHEN 'crawling' THEN 'proceed-clean' WHEN 'proceed-format' THEN 'proceed-extract' WHEN 'proceed-version' THEN 'done' ELSE status END WHEN kind = 'amazon' THEN CASE status WHEN 'crawling' THEN 'proceed-format' WHEN 'proceed-format' THEN 'proceed-version' WHEN 'proceed-version' THEN 'done' ELSE status END ELSE CASE status WHEN 'pending' THEN 'proceed-combine' WHEN 'proceed-version' THEN 'done' ELSE status END END AS status FROM (SELECT p_partkey AS queue_id, CASE p_partkey % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'amazon' WHEN 2 THEN 'reddit' END AS kind, CASE p_size % 5 WHEN 0 THEN 'crawling' WHEN 1 THEN 'proceed-format' WHEN 2 THEN 'proceed-version' WHEN 3 THEN 'pending' ELSE 'done' END AS status FROM part)",
     "w_per_domain": "SELECT url, CASE WHEN p_partkey % 10 = 7 THEN '' ELSE concat('got ', url) END AS result FROM (SELECT p_partkey, concat('http://', lower(p_brand), '.com/', p_partkey) AS url FROM part)",
     "w_deliver": "SELECT concat('http://h.com/', p_partkey) AS url, CAST(CASE p_partkey % 10 WHEN 3 THEN 0 WHEN 5 THEN 500 ELSE 204 END AS INT) AS status, CAST(CASE WHEN p_partkey % 10 IN (3, 5) THEN 3 ELSE 1 END AS INT) AS tries FROM part",

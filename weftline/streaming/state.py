@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType
 
+from weftline.sources.publish import Published
 from weftline.sources.scratch import fresh, numbered
 
 WINDOW_S, PUBLIC, PRIVATE = 60.0, 100, 300
@@ -238,6 +240,30 @@ def advanced(queue: DataFrame, finished: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("ok"), after).when(~F.col("ok"), "failed").otherwise(F.col("status"))).select(*queue.columns)
 
 
+def ticked(root: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A tick for run_ticks(): publishes step(the queue, the batch) as the next version of the queue at root, once for each batch.
+
+    The ledger of batches is in the versions' names, so a version and its entry are published as one: a batch that
+    is run again after a restart finds its number there and changes nothing, and of two runs side by side one is late.
+    """
+
+    def tick(batch: DataFrame, batch_id: int) -> None:
+        queue = Published(batch.sparkSession, root)
+        read = queue.current()
+        known = re.match(r"b(\d+)-", read or "")
+        if known and int(known[1]) >= batch_id:
+            return
+        queue.publish(queue.write(step(queue.read(read), batch), f"b{batch_id}-"), read)
+
+    return tick
+
+
+def stepped(queue: DataFrame, results: DataFrame) -> DataFrame:
+    """advanced() by results (queue_id, ok) of rows that are open; results of others are left out."""
+    open_ = queue.where("status NOT IN ('done', 'failed')").select("queue_id")
+    return advanced(queue, results.select("queue_id", "ok").join(open_, "queue_id", "left_semi"))
+
+
 def run_ticks(stream: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that hands each batch of new rows to tick, all that are there and then stops; batches are never handed out side by side."""
     return stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
