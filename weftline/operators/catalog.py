@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.sources.scratch import numbered
+from weftline.sources.scratch import numbered, placed
 
 #: Datasets, URLs and search results that a plan allows, and whether it may ping and send webhooks.
 PLANS = {"free": (1, 20, 10, False, False), "starter": (5, 100, 40, True, True)}
@@ -201,15 +201,21 @@ def inserted(table: DataFrame, new: DataFrame, number: str, order: list[str]) ->
 
 
 def unique_names(taken: DataFrame, wanted: DataFrame, name: str = "user_name", order: str = "user_id") -> DataFrame:
-    """wanted with names made unique: name, name_1, name_2 and so on, the first free ones in order; names stay within a base's own series."""
-    used = taken.select(F.col(name).alias("_u")).distinct()
-    asked = wanted.withColumn("_i", F.row_number().over(Window.partitionBy(name).orderBy(order)))
-    most = asked.groupBy(name).agg(F.max("_i").alias("_n"))
-    held = used.select(F.regexp_replace("_u", r"_\d+$", "").alias("_b")).groupBy("_b").agg(F.count("*").alias("_h"))
-    series = most.join(held, most[name] == held["_b"], "left").withColumn("_k", F.explode(F.sequence(F.lit(0), (F.col("_n") + F.coalesce("_h", F.lit(0))).cast("int"))))
-    series = series.select(F.col(name), "_k", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), F.col("_k"))).alias("_u"))
-    free = series.join(used, "_u", "left_anti").withColumn("_i", F.row_number().over(Window.partitionBy(name).orderBy("_k")))
-    return asked.join(free.select(name, "_i", "_u"), [name, "_i"]).withColumn(name, F.col("_u")).select(*wanted.columns)
+    """wanted with names made unique: name, name_1, name_2 and so on, the first free ones in order; names stay within a base's own series.
+
+    A row's number is the i-th one that is not taken. Of the taken numbers of a base, sorted, the j-th stands behind t - j free ones; with the taken
+    ones in between, each before the row that has as many free ones before it, that number is the row's place. Places come from counts of sorted
+    files, so a base name that very many ask for spreads over tasks. A null name stays null; rows of one name differ in order.
+    """
+    bases = wanted.select(F.col(name).alias("_b")).where("_b IS NOT NULL").distinct()
+    used = taken.select(F.col(name).alias("_u")).where("_u IS NOT NULL").distinct()
+    series = used.select(F.regexp_extract("_u", r"(?s)^(.*)_([1-9]\d*)$", 1).alias("_b"), F.regexp_extract("_u", r"(?s)^(.*)_([1-9]\d*)$", 2).try_cast("bigint").alias("_t")).where("_t IS NOT NULL")
+    held = series.unionByName(used.select(F.col("_u").alias("_b"), F.lit(0).cast("bigint").alias("_t"))).join(bases, "_b", "left_semi")
+    before = placed(held, ["_b"], [F.col("_t")], "_j").select("_b", (F.col("_t") - F.col("_j")).alias("_i"), F.lit(None).cast(wanted.schema[order].dataType).alias("_o"), F.lit(False).alias("_asks"))
+    asked = placed(wanted.where(F.col(name).isNotNull()).select(F.col(name).alias("_b"), F.col(order).alias("_o")), ["_b"], [F.col("_o")], "_i").withColumn("_asks", F.lit(True))
+    numbers = placed(before.unionByName(asked.select(*before.columns)), ["_b"], [F.col("_i"), F.col("_asks")], "_k").where("_asks")
+    given = numbers.select("_b", F.col("_o"), F.when(F.col("_k") == 0, F.col("_b")).otherwise(F.concat_ws("_", "_b", "_k")).alias("_u"))
+    return wanted.join(given, (F.col(name) == F.col("_b")) & F.col(order).eqNullSafe(F.col("_o")), "left").withColumn(name, F.col("_u")).select(*wanted.columns)
 
 
 def next_datasets(queue: DataFrame, status: str, most: int = 20) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.sources.scratch import fresh, numbered
+from weftline.sources.scratch import fresh, placed
 
 LEAST_WEIGHT, LEAST_SIMILARITY = 0.1, 0.3
 _CLOSE = 1e-9  # sums in another order
@@ -60,13 +60,6 @@ def scored(ours: DataFrame, theirs: DataFrame, at_least: str) -> DataFrame:
     return both.withColumn("score", _weight(same)).where(F.col("score") >= F.col(at_least)).select("source", "sig", "other", "score")
 
 
-def _placed(rows: DataFrame, order: list[Column], place: str) -> DataFrame:
-    """rows with their place within (source, sig), from 0; counted over sorted files, so a large class spreads over tasks."""
-    key = ["source", "sig"]
-    all_ = _kept(numbered(rows, [*map(F.col, key), *order], "_p"), "placed")
-    return all_.join(all_.groupBy(*key).agg(F.min("_p").alias("_q")), key).withColumn(place, F.col("_p") - F.col("_q")).drop("_p", "_q")
-
-
 def matched(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, old, new): the pairs, by hash. tokens: (source, side, hash, field, value) of both sides; weights: (field, weight)."""
     groups, members = classes(tokens, weights)
@@ -74,7 +67,7 @@ def matched(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     news = members.where("side = 2").select("source", F.col("sig").alias("other"), F.col("hash").alias("new"))
     olds = members.where("side = 1").select("source", "sig", F.col("hash").alias("old"))
     current = groups.where("side = 1").withColumn("least", F.greatest(F.lit(LEAST_SIMILARITY), _weight(F.col("tokens")) / 2))
-    lists, pairs = None, None
+    lists, pairs, group = None, None, ["source", "sig"]
     while True:
         more = _kept(scored(_kept(current, "thresholds"), theirs, "least"), "scores")
         # A class's new list replaces its shorter one.
@@ -87,7 +80,7 @@ def matched(tokens: DataFrame, weights: DataFrame) -> DataFrame:
             if pairs is not None:
                 entries = entries.join(pairs.withColumnRenamed("old", "holder"), ["source", "new"], "left").where("holder IS NULL OR holder > first")
             entries = entries.select("source", "sig", "score", "new")
-            offers = _placed(free, [F.col("old")], "r").join(_placed(entries, [F.col("score").desc(), F.col("new")], "r"), ["source", "sig", "r"]).select("source", "old", "new")
+            offers = placed(free, group, [F.col("old")], "r").join(placed(entries, group, [F.col("score").desc(), F.col("new")], "r"), [*group, "r"]).select("source", "old", "new")
             offers = _kept(offers, "offers")
             if offers.isEmpty():
                 break

@@ -36,3 +36,11 @@ def numbered(df: DataFrame, order: list[Column], number: str = "_n", size: Colum
     before = totals.select("_file", (F.sum("_all").over(Window.orderBy(nth, "_file")) - F.col("_all")).alias("_before"))
     inside = F.col("_row") if size is None else F.sum("_size").over(Window.partitionBy("_file").orderBy("_row")) - F.col("_size")
     return back.withColumn("_inside", inside).join(before, "_file").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_inside")).cast("bigint").alias(number))
+
+
+def placed(df: DataFrame, key: list[str], order: list[Column], place: str) -> DataFrame:
+    """df with each row's place among the rows of its key (no null), from 0: numbered() less the key's first number, so a key of many rows spreads over tasks."""
+    path = fresh(df.sparkSession, "placed")
+    numbered(df, [*(F.col(k) for k in key), *order], "_p").write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    return rows.join(rows.groupBy(*key).agg(F.min("_p").alias("_q")), key).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_p") - F.col("_q")).alias(place))
