@@ -15,6 +15,8 @@ from weftline.sources.scratch import numbered, placed
 PLANS = {"free": (1, 20, 10, False, False), "starter": (5, 100, 40, True, True)}
 STUCK_LOCK_S, STUCK_STAGE_S, CRAWL_S = 1800, 7200, 1800
 ENDED = ("done", "failed")
+#: What a refresh sets in a row of the queue; `role` and `primary` stand for its cluster.
+RESET = {"status": "pending-diff", "crawl_type": "nightly-recrawl", "role": "solo", "primary": None, "cluster_attempts": 0, "diff_role": "solo", "diff_primary": None}
 
 
 # --- parts of reports ------------------------------------------------------------------------------------------
@@ -106,6 +108,45 @@ def profile(datasets: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def dataset_view(
+    datasets: DataFrame, schemas: DataFrame, versions: DataFrame, files: DataFrame, urls: DataFrame, queue: DataFrame, reddit_queue: DataFrame, only: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """What a dataset's page shows, as three tables: "dataset", "versions" and "urls"; of all datasets, or those of only (dataset_id).
+
+    A dataset with very many versions or URLs stays spread: they are rows, in the page's order when sorted by (dataset_id, version_number) and
+    (dataset_id, dataset_url_id), never a list in one row. What the page says of all of them are aggregates. files: (file_path, bytes).
+    Processing is a dataset with a URL whose newest row is open or missing; entity_count and file_size_bytes are the active version's, of several
+    of one number the least path's; last_refresh is the last version's. A dataset without a schema, or one that isn't an object, has a null schema.
+    """
+    if only is not None:
+        datasets = datasets.join(only.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    mine = datasets.select("dataset_id")
+    sizes = files.groupBy("file_path").agg(F.max("bytes").alias("_bytes"))
+    listed = versions.join(mine, "dataset_id", "left_semi").join(sizes, "file_path", "left").select(
+        "dataset_id", "version_number", "file_path", F.nullif("alt_file_path", F.lit("")).alias("alt_file_path"), "created_at", "is_active", "entity_count",
+        F.coalesce("_bytes", F.lit(0)).cast("bigint").alias("file_size_bytes"),
+    )
+    own = latest_status(urls.join(mine, "dataset_id", "left_semi"), (queue, "queue_id"), (reddit_queue, "reddit_queue_id")).select("dataset_id", "dataset_url_id", "url", "source_type", "queue_status", "folder_path")
+    last = listed.groupBy("dataset_id").agg(F.max_by("created_at", F.struct("version_number", "file_path")).alias("_last"))
+    active = listed.join(datasets.select("dataset_id", F.col("active_version").alias("version_number")), ["dataset_id", "version_number"])
+    active = active.groupBy("dataset_id").agg(F.min_by(F.struct("entity_count", "file_size_bytes"), "file_path").alias("_active"))
+    waits = own.groupBy("dataset_id").agg(F.bool_or(~F.col("queue_status").isin(*ENDED)).alias("_open"))
+    fields = schemas.groupBy("dataset_id").agg(F.max("fields").alias("_fields"))
+    head = datasets.join(fields, "dataset_id", "left").join(last, "dataset_id", "left").join(active, "dataset_id", "left").join(waits, "dataset_id", "left")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return {
+        "dataset": head.select(
+            "dataset_id", "user_id", F.col("data_name").alias("name"), blank("description"), blank("intent"), blank("extract_intent"), blank("tag"), "visibility",
+            flag("is_frozen").alias("is_frozen"), flag("is_cloned").alias("is_cloned"), flag("nightly").alias("nightly"), derived_status(flag("is_frozen"), flag("_open"), F.lit(True)).alias("status"),
+            F.coalesce("active_version", F.lit(0)).alias("active_version"), "created_at", F.coalesce("_last", "created_at").alias("last_refresh"), F.from_json("_fields", "map<string,string>").alias("schema"),
+            F.coalesce("_active.entity_count", F.lit(0)).cast("bigint").alias("entity_count"), F.coalesce("_active.file_size_bytes", F.lit(0)).cast("bigint").alias("file_size_bytes"), "dataset_type",
+        ),
+        "versions": listed,
+        "urls": own,
+    }
+
+
 def keepalive(*tables: tuple[str, DataFrame, str]) -> DataFrame:
     """One row of counts over whole tables: (name, table, column to count apart)."""
     parts = [t.agg(F.count("*").alias(f"{n}_rows"), F.count_distinct(c).alias(f"{n}_distinct"), F.max(c).alias(f"{n}_last")) for n, t, c in tables]
@@ -171,11 +212,59 @@ def expired(users: DataFrame, as_of: Column) -> DataFrame:
 # --- changes ---------------------------------------------------------------------------------------------------
 
 
+def _asked(requests: DataFrame, found: DataFrame, refusals: list[tuple[Column, str]]) -> DataFrame:
+    """(request_id, dataset_id, status, error) of requests joined to what they name: the first refusal that holds, else queued."""
+    error = F.coalesce(*(F.when(holds, F.lit(why)) for holds, why in refusals))
+    return found.withColumn("error", error).select(*requests.columns, F.when(F.col("error").isNull(), "queued").otherwise("error").alias("status"), "error")
+
+
+def nightly(datasets: DataFrame) -> DataFrame:
+    """(dataset_id) of datasets that are refreshed each night: those that ask for it and are not frozen."""
+    return datasets.where(F.coalesce("nightly", F.lit(False)) & ~F.coalesce("is_frozen", F.lit(False))).select("dataset_id")
+
+
+def asked_by_users(requests: DataFrame, datasets: DataFrame) -> DataFrame:
+    """requests (user_id, dataset_id and others) with status and error: a refresh asked for by hand, one by one or many at once.
+
+    Refused are datasets that there are none of, then those of others, then frozen ones. A null dataset_id is not found; a repeated request is answered each time.
+    """
+    known = datasets.select(F.col("dataset_id").alias("_id"), F.col("user_id").alias("_owner"), F.coalesce("is_frozen", F.lit(False)).alias("_frozen"))
+    found = requests.join(known, F.col("dataset_id") == F.col("_id"), "left")
+    return _asked(requests, found, [(F.col("_id").isNull(), "not found"), (~F.col("_owner").eqNullSafe(F.col("user_id")), "forbidden"), (F.col("_frozen"), "dataset is frozen")])
+
+
+def pinged(pings: DataFrame, datasets: DataFrame, users: DataFrame) -> DataFrame:
+    """pings (ping_key and others) with dataset_id, status and error: a refresh asked for by an address that only the owner knows.
+
+    Refused are unknown keys, then owners whose plan allows no pings, then frozen datasets.
+    """
+    # An owner's plan is found for the datasets first: few are pinged, and pings may all be one dataset's.
+    plans = users.select(F.col("user_id").alias("_owner"), "plan")
+    keyed = datasets.where("ping_key IS NOT NULL").select(F.col("ping_key").alias("_key"), "dataset_id", F.col("user_id").alias("_owner"), F.coalesce("is_frozen", F.lit(False)).alias("_frozen"))
+    keyed = keyed.join(plans, "_owner", "left").withColumn("_may", plan_limit(F.coalesce("plan", F.lit("free")), 3))
+    found = pings.join(keyed.select("_key", "dataset_id", "_frozen", "_may"), F.col("ping_key") == F.col("_key"), "left")
+    told = _asked(found.select(*pings.columns, "dataset_id"), found, [(F.col("_key").isNull(), "invalid ping key"), (~F.col("_may"), "plan"), (F.col("_frozen"), "dataset is frozen")])
+    return told.withColumn("dataset_id", F.when(F.col("error").isNull(), F.col("dataset_id")))
+
+
 def refreshed(queue: DataFrame, urls: DataFrame, datasets: DataFrame) -> DataFrame:
-    """queue with the ended rows of datasets (dataset_id) waiting to be compared again, unless they failed 7 times."""
+    """queue with the ended rows of datasets (dataset_id) waiting to be compared again, unless they failed 7 times.
+
+    Such rows are in no cluster any more and are fetched as a refresh, where queue has the columns that say so: RESET.
+    """
     hit = urls.join(datasets.select("dataset_id"), "dataset_id", "left_semi").select("dataset_url_id").distinct()
-    rows = flagged(queue, hit, ["dataset_url_id"], "_hit")
-    return rows.withColumn("status", F.when(F.col("_hit") & F.col("status").isin(*ENDED) & (F.col("fail_count") < 7), "pending-diff").otherwise(F.col("status"))).select(*queue.columns)
+    rows = flagged(queue, hit, ["dataset_url_id"], "_hit").withColumn("_hit", F.col("_hit") & F.col("status").isin(*ENDED) & (F.col("fail_count") < 7))
+    for name, value in RESET.items():
+        if name in queue.columns:
+            rows = rows.withColumn(name, F.when(F.col("_hit"), F.lit(value).cast(queue.schema[name].dataType)).otherwise(F.col(name)))
+    return rows.select(*queue.columns)
+
+
+def refresh_notices(datasets: DataFrame, refreshed_ids: DataFrame) -> DataFrame:
+    """(user_id, dataset_id, type, message): what owners are told of refreshed datasets (dataset_id); each dataset once."""
+    text = F.concat(F.lit('Dataset "'), F.coalesce("data_name", F.lit("")), F.lit('" has a new version ready.'))
+    rows = datasets.where("user_id <> ''").join(refreshed_ids.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    return rows.select("user_id", "dataset_id", F.lit("refresh_complete").alias("type"), text.alias("message"))
 
 
 def deleted(datasets: DataFrame, ids: DataFrame, urls: DataFrame, by_dataset: dict[str, DataFrame], by_url: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -143,6 +143,54 @@ def r_my_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.my_datasets(g("datasets"), g("versions"), g("schemas"), g("subreddits"), g("urls"), g("queue"), g("reddit_queue"))
 
 
+#: Columns of the catalogue that only a dataset's page asks for.
+_SCHEMA_FIELDS = """concat('{"name":"text","', lower(source), '":"', CAST(dataset_id AS STRING), '"}')"""
+_INTENT = "CASE WHEN dataset_id % 3 = 0 THEN concat('find ', tag) END"
+_FOLDER = "CASE WHEN dataset_url_id % 4 <> 0 THEN concat('raw/', CAST(dataset_url_id AS STRING)) END"
+
+
+def _view(part: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = lambda n: d(spark, sf_dir, n)
+        datasets = g("datasets").withColumn("intent", F.expr(_INTENT)).withColumn("extract_intent", F.lit(None).cast("string")).withColumn("is_cloned", F.col("dataset_id") % 10 == 1)
+        schemas = g("schemas").where("dataset_id % 37 <> 0").withColumn("fields", F.expr(_SCHEMA_FIELDS))
+        out = C.dataset_view(datasets, schemas, g("versions"), g("files"), g("urls").withColumn("folder_path", F.expr(_FOLDER)), g("queue"), g("reddit_queue"))[part]
+        if part == "dataset":
+            pairs = F.transform(F.array_sort(F.map_entries("schema")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+            out = out.withColumn("schema", F.array_join(pairs, ","))
+        return out
+
+    return query
+
+
+#: Requests that users make: every order asks for its customer's dataset, some for others' or for none that there is.
+_REQUESTS = "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 9 = 0 THEN 'u1' ELSE concat('u', CAST(c_nationkey AS STRING)) END AS user_id, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS dataset_id FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def r_refresh_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer")
+    asked = spark.sql(_REQUESTS.replace("FROM orders JOIN customer", "FROM {o} JOIN {c}"), o=o, c=c)
+    return C.asked_by_users(asked, d(spark, sf_dir, "datasets"))
+
+
+def r_refresh_pinged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a ping of its customer's dataset; a fifth of the datasets have no key."""
+    datasets = d(spark, sf_dir, "datasets").withColumn("ping_key", F.expr("CASE WHEN dataset_id % 5 <> 0 THEN concat('k', CAST(dataset_id AS STRING)) END"))
+    pings = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("ping_key"))
+    return C.pinged(pings, datasets, d(spark, sf_dir, "users"))
+
+
+def r_refresh_nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after the nightly refresh."""
+    q = d(spark, sf_dir, "queue").withColumn("crawl_type", F.lit("first")).withColumn("primary", F.when(F.col("role") == "waiting", F.col("dataset_url_id") + 1))
+    return C.refreshed(q, d(spark, sf_dir, "urls"), C.nightly(d(spark, sf_dir, "datasets"))).select("queue_id", "status", "crawl_type", "role", "primary")
+
+
+def r_refresh_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    datasets = d(spark, sf_dir, "datasets")
+    return C.refresh_notices(datasets, C.nightly(datasets))
+
+
 def r_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.profile(d(spark, sf_dir, "datasets"), d(spark, sf_dir, "versions"))
 
@@ -265,6 +313,8 @@ QUERIES = {
     "v_cloned": v_cloned, "c_cluster": c_cluster, "c_extract_cluster": c_extract_cluster, "c_fanout": c_fanout, "c_late": c_late, "c_reuse": c_reuse, "c_failover": c_failover, "c_combine_ready": c_combine_ready,
     "c_combined": c_combined, "r_market": r_market, "r_my_datasets": r_my_datasets, "r_profile": r_profile, "r_latest_status": r_latest_status, "r_versions_list": r_versions_list, "r_keepalive": r_keepalive,
     "r_batch": r_batch, "r_without_open": r_without_open, "r_over_cap": r_over_cap, "r_gates": r_gates, "r_expiry": r_expiry, "r_refresh": r_refresh, "r_delete": r_delete, "r_upsert": r_upsert, "r_insert": r_insert,
+    "r_dataset_view": _view("dataset"), "r_dataset_versions": _view("versions"), "r_dataset_urls": _view("urls"), "r_refresh_asked": r_refresh_asked, "r_refresh_pinged": r_refresh_pinged,
+    "r_refresh_nightly": r_refresh_nightly, "r_refresh_notices": r_refresh_notices,
     "r_unique_names": r_unique_names, "x_stuck_locks": _queue(lambda q, a: C.stuck_locks(q, a).select("queue_id", "locked_at")), "x_stuck_stages": _queue(lambda q, a: C.stuck_stages(q, a).select("queue_id", "status")),
     "x_stuck_fetches": _queue(lambda q, a: C.stuck_fetches(q, a).select("queue_id", "status", "crawl_attempts")), "x_raw_only": x_raw_only, "x_orphans": x_orphans, "x_active": x_active, "x_missing": x_missing,
     "x_counted": x_counted, "w_rate_limit": w_rate_limit, "w_rate_limit_one_key": w_rate_limit_one_key,
@@ -292,6 +342,8 @@ _LIMIT = "CASE WHEN plan = 'starter' THEN {0} ELSE {1} END"
 _SHIFT = "q AS (SELECT * REPLACE (created_at + INTERVAL 30 YEAR AS created_at, locked_at + INTERVAL 30 YEAR AS locked_at) FROM queue)"
 _KIND = "CASE WHEN dataset_type = 'amazon' THEN 'amazon' WHEN dataset_id IN (SELECT dataset_id FROM subreddits) OR dataset_id IN (SELECT dataset_id FROM schemas WHERE source = 'reddit') THEN 'reddit' ELSE 'web' END"
 _ACTIVE = "act AS (SELECT v.dataset_id, max(entity_count) AS entity_count, bool_or(coalesce(alt_file_path, '') <> '') AS has_alt, max(v.created_at) AS refreshed FROM versions v JOIN datasets s ON s.dataset_id = v.dataset_id AND s.active_version = v.version_number GROUP BY v.dataset_id)"
+_LATEST = "coalesce(lq.s, lr.s, 'pending')"
+_LATEST_JOIN = "LEFT JOIN (SELECT dataset_url_id, max_by(status, queue_id) AS s FROM queue GROUP BY 1) lq USING (dataset_url_id) LEFT JOIN (SELECT dataset_url_id, max_by(status, reddit_queue_id) AS s FROM reddit_queue GROUP BY 1) lr USING (dataset_url_id)"
 _OPEN = "SELECT u.dataset_id FROM queue q JOIN urls u USING (dataset_url_id) WHERE q.status NOT IN ('done', 'failed')"
 
 ORACLE_SQL = {
@@ -323,6 +375,19 @@ FROM a FULL JOIN b USING (id, source) WHERE v1 IS DISTINCT FROM v2""",
     "c_combined": ctes("crawl") + ", q AS (SELECT *, CASE WHEN dataset_id = 3 AND queue_id % 20 = 6 THEN 'pending' WHEN queue_id % 4 = 0 THEN 'done' ELSE 'proceed-version' END AS st FROM crawl), e AS (SELECT dataset_id, queue_id, url, unnest(range(page_id % 3 + 1)) AS i FROM q JOIN (SELECT page_id FROM pages) ON page_id * 2 = queue_id WHERE st = 'proceed-version' AND dataset_id NOT IN (SELECT dataset_id FROM q WHERE st = 'pending')) SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY queue_id, i) - 1 AS _ord, concat('{\"_source\":\"', replace(url, '&', '\\u0026'), '\",\"i\":', i, '}') AS doc FROM e",
     "r_market": ctes("datasets", "versions", "schemas", "subreddits") + f", {_ACTIVE} SELECT dataset_id, data_name, coalesce(alias, data_name) AS alias, coalesce(description, '') AS description, coalesce(tag, '') AS tag, is_premium, price, clone_count, api_hit_count, active_version, created_at, {_KIND} AS dataset_type, coalesce(has_alt, false) AS has_alt, coalesce(entity_count, 0) AS entity_count, CAST(clone_count * 3 + api_hit_count - date_diff('day', created_at, {AS_OF}) * 0.5 AS DOUBLE) AS rank FROM datasets LEFT JOIN act USING (dataset_id) WHERE visibility = 'public' AND active_version IS NOT NULL AND dataset_id IN (SELECT dataset_id FROM versions)",
     "r_my_datasets": ctes("datasets", "versions", "schemas", "subreddits", "urls", "queue", "reddit_queue") + f", {_ACTIVE}, vl AS (SELECT dataset_id, string_agg(CAST(version_number AS VARCHAR), ',' ORDER BY version_number DESC) AS versions FROM versions GROUP BY dataset_id), o AS ({_OPEN} UNION {_OPEN.replace('queue q', 'reddit_queue q')}) SELECT dataset_id, user_id, coalesce(nullif(trim(alias), ''), data_name) AS name, coalesce(refreshed, created_at) AS last_refresh, coalesce(entity_count, 0) AS entity_count, coalesce(versions, '') AS versions, {_KIND} AS source, coalesce(has_alt, false) AS has_alt, CASE WHEN is_frozen THEN 'frozen' WHEN dataset_id IN (SELECT dataset_id FROM o) OR versions IS NULL THEN 'processing' ELSE 'active' END AS status, created_at FROM datasets LEFT JOIN act USING (dataset_id) LEFT JOIN vl USING (dataset_id)",
+    "r_dataset_view": ctes("datasets", "versions", "schemas", "files", "urls", "queue", "reddit_queue") + f""", st AS (SELECT u.*, {_LATEST} AS st FROM urls u {_LATEST_JOIN}),
+op AS (SELECT DISTINCT dataset_id FROM st WHERE st NOT IN ('done', 'failed')), la AS (SELECT dataset_id, arg_max(created_at, (version_number, file_path)) AS last FROM versions GROUP BY dataset_id),
+ac AS (SELECT s.dataset_id, arg_min({{'e': v.entity_count, 'b': coalesce(f.bytes, 0)}}, v.file_path) AS a FROM datasets s JOIN versions v ON v.dataset_id = s.dataset_id AND v.version_number = s.active_version LEFT JOIN files f USING (file_path) GROUP BY s.dataset_id)
+SELECT s.dataset_id, user_id, data_name AS name, coalesce(description, '') AS description, coalesce({_INTENT}, '') AS intent, '' AS extract_intent, coalesce(tag, '') AS tag, visibility, is_frozen, dataset_id % 10 = 1 AS is_cloned, nightly,
+CASE WHEN is_frozen THEN 'frozen' WHEN dataset_id IN (FROM op) THEN 'processing' ELSE 'active' END AS status, coalesce(active_version, 0) AS active_version, created_at, coalesce(last, created_at) AS last_refresh,
+CASE WHEN dataset_id % 37 <> 0 THEN concat('name=text,', source, '=', dataset_id) END AS schema, coalesce(a.e, 0) AS entity_count, coalesce(a.b, 0) AS file_size_bytes, dataset_type
+FROM datasets s LEFT JOIN schemas USING (dataset_id) LEFT JOIN la USING (dataset_id) LEFT JOIN ac USING (dataset_id)""",
+    "r_dataset_versions": ctes("datasets", "versions", "files") + " SELECT dataset_id, version_number, file_path, nullif(alt_file_path, '') AS alt_file_path, created_at, is_active, entity_count, coalesce(bytes, 0) AS file_size_bytes FROM versions LEFT JOIN files USING (file_path) WHERE dataset_id IN (SELECT dataset_id FROM datasets)",
+    "r_dataset_urls": ctes("datasets", "urls", "queue", "reddit_queue") + f" SELECT u.dataset_id, u.dataset_url_id, u.url, u.source_type, {_LATEST} AS queue_status, CASE WHEN u.dataset_url_id % 4 <> 0 THEN concat('raw/', u.dataset_url_id) END AS folder_path FROM urls u {_LATEST_JOIN} WHERE u.dataset_id IN (SELECT dataset_id FROM datasets)",
+    "r_refresh_asked": ctes("datasets") + f", q AS ({_REQUESTS}), e AS (SELECT q.*, CASE WHEN s.dataset_id IS NULL THEN 'not found' WHEN s.user_id <> q.user_id THEN 'forbidden' WHEN is_frozen THEN 'dataset is frozen' END AS error FROM q LEFT JOIN datasets s ON s.dataset_id = q.dataset_id) SELECT request_id, user_id, dataset_id, CASE WHEN error IS NULL THEN 'queued' ELSE 'error' END AS status, error FROM e",
+    "r_refresh_pinged": ctes("datasets", "users") + ", e AS (SELECT o_orderkey AS request_id, concat('k', o_custkey) AS ping_key, s.dataset_id, CASE WHEN s.dataset_id IS NULL THEN 'invalid ping key' WHEN coalesce(plan, 'free') <> 'starter' THEN 'plan' WHEN is_frozen THEN 'dataset is frozen' END AS error FROM orders LEFT JOIN datasets s ON s.dataset_id = o_custkey AND s.dataset_id % 5 <> 0 LEFT JOIN users USING (user_id)) SELECT request_id, ping_key, CASE WHEN error IS NULL THEN dataset_id END AS dataset_id, CASE WHEN error IS NULL THEN 'queued' ELSE 'error' END AS status, error FROM e",
+    "r_refresh_nightly": ctes("queue", "urls", "datasets") + ", h AS (SELECT *, status IN ('done', 'failed') AND fail_count < 7 AND dataset_url_id IN (SELECT dataset_url_id FROM urls JOIN datasets USING (dataset_id) WHERE nightly AND NOT is_frozen) AS hit FROM queue) SELECT queue_id, CASE WHEN hit THEN 'pending-diff' ELSE status END AS status, CASE WHEN hit THEN 'nightly-recrawl' ELSE 'first' END AS crawl_type, CASE WHEN hit THEN 'solo' ELSE role END AS role, CASE WHEN role = 'waiting' AND NOT hit THEN dataset_url_id + 1 END AS primary FROM h",
+    "r_refresh_notices": ctes("datasets") + " SELECT user_id, dataset_id, 'refresh_complete' AS type, concat('Dataset \"', data_name, '\" has a new version ready.') AS message FROM datasets WHERE nightly AND NOT is_frozen",
     "r_profile": ctes("datasets", "versions") + " SELECT user_id, count(*) FILTER (visibility = 'public') AS public_datasets, CAST(sum(clone_count) AS BIGINT) AS clones, CAST(sum(api_hit_count) AS BIGINT) AS api_hits, CAST(coalesce(sum(n), 0) AS BIGINT) AS versions FROM datasets LEFT JOIN (SELECT dataset_id, count(*) AS n FROM versions GROUP BY dataset_id) USING (dataset_id) GROUP BY user_id",
     "r_latest_status": ctes("urls", "queue", "reddit_queue") + " SELECT dataset_url_id, coalesce((SELECT max_by(status, queue_id) FROM queue q WHERE q.dataset_url_id = urls.dataset_url_id AND q.dataset_url_id % 3 = 0), (SELECT max_by(status, reddit_queue_id) FROM reddit_queue r WHERE r.dataset_url_id = urls.dataset_url_id), 'pending') AS queue_status FROM urls",
     "r_versions_list": ctes("versions") + " SELECT dataset_id, string_agg(CAST(version_number AS VARCHAR), ',' ORDER BY version_number DESC) AS versions FROM versions GROUP BY dataset_id",

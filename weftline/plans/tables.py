@@ -33,6 +33,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
             "CAST(CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE floor(o_totalprice) END AS BIGINT) AS entity_count", "o_orderdate AS created_at", "o_orderkey % 5 = 0 AS is_active",
         ),
     ),
+    "files": ("orders", ("concat('f', CAST(o_orderkey AS STRING)) AS file_path", "CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey * 3 + 100 AS BIGINT) END AS bytes")),
     "schemas": ("customer", ("c_custkey AS dataset_id", "CASE WHEN c_custkey % 31 = 0 THEN 'reddit' ELSE 'serp' END AS source")),
     "subreddits": ("nation", ("CAST(n_nationkey * 37 + 1 AS BIGINT) AS dataset_id", "n_name AS subreddit")),
     "urls": (
