@@ -107,9 +107,10 @@ def first_of(df: DataFrame, keys: list[Column], parts: list[Column] | None = Non
 
 
 def paged(df: DataFrame, spec: QuerySpec, order: list[Column]) -> DataFrame:
-    """Sample, offset and limit over ordered rows. A limit becomes a top-k, not a sort of everything; an offset without one goes by the rows' places."""
+    """Sample, offset and limit over ordered rows. A sample is of the rows whose places have the least hashes with the seed, so it is the same on every run
+    and however rows are dealt out. A limit becomes a top-k, not a sort of everything; an offset without one goes by the rows' places."""
     if spec.sample > 0:
-        df = df.orderBy(F.rand(spec.seed)).limit(spec.sample)
+        df = df.orderBy(F.md5(F.concat_ws(":", F.lit(spec.seed), F.col(ORD)).cast("binary")), ORD).limit(spec.sample)
     if spec.offset > 0 and spec.limit <= 0:
         return numbered(df, order, "_at").where(F.col("_at") >= spec.offset).orderBy("_at").drop("_at")
     df = df.orderBy(*order)

@@ -29,9 +29,9 @@ def q_filter_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_typed(spec, _rows(spark, sf_dir, "part", "p_partkey")).drop("_ord")
 
 
-def _keywords(mode: str):
+def _keywords(mode: str, words: tuple[str, ...] = ("an", "1")):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spec = QuerySpec(keep=("n_nationkey", "n_name"), keywords=("an", "1"), keywords_mode=mode)
+        spec = QuerySpec(keep=("n_nationkey", "n_name"), keywords=words, keywords_mode=mode)
         return compile_typed(spec, _rows(spark, sf_dir, "nation", "n_nationkey")).drop("_ord")
 
     return query
@@ -118,7 +118,7 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
 _FIRST_BY = "SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rn FROM {table}) WHERE rn = 1"
 
 QUERIES = {
-    "q_flagship": q_flagship, "q_filter_exact": q_filter_exact, "q_filter_contains": q_filter_contains, "q_keywords_or": _keywords("or"), "q_keywords_and": _keywords("and"),
+    "q_flagship": q_flagship, "q_filter_exact": q_filter_exact, "q_filter_contains": q_filter_contains, "q_keywords_or": _keywords("or"), "q_keywords_and": _keywords("and", ("nation", "1")),
     "q_path_fanout": q_path_fanout, "q_keep": q_keep, "q_drop": q_drop, "q_denull": q_denull, "q_flatten": q_flatten, "q_sort_mixed": q_sort_mixed, "q_dedup": q_dedup,
     "q_dedup_key": q_dedup_key, "q_page": q_page, "q_count": q_count, "q_offset_limit": q_offset_limit, "q_sample": q_sample, "q_json": q_json, "q_json_flatten": q_json_flatten,
 }
@@ -128,7 +128,8 @@ ORACLE_SQL = {
     "q_filter_exact": "SELECT * FROM part WHERE lower(p_brand) = 'brand#13' AND p_size = 7",
     "q_filter_contains": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_type), 'a') AND contains(lower(p_name), 'e')",
     "q_keywords_or": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') OR contains(lower(n_name), '1') OR contains(CAST(n_nationkey AS VARCHAR), '1')",
-    "q_keywords_and": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') AND (contains(lower(n_name), '1') OR contains(CAST(n_nationkey AS VARCHAR), '1'))",
+    "q_keywords_and": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'nation') AND (contains(lower(n_name), '1') OR contains(CAST(n_nationkey AS VARCHAR), '1'))",
+    "q_sample": "SELECT * FROM events ORDER BY md5(concat('3:', event_id)), event_id LIMIT 100",
     "q_path_fanout": "SELECT o_orderkey, count(*) AS n_items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE lower(o_orderstatus) = 'f' GROUP BY o_orderkey HAVING bool_or(l_returnflag = 'R')",
     "q_keep": _NESTED + " SELECT o_orderkey, CAST(to_json(list_transform(items, lambda x: {'l_partkey': x.l_partkey})) AS VARCHAR) AS items, CAST(to_json({'key': o_custkey}) AS VARCHAR) AS buyer FROM o",
     "q_drop": _NESTED + " SELECT o_orderkey, o_orderpriority, CAST(to_json(list_transform(items, lambda x: {'l_linenumber': x.l_linenumber, 'l_partkey': x.l_partkey})) AS VARCHAR) AS items, CAST(to_json({'key': o_custkey}) AS VARCHAR) AS buyer FROM o",
