@@ -17,18 +17,18 @@ def _written(spark, name, rows):
 
 
 def test_ranges_filters_and_columns_reach_the_database(spark):
-    rows = spark.range(1, 1001).selectExpr("id AS QUEUE_ID", "id % 7 AS DATASET_ID", "CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'done' END AS STATUS", "CASE WHEN id % 5 > 0 THEN concat('u', id) END AS URL")
+    rows = spark.range(1, 1001).selectExpr("id AS QUEUE_ID", "id % 7 AS DATASET_ID", "CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'done' END AS STATUS", "CASE WHEN id % 5 > 0 THEN id END AS PARENT")
     url = _written(spark, "QUEUE", rows)
     table = readers.catalogue(spark, url, "QUEUE", "QUEUE_ID", 1, 1000, partitions=5, **DRIVER)
     assert table.rdd.getNumPartitions() == 5
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     try:
-        found = table.where("STATUS = 'pending' AND URL IS NULL AND QUEUE_ID > 500").select("QUEUE_ID")
+        found = table.where("STATUS = 'pending' AND PARENT IS NULL AND QUEUE_ID > 500").select("QUEUE_ID")
         plan = found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
-    for part in ("*EqualTo(STATUS,pending)", "*IsNull(URL)", "*GreaterThan(QUEUE_ID,500)"):
+    for part in ("*EqualTo(STATUS,pending)", "*IsNull(PARENT)", "*GreaterThan(QUEUE_ID,500)"):
         assert part in plan, plan
     # All is done by the database: Spark filters nothing again, and other columns stay there.
     assert "Filter" not in plan.replace("PushedFilters", "") and "DATASET_ID" not in plan

@@ -3,7 +3,7 @@
 Batches must come in order, as files do that are named or written in order; inside a batch rows are put in order here. What a batch brings is
 handed on in the same batch, and write_batches() writes it under the batch's number, so that a batch which is run again after a lost machine
 replaces what it wrote. A key that a large part of all rows shares reaches its state as a few rows of each task's frame, never as all its rows;
-the others go by other keys (see _few()). Only limiters take all of a key's requests: which one is let through depends on all before it.
+the rows themselves go past it, and meet what it says in a join. Only limiters take all of a key's requests: which one is let through depends on all before it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from weftline.sources.scratch import fresh
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Keys that rows go by which need no state.
-ASIDE, ASIDE_SIGN = 1024, "-"
 
 
 # --- running -----------------------------------------------------------------------------------------------------
@@ -52,6 +50,13 @@ def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch bigint").parquet(path)
 
 
+def _once(batch: DataFrame) -> DataFrame:
+    """batch as a written table, for those that read it more than once: the state must be asked once."""
+    path = fresh(batch.sparkSession, "batch")
+    batch.write.parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c))
 
@@ -74,7 +79,7 @@ class _ByTime(StatefulProcessor):
         self.held = handle.getValueState("held", "begin bigint, used int, until bigint, timer bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        saved = self.held.get() if self.held.exists() else None
+        saved = self.held.get()
         held = tuple(saved[:3]) if saved else None
         for row in sorted(rows, key=lambda r: (r["u"], r["id"])):
             held, out = self.step(held, row)
@@ -139,24 +144,27 @@ def cooled(calls: DataFrame, engine: str = "engine", ts: str = "ts", number: str
 # --- sentences ---------------------------------------------------------------------------------------------------
 
 
-def _few(rows: DataFrame, by: list[str], most: int, aside: str) -> DataFrame:
-    """rows with column surely: true for those beyond the `most` first of their k in their frame, which go by the key aside instead."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, surely boolean"
+def _sentence_key(c: Column) -> Column:
+    """What a sentence is known by: the MD5 of its normal form; null if that is too short to go."""
+    return let(normal_sentence(c), lambda n: F.when(F.octet_length(n) > 20, F.md5(n.cast("binary"))))
+
+
+def _few(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The first `most` rows of each k in their frame, in order of `by`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.sort_values(by, kind="stable")
-            surely = (frame["k"] != frame[aside]) & (frame.groupby("k").cumcount() >= most)
-            yield frame.assign(k=frame["k"].where(~surely, frame[aside]), surely=surely)
+            yield frame[frame.groupby("k").cumcount() < most]
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, rows.schema)
 
 
-_SENTENCE = Row("id", "pos", "s", "gone")
+_SINCE = Row("id", "text", "k", "before")
 
 
 class _Seen(StatefulProcessor):
-    """Rows of a sentence, with whether it has been seen `most` times by their document."""
+    """Of a sentence that has been seen `most` times: the document from which on it goes, and whether it went before this batch."""
 
     def __init__(self, most: int, forget_ms: int | None):
         self.most, self.forget_ms = most, forget_ms
@@ -165,50 +173,47 @@ class _Seen(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n int", self.forget_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[0].startswith(ASIDE_SIGN):
-            for r in rows:
-                yield _SENTENCE(r["id"], r["pos"], r["s"], r["surely"])
-            return
-        before = n = self.seen.get()[0] if self.seen.exists() else 0
-        own = sorted(rows, key=lambda r: r["id"])
-        i = 0
-        while i < len(own):
-            j = i
-            while j < len(own) and own[j]["id"] == own[i]["id"]:
-                j += 1
-            n += j - i
-            for r in own[i:j]:
-                yield _SENTENCE(r["id"], r["pos"], r["s"], n >= self.most)
-            i = j
-        if min(n, self.most) != before or self.forget_ms is not None:
-            self.seen.update((min(n, self.most),))
+        held = self.seen.get()
+        before = held[0] if held else 0
+        places = sorted(r["id"] for r in rows)
+        now = min(before + len(places), self.most)
+        if now >= self.most:
+            yield _SINCE(places[max(self.most - before, 1) - 1], None, key[0], before >= self.most)
+        if now != before or self.forget_ms is not None:
+            self.seen.update((now,))
 
 
 def seen_sentences(docs: DataFrame, number: str, text: str, most: int = REPEATS, forget_ms: int | None = None) -> DataFrame:
-    """(id, pos, s, gone) of a stream of documents: each sentence s at its place, and whether it goes; for whole_texts().
+    """(id, text, k, before) of a stream of documents: the documents (k is null), and of sentences that go from one of them on that one; for whole_texts().
 
     As drop_repeated_sentences(): a sentence of more than 20 bytes goes from the document on by which it has been seen `most` times. Its
     count is held by sentence, never above `most`, and forgotten forget_ms after it last came (never, if None). Documents are counted in order of
-    number, which must be theirs alone; a text without sentences (or null) is one row at place -1.
+    number, which must be theirs alone and not null. A task's frame sends a sentence's first `most` places only: with those, any
+    later document finds the count full. Texts don't pass through Python; sentences do as digests.
     """
-    # Texts don't ride along with their sentences: that would be a square of a long one.
-    alone = F.array(F.struct(F.lit(-1).alias("pos"), F.col(text).alias("s")))
-    cut = let(sentences(F.col(text)), lambda own: F.when(F.size(own) > 0, F.transform(own, lambda x, i: F.struct(i.alias("pos"), x.alias("s")))).otherwise(alone))
-    rows = docs.select(F.col(number).alias("id"), F.explode(cut).alias("_e")).select("id", "_e.pos", "_e.s")
-    aside = F.concat(F.lit(ASIDE_SIGN), F.pmod(F.xxhash64("id", "pos"), F.lit(ASIDE)).cast("string"))
-    key = let(normal_sentence(F.col("s")), lambda n: F.when(F.octet_length(n) > 20, F.concat(F.lit("s"), F.when(F.octet_length(n) > 64, F.sha2(n, 256)).otherwise(n))))
-    rows = rows.withColumn("_aside", aside).withColumn("k", F.coalesce(F.when(F.col("pos") >= 0, key), F.col("_aside")))
     kind = docs.schema[number].dataType.simpleString()
-    spread = _few(rows, ["id", "pos"], most, "_aside").drop("_aside")
-    return spread.groupBy("k").transformWithState(_Seen(most, forget_ms), f"id {kind}, pos int, s string, gone boolean", "append", "None" if forget_ms is None else "ProcessingTime")
+    whole = docs.select(F.col(number).alias("id"), F.col(text).alias("text"))
+    keys = whole.select("id", F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).where("k IS NOT NULL")
+    since = _few(keys, "id", most).groupBy("k").transformWithState(
+        _Seen(most, forget_ms), f"id {kind}, text string, k string, before boolean", "append", "None" if forget_ms is None else "ProcessingTime"
+    )
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("k", "string"), ("before", "boolean"))]
+    return whole.select("id", "text", *none).unionByName(since)
+
 
+def whole_texts(batch: DataFrame) -> DataFrame:
+    """(id, text) of a batch of seen_sentences(): what is left of each document, its sentences joined by spaces; a text without sentences as it is."""
+    kept = _once(batch)
+    docs = kept.where("k IS NULL").select("id", "text")
+    since = kept.where("k IS NOT NULL").select("k", F.col("id").alias("_since"), "before")
+    keys = docs.select("id", F.explode(F.array_distinct(F.transform(sentences(F.col("text")), _sentence_key))).alias("k"))
+    gone = keys.join(since, "k").where(F.col("before") | (F.col("id") >= F.col("_since"))).groupBy("id").agg(F.collect_set("k").alias("_gone"))
 
-def whole_texts(rows: DataFrame) -> DataFrame:
-    """(id, text) of a batch of seen_sentences(): what is left of each document, its sentences joined by spaces."""
-    left = F.collect_list(F.when(~F.col("gone") & (F.col("pos") >= 0), F.struct("pos", "s")))
-    none = F.max(F.when(F.col("pos") < 0, F.col("s")))
-    joined = F.array_join(F.transform(F.array_sort(left), lambda x: x["s"]), " ")
-    return rows.groupBy("id").agg(F.when(F.max("pos") < 0, none).otherwise(joined).alias("text"))
+    def left(own: Column) -> Column:
+        stays = F.filter(own, lambda x: ~F.coalesce(F.array_contains("_gone", _sentence_key(x)), F.lit(False)))
+        return F.when(F.size(own) > 0, F.array_join(stays, " ")).otherwise(F.col("text"))
+
+    return docs.join(gone, "id", "left").select("id", let(sentences(F.col("text")), left).alias("text"))
 
 
 # --- clusters ----------------------------------------------------------------------------------------------------
@@ -218,18 +223,14 @@ _LED = Row("url_key", "place", "target", "before", "now")
 
 
 class _Leaders(StatefulProcessor):
-    """What is known of a key after a batch: its leader, and how many rows it had before and has now. Rows that go aside are handed on."""
+    """What is known of a key after a batch: its leader, and how many rows it had before and has now."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.leader = handle.getValueState("leader", "place long, target long, n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[0].startswith(ASIDE_SIGN):
-            for r in rows:
-                yield _LED(r["url_key"], r["place"], r["target"], None, None)
-            return
         heads = [(r["place"], r["target"], r["n"]) for r in rows]
-        held = self.leader.get() if self.leader.exists() else None
+        held = self.leader.get()
         place, target = held[:2] if held else min(h[:2] for h in heads)
         before = held[2] if held else 0
         now = before + sum(h[2] for h in heads)
@@ -244,26 +245,22 @@ def led(queue: DataFrame, key: Column, place: str = "queue_id", target: str = "d
     of null keys share a leader. A key reaches its state as one row of each frame, however many rows ask for it.
     """
     rows = queue.select(F.coalesce(F.concat(F.lit("s"), key), F.lit("n")).alias("url_key"), F.col(place).cast("bigint").alias("place"), F.col(target).cast("bigint").alias("target"))
-    aside = F.concat(F.lit(ASIDE_SIGN), F.pmod(F.xxhash64("place", "target"), F.lit(ASIDE)).cast("string"))
-    names = ["url_key", "place", "target", "k", "n"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(n=1)[names]
-            frame = frame.sort_values(["place", "target"])
             counts = frame.groupby("url_key").size()
-            heads = frame.drop_duplicates("url_key")
-            yield heads.assign(k=heads["url_key"], n=counts.loc[heads["url_key"]].to_numpy())[names]
+            heads = frame.sort_values(["place", "target"]).drop_duplicates("url_key")
+            yield heads.assign(n=counts.loc[heads["url_key"]].to_numpy())
 
-    spread = rows.withColumn("k", aside).mapInPandas(run, "url_key string, place bigint, target bigint, k string, n bigint")
-    return spread.groupBy("k").transformWithState(_Leaders(), "url_key string, place bigint, target bigint, before bigint, now bigint", "append", "None")
+    leaders = rows.mapInPandas(run, "url_key string, place bigint, target bigint, n bigint").groupBy("url_key").transformWithState(
+        _Leaders(), "url_key string, place bigint, target bigint, before bigint, now bigint", "append", "None"
+    )
+    return rows.select("*", *(F.lit(None).cast("bigint").alias(c) for c in ("before", "now"))).unionByName(leaders)
 
 
 def roles(batch: DataFrame) -> DataFrame:
     """(place, role, primary) of a batch of led(): of its rows, and of leaders that had been alone until now. As cluster() if rows come in order of place."""
-    path = fresh(batch.sparkSession, "led")
-    batch.write.parquet(path)  # read twice, and the state must be asked once
-    kept = batch.sparkSession.read.schema(batch.schema).parquet(path)
+    kept = _once(batch)
     leaders = kept.where("before IS NOT NULL").select("url_key", F.col("place").alias("_place"), F.col("target").alias("_target"), F.col("before").alias("_before"), F.col("now").alias("_now"))
     leads = (F.col("place") == F.col("_place")) & (F.col("target") == F.col("_target")) & (F.col("_before") == 0)
     role = F.when(~leads, "waiting").when(F.col("_now") == 1, "solo").otherwise("primary")
