@@ -14,14 +14,14 @@ from weftline.streaming import keyed
 class Fed:
     """A folder of files that a stream reads, and what its batches gave. Each run is a new query from the checkpoint."""
 
-    def __init__(self, spark, root, schema, flow, out, made=None):
-        self.spark, self.root, self.schema, self.flow, self.out, self.made = spark, root, schema, flow, out, made
+    def __init__(self, spark, root, schema, flow, out, made=None, mode="append"):
+        self.spark, self.root, self.schema, self.flow, self.out, self.made, self.mode = spark, root, schema, flow, out, made, mode
 
     def run(self, rows=None):
         if rows is not None:
             self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.root}/in")
         stream = self.spark.readStream.schema(self.schema).parquet(f"{self.root}/in")
-        keyed.write_batches(self.flow(stream), f"file://{self.root}/out", f"file://{self.root}/checkpoint", self.made).awaitTermination(300)
+        keyed.write_batches(self.flow(stream), f"file://{self.root}/out", f"file://{self.root}/checkpoint", self.made, self.mode).awaitTermination(300)
         return self
 
     def lose_last_commit(self):
@@ -48,7 +48,7 @@ def test_sentences_of_many_documents_over_restarts(spark, tmp_path):
         r.shuffle(own)
         text = "Everybody says this in the first place. " + ". ".join(own) + (". Twice and thrice it says the same" * 4 if i == 40 else "")
         rows.append((i, {50: None, 51: "", 52: "no", 53: "  odd  "}.get(i, text)))
-    fed = Fed(spark, tmp_path, "doc_id long, text string", lambda s: keyed.seen_sentences(s, "doc_id", "text"), "id long, text string", keyed.whole_texts)
+    fed = Fed(spark, tmp_path, "doc_id long, text string", lambda s: keyed.seen_sentences(s, "doc_id", "text"), "id long, text string", keyed.whole_texts, "update")
     for k, piece in enumerate(_pieces(rows, 3)):
         fed.run(piece)
         if k == 1:
@@ -59,12 +59,6 @@ def test_sentences_of_many_documents_over_restarts(spark, tmp_path):
     assert fed.table().count() == len(rows) and fed.table().select("batch").distinct().count() == 3
 
 
-def test_a_sentence_of_all_documents_reaches_its_state_by_few_rows(spark):
-    rows = spark.range(4000).selectExpr("id", "'s' AS k").repartition(3)
-    assert keyed._few(rows, "id", 3).count() <= 9
-    assert keyed._few(rows.withColumn("k", F.col("id").cast("string")), "id", 3).count() == 4000
-
-
 def _requests(seed):
     r, t, rows = random.Random(seed), 1_700_000_000_000_000, []
     for i in range(300):

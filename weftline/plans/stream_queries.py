@@ -23,10 +23,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(t(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _ran(stream: DataFrame, schema: str, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _ran(stream: DataFrame, schema: str, made: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> DataFrame:
     """What the stream's batches gave, through made() if given."""
     at = fresh(stream.sparkSession, "stream")
-    K.write_batches(stream, f"{at}/rows", f"{at}/checkpoint", made).awaitTermination()
+    K.write_batches(stream, f"{at}/rows", f"{at}/checkpoint", made, mode).awaitTermination()
     return K.batches(stream.sparkSession, f"{at}/rows", schema).drop("batch")
 
 
@@ -44,7 +44,7 @@ def w_cooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t_boilerplate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = K.seen_sentences(_stream(spark, sf_dir, "documents"), "doc_id", "text")
-    return _ran(stream, "id bigint, text string", K.whole_texts).withColumnRenamed("id", "doc_id")
+    return _ran(stream, "id bigint, text string", K.whole_texts, "update").withColumnRenamed("id", "doc_id")
 
 
 def c_cluster_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -26,7 +26,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 # --- running -----------------------------------------------------------------------------------------------------
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, made: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def write_batches(stream: DataFrame, path: str, checkpoint: str, made: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> StreamingQuery:
     """Starts a query that writes what is there and stops: each batch, through made() if given, as Parquet in path/batch=N.
 
     A batch that is run again overwrites its own folder, so each row is there once. Keyed state needs the RocksDB store: the session's
@@ -40,7 +40,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, made: Callable[
     before = spark.conf.get(STORE, None)
     spark.conf.set(STORE, ROCKS)
     try:
-        return stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
@@ -149,69 +149,40 @@ def _sentence_key(c: Column) -> Column:
     return let(normal_sentence(c), lambda n: F.when(F.octet_length(n) > 20, F.md5(n.cast("binary"))))
 
 
-def _few(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """The first `most` rows of each k in their frame, in order of `by`."""
+def seen_sentences(docs: DataFrame, number: str, text: str) -> DataFrame:
+    """(id, text, k, total) of a stream of documents: the documents (k is null), and of each sentence that a batch brings how often it has come by then.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.sort_values(by, kind="stable")
-            yield frame[frame.groupby("k").cumcount() < most]
-
-    return rows.mapInPandas(run, rows.schema)
-
-
-_SINCE = Row("id", "text", "k", "before")
-
-
-class _Seen(StatefulProcessor):
-    """Of a sentence that has been seen `most` times: the document from which on it goes, and whether it went before this batch."""
-
-    def __init__(self, most: int, forget_ms: int | None):
-        self.most, self.forget_ms = most, forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n int", self.forget_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.seen.get()
-        before = held[0] if held else 0
-        places = sorted(r["id"] for r in rows)
-        now = min(before + len(places), self.most)
-        if now >= self.most:
-            yield _SINCE(places[max(self.most - before, 1) - 1], None, key[0], before >= self.most)
-        if now != before or self.forget_ms is not None:
-            self.seen.update((now,))
-
-
-def seen_sentences(docs: DataFrame, number: str, text: str, most: int = REPEATS, forget_ms: int | None = None) -> DataFrame:
-    """(id, text, k, before) of a stream of documents: the documents (k is null), and of sentences that go from one of them on that one; for whole_texts().
-
-    As drop_repeated_sentences(): a sentence of more than 20 bytes goes from the document on by which it has been seen `most` times. Its
-    count is held by sentence, never above `most`, and forgotten forget_ms after it last came (never, if None). Documents are counted in order of
-    number, which must be theirs alone and not null. A task's frame sends a sentence's first `most` places only: with those, any
-    later document finds the count full. Texts don't pass through Python; sentences do as digests.
+    For write_batches(mode="update") and whole_texts(). Totals are Spark's own streaming aggregation: counted in each task before they are shuffled, so a
+    sentence of all documents costs a row a task, and held by the MD5 of a sentence. (A processor in Python costs some 0.3 ms a sentence,
+    and most sentences occur once.) Nothing is forgotten: a later document must find what all before it said.
     """
-    kind = docs.schema[number].dataType.simpleString()
     whole = docs.select(F.col(number).alias("id"), F.col(text).alias("text"))
-    keys = whole.select("id", F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).where("k IS NOT NULL")
-    since = _few(keys, "id", most).groupBy("k").transformWithState(
-        _Seen(most, forget_ms), f"id {kind}, text string, k string, before boolean", "append", "None" if forget_ms is None else "ProcessingTime"
-    )
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("k", "string"), ("before", "boolean"))]
-    return whole.select("id", "text", *none).unionByName(since)
+    totals = whole.select(F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("total"))
+    own = whole.select("id", "text", F.lit(None).cast("string").alias("k"), F.lit(None).cast("bigint").alias("total"))
+    return own.unionByName(totals, allowMissingColumns=True)
+
 
+def whole_texts(batch: DataFrame, most: int = REPEATS) -> DataFrame:
+    """(id, text) of a batch of seen_sentences(): what is left of each document, its sentences joined by spaces; a text without sentences as it is.
 
-def whole_texts(batch: DataFrame) -> DataFrame:
-    """(id, text) of a batch of seen_sentences(): what is left of each document, its sentences joined by spaces; a text without sentences as it is."""
+    As drop_repeated_sentences(): a sentence of more than 20 bytes goes from the document on by which it has been seen `most` times, in this
+    batch and those before. Documents count in order of id, which is theirs alone and not null.
+    """
     kept = _once(batch)
-    docs = kept.where("k IS NULL").select("id", "text")
-    since = kept.where("k IS NOT NULL").select("k", F.col("id").alias("_since"), "before")
-    keys = docs.select("id", F.explode(F.array_distinct(F.transform(sentences(F.col("text")), _sentence_key))).alias("k"))
-    gone = keys.join(since, "k").where(F.col("before") | (F.col("id") >= F.col("_since"))).groupBy("id").agg(F.collect_set("k").alias("_gone"))
+    docs, often = kept.where("k IS NULL").select("id", "text"), kept.where(F.col("total") >= most).select("k", "total")
+    keys = docs.select("id", F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).join(often, "k")
+    counted = _once(keys.groupBy("k", "total", "id").agg(F.count("*").alias("_c")))
+    before = counted.groupBy("k").agg((F.max("total") - F.sum("_c")).alias("_before"))
+    # With what came before, a sentence is full by its `most`-th document here at the latest; the limit is picked on either side of the shuffle.
+    by_place = Window.partitionBy("k").orderBy("id")
+    first = counted.withColumn("_r", F.row_number().over(by_place)).where(F.col("_r") <= most)
+    first = first.withColumn("_seen", F.sum("_c").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(before, "k")
+    since = first.where(F.col("_seen") + F.col("_before") >= most).groupBy("k").agg(F.min("id").alias("_since"))
+    gone = counted.join(since, "k").where(F.col("id") >= F.col("_since")).groupBy("id").agg(F.collect_set("k").alias("_gone"))
 
     def left(own: Column) -> Column:
         stays = F.filter(own, lambda x: ~F.coalesce(F.array_contains("_gone", _sentence_key(x)), F.lit(False)))
-        return F.when(F.size(own) > 0, F.array_join(stays, " ")).otherwise(F.col("text"))
+        return F.when(F.size(own) == 0, F.col("text")).otherwise(F.array_join(F.when(F.col("_gone").isNull(), own).otherwise(stays), " "))
 
     return docs.join(gone, "id", "left").select("id", let(sentences(F.col("text")), left).alias("text"))
 
