@@ -146,30 +146,30 @@ def cooled(calls: DataFrame, engine: str = "engine", ts: str = "ts", number: str
 
 def _sentence_key(c: Column) -> Column:
     """What a sentence is known by: the MD5 of its normal form; null if that is too short to go."""
-    return let(normal_sentence(c), lambda n: F.when(F.octet_length(n) > 20, F.md5(n.cast("binary"))))
+    return let(normal_sentence(c), lambda n: F.when(F.octet_length(n) > 20, F.unhex(F.md5(n.cast("binary")))))
 
 
-def seen_sentences(docs: DataFrame, number: str, text: str) -> DataFrame:
-    """(id, text, k, total) of a stream of documents: the documents (k is null), and of each sentence that a batch brings how often it has come by then.
+def seen_sentences(docs: DataFrame, number: str, text: str, most: int = REPEATS) -> DataFrame:
+    """(id, text, k, total) of a stream of documents: the documents (k is null), and of sentences of a batch how often they have come by then, if `most` times or more.
 
     For write_batches(mode="update") and whole_texts(). Totals are Spark's own streaming aggregation: counted in each task before they are shuffled, so a
     sentence of all documents costs a row a task, and held by the MD5 of a sentence. (A processor in Python costs some 0.3 ms a sentence,
     and most sentences occur once.) Nothing is forgotten: a later document must find what all before it said.
     """
     whole = docs.select(F.col(number).alias("id"), F.col(text).alias("text"))
-    totals = whole.select(F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("total"))
-    own = whole.select("id", "text", F.lit(None).cast("string").alias("k"), F.lit(None).cast("bigint").alias("total"))
+    totals = whole.select(F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("total")).where(F.col("total") >= most)
+    own = whole.select("id", "text", F.lit(None).cast("binary").alias("k"), F.lit(None).cast("bigint").alias("total"))
     return own.unionByName(totals, allowMissingColumns=True)
 
 
 def whole_texts(batch: DataFrame, most: int = REPEATS) -> DataFrame:
     """(id, text) of a batch of seen_sentences(): what is left of each document, its sentences joined by spaces; a text without sentences as it is.
 
-    As drop_repeated_sentences(): a sentence of more than 20 bytes goes from the document on by which it has been seen `most` times, in this
-    batch and those before. Documents count in order of id, which is theirs alone and not null.
+    As drop_repeated_sentences(): a sentence of more than 20 bytes goes from the document on by which it has been seen `most` times (as seen_sentences() was
+    told), in this batch and those before. Documents count in order of id, which is theirs alone and not null.
     """
     kept = _once(batch)
-    docs, often = kept.where("k IS NULL").select("id", "text"), kept.where(F.col("total") >= most).select("k", "total")
+    docs, often = kept.where("k IS NULL").select("id", "text"), kept.where("k IS NOT NULL").select("k", "total")
     keys = docs.select("id", F.explode(F.transform(sentences(F.col("text")), _sentence_key)).alias("k")).join(often, "k")
     counted = _once(keys.groupBy("k", "total", "id").agg(F.count("*").alias("_c")))
     before = counted.groupBy("k").agg((F.max("total") - F.sum("_c")).alias("_before"))
