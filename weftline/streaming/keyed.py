@@ -34,7 +34,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, made: Callable[
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        (made(batch) if made else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (made(batch) if made else batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={number}")
 
     spark = stream.sparkSession
     before = spark.conf.get(STORE, None)
@@ -53,7 +53,7 @@ def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def _once(batch: DataFrame) -> DataFrame:
     """batch as a written table, for those that read it more than once: the state must be asked once."""
     path = fresh(batch.sparkSession, "batch")
-    batch.write.parquet(path)
+    batch.write.option("compression", "zstd").parquet(path)
     return batch.sparkSession.read.schema(batch.schema).parquet(path)
 
 
